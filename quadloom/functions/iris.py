@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quadloom.model import iri as I
 
@@ -66,8 +67,19 @@ def resolved(base: str, reference: Column) -> Column:
 def relativized(base: str, iri: Column) -> Column:
     """The shortest reference to an IRI from a constant base."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else I.relativize(base, v))
 
     return run(iri)
+
+
+def compacted(iri: Column, prefixes: dict[str, str]) -> Column:
+    """The shortest compact IRI under constant prefixes (IRI -> term), the least of equally short ones; else the IRI."""
+    order = sorted(prefixes.items(), key=lambda p: (len(p[1]) - len(p[0]), p[1]))
+    out = None
+    for known, term in order:
+        hit = iri.startswith(known) & (F.length(iri) > len(known))
+        short = F.concat(F.lit(f"{term}:"), F.substring(iri, len(known) + 1, 1 << 30))
+        out = F.when(hit, short) if out is None else out.when(hit, short)
+    return iri if out is None else out.otherwise(iri)

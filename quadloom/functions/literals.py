@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quadloom.model import terms as T
 
@@ -21,7 +22,7 @@ def _double(x: float) -> str:
     return f"{mantissa}{'0' if mantissa[-1] == '.' else ''}E{int(exponent)}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _canonical_double(values: pd.Series) -> pd.Series:
     known: dict[float, str] = {v: _double(float(v)) for v in values.dropna().unique()}
     return values.map(known).where(values.notna(), None)
@@ -32,7 +33,7 @@ def canonical_double(x: Column) -> Column:
     return _canonical_double(x.cast("double"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _number_text(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None or v != v else T.number_text(v))
 
@@ -42,7 +43,7 @@ def number_text(x: Column) -> Column:
     return _number_text(x.cast("double"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _canonical_json(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else T.canonical_json(json.loads(v)))
 

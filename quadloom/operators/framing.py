@@ -9,7 +9,7 @@ operators.documents.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -79,7 +79,7 @@ def matching(nodes: DataFrame, pattern: Mapping | list, require_all: bool = Fals
             elif isinstance(first, dict) and "@list" in first:
                 want = first["@list"][0]
                 item = F.col("items")
-                hit = F.exists(item, lambda x, w=want: _item_matches(x, w))
+                hit = F.exists(item, _item_matches(want))
                 tests.append(("or", _any(own & F.coalesce(hit, F.lit(False)))))
             elif isinstance(first, dict) and "@value" in first or isinstance(first, dict) and {"@language"} & first.keys():
                 tests.append(("or", _any(own & value_predicate(first))))
@@ -120,12 +120,15 @@ def matching(nodes: DataFrame, pattern: Mapping | list, require_all: bool = Fals
     return held.where(ok).select(_KEY)
 
 
-def _item_matches(x: Column, want: Mapping) -> Column:
-    if "@value" in want and aslist(want["@value"])[0] != {}:
-        return (x["kind"] == "value") & x["value"].isin([str(v) for v in aslist(want["@value"])])
-    if "@id" in want:
-        return (x["kind"] == "ref") & x["value"].isin(aslist(want["@id"]))
-    return x["kind"] == ("value" if "@value" in want else "ref")
+def _item_matches(want: Mapping) -> Callable[[Column], Column]:
+    def test(x: Column) -> Column:
+        if "@value" in want and aslist(want["@value"])[0] != {}:
+            return (x["kind"] == "value") & x["value"].isin([str(v) for v in aslist(want["@value"])])
+        if "@id" in want:
+            return (x["kind"] == "ref") & x["value"].isin(aslist(want["@id"]))
+        return x["kind"] == ("value" if "@value" in want else "ref")
+
+    return test
 
 
 def explicit(nodes: DataFrame, properties: list[str]) -> DataFrame:

@@ -96,7 +96,7 @@ def rebuilt_lists(quads: DataFrame, max_rounds: int = 40) -> DataFrame:
     ended = state.where(F.col("to") == T.RDF_NIL).select("graph", "cell", "far")
     # a list's head is a cell that something other than rdf:rest leads to
     heads = quads.where((F.col("kind") == "blank") & (F.col("predicate") != T.RDF_REST)).select("graph", "subject", "predicate", F.col("object").alias("head"))
-    owned = work.write("owned", ended.join(heads, (ended.cell == heads.head) & (ended.graph == heads.graph)).select(heads.graph, "subject", "predicate", "head", F.col("far").alias("n")))
+    owned = work.write("owned", ended.withColumnRenamed("cell", "head").join(heads, ["graph", "head"]).select("graph", "subject", "predicate", "head", F.col("far").alias("n")))
     # each cell's head: the pointers of heads, doubled again, would do; cells of one list share the cell before rdf:nil
     last = ended.where("far = 1").select("graph", F.col("cell").alias("last"))
     chain = work.write("chain", _with_last(cells, last, work, max_rounds))

@@ -7,7 +7,7 @@ read, coercions, datatypes and languages become literals of the plan.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,3 +121,34 @@ def typed(ctx: Context, term: str) -> bool:
     """Whether a term's definition says a type, language or direction."""
     found = ctx.terms.get(term)
     return bool(found and (found.type or found.language is not UNSET or found.direction is not UNSET))
+
+
+def replaced(m: Mapped, **changes: object) -> Mapped:
+    """A mapping with some of its parts changed."""
+    return replace(m, **changes)
+
+
+def collapsed(nodes: DataFrame, context: Mapping) -> DataFrame:
+    """subject, term, value and whether it is a scalar: values compacted under a flat context, by literals of the plan.
+
+    Each property takes the first of its terms, shorter and then lesser ones
+    first; properties without a term are left out.
+    """
+    ctx = compiled(context)
+    by_iri: dict[str, str] = {}
+    for name in sorted(ctx.terms, key=lambda t: (len(t), T.utf16(t))):
+        if ctx.terms[name].iri:
+            by_iri.setdefault(ctx.terms[name].iri, name)
+    if not by_iri:
+        return nodes.limit(0).select("subject", F.lit("").alias("term"), "value", F.lit(True).alias("scalar"))
+    term = scalar = None
+    for iri, name in by_iri.items():
+        kind, language = ctx.value(name, "type"), ctx.value(name, "language")
+        typed_value = F.coalesce(F.col("datatype") == kind, F.lit(False)) if kind and kind not in ("@id", "@vocab") else F.lit(False)
+        plain = (F.col("datatype") == T.XSD_STRING) & F.col("language").isNull() if not language and (not kind or kind in ("@id", "@vocab")) else F.lit(False)
+        tagged = F.coalesce(F.col("language") == language, F.lit(False)) if language and not kind else F.lit(False)
+        ok = F.when(F.col("kind") == "ref", F.lit(kind in ("@id", "@vocab"))).otherwise(typed_value | plain | tagged)
+        hit = F.col("property") == iri
+        term = F.when(hit, name) if term is None else term.when(hit, name)
+        scalar = F.when(hit, ok) if scalar is None else scalar.when(hit, ok)
+    return nodes.where(F.col("property").isin(list(by_iri))).select("subject", term.alias("term"), "value", scalar.alias("scalar"))

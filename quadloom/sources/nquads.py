@@ -14,10 +14,9 @@ from quadloom.schema import QUAD_COLUMNS
 
 _IRI = r"<[^\x00-\x20<>\"{}|^`]*>"
 _BLANK = r"_:[^\s<>\"#]*[^\s<>\"#.]"
-_LINE = (
-    rf"^[ \t]*({_IRI}|{_BLANK})[ \t]*({_IRI}|{_BLANK})[ \t]*(?:({_IRI}|{_BLANK})|\"((?:[^\"\\\n\r]|\\.)*)\"(?:\^\^({_IRI})|@([a-zA-Z]+(?:-[a-zA-Z0-9]+)*))?)"
-    rf"[ \t]*({_IRI}|{_BLANK})?[ \t]*\.[ \t]*(?:#.*)?$"
-)
+_FRONT = rf"^[ \t]*({_IRI}|{_BLANK})[ \t]*({_IRI}|{_BLANK})[ \t]*"
+_RESOURCE = rf"^({_IRI}|{_BLANK})"
+_TAIL = rf"^(?:\^\^({_IRI})|@([a-zA-Z]+(?:-[a-zA-Z0-9]+)*))?[ \t]*({_IRI}|{_BLANK})?[ \t]*\.[ \t]*(?:#.*)?$"
 _SKIP = r"^[ \t]*(?:#.*)?$"
 
 
@@ -44,18 +43,26 @@ def _unescaped(text: Column) -> Column:
 def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
     """Quad rows of lines of N-Quads; empty lines and comments give none, and a line that is no quad fails the query."""
     line = F.regexp_replace(F.col(column), "\r$", "")
-    g = lambda i: F.regexp_extract(line, _LINE, i)
-    quads = lines.where(~line.rlike(_SKIP))
-    bad = F.raise_error(F.concat(F.lit("not N-Quads: "), line)).cast("string")
-    resource = g(3) != ""
-    literal = ~resource
-    language = F.when(literal & (g(6) != ""), F.lower(g(6)))
-    return quads.select(
-        _bare(g(7)).alias("graph"), F.when(line.rlike(_LINE), _bare(g(1))).otherwise(bad).alias("subject"), _bare(g(2)).alias("predicate"),
-        F.when(literal, "literal").when(g(3).startswith("_:"), "blank").otherwise("iri").alias("kind"),
-        F.when(literal, _unescaped(g(4))).otherwise(_bare(g(3))).alias("object"),
-        F.when(literal, F.when(g(5) != "", _bare(g(5))).when(language.isNotNull(), T.RDF_LANG_STRING).otherwise(T.XSD_STRING)).alias("datatype"),
-        language.alias("language"),
+    front = F.regexp_extract(line, _FRONT, 0)
+    rest = F.substr(line, F.length(front) + 1)
+    held = lines.where(~line.rlike(_SKIP)).select(line.alias("line"), front.alias("front"), rest.alias("rest"))
+    # the first quote that no escape stands for ends a literal; no pattern runs over its text, which may be long
+    masked = F.replace(F.replace(F.col("rest"), F.lit("\\\\"), F.lit("\x00\x00")), F.lit('\\"'), F.lit("\x00\x01"))
+    end = F.when(F.col("rest").startswith('"'), F.locate('"', masked, 2)).otherwise(F.length(F.regexp_extract("rest", _RESOURCE, 0)))
+    held = held.withColumn("end", end).withColumn("tail", F.substr("rest", F.col("end") + 1))
+    literal = F.col("rest").startswith('"')
+    good = (F.col("front") != "") & (F.col("end") > 0) & F.col("tail").rlike(_TAIL) & (literal | ~F.col("tail").rlike(r"^(\^\^|@)"))
+    bad = F.raise_error(F.concat(F.lit("not N-Quads: "), F.col("line"))).cast("string")
+    datatype, language = F.regexp_extract("tail", _TAIL, 1), F.regexp_extract("tail", _TAIL, 2)
+    tag = F.when(literal & (language != ""), F.lower(language))
+    resource = F.substr("rest", F.lit(1), F.col("end"))
+    return held.select(
+        _bare(F.regexp_extract("tail", _TAIL, 3)).alias("graph"), F.when(good, _bare(F.regexp_extract("front", _FRONT, 1))).otherwise(bad).alias("subject"),
+        _bare(F.regexp_extract("front", _FRONT, 2)).alias("predicate"),
+        F.when(literal, "literal").when(F.col("rest").startswith("_:"), "blank").otherwise("iri").alias("kind"),
+        F.when(literal, _unescaped(F.substr("rest", F.lit(2), F.col("end") - 2))).otherwise(_bare(resource)).alias("object"),
+        F.when(literal, F.when(datatype != "", _bare(datatype)).when(tag.isNotNull(), T.RDF_LANG_STRING).otherwise(T.XSD_STRING)).alias("datatype"),
+        tag.alias("language"),
     ).select(QUAD_COLUMNS)
 
 
