@@ -1,11 +1,10 @@
-"""Tables written to the folder that the cluster shares, used to cut lineage."""
+"""Arrow batches and intermediate tables of the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from quadloom.scratch import Scratch, shared_dir
 
 #: Rows in one Arrow batch of the Python operators: with documents of some kilobytes a batch stays below about 10 MB.
 ARROW_ROWS = 2000
@@ -16,32 +15,4 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a temporary folder, set here, only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quadloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-class Scratch:
-    """A folder of intermediate Parquet tables. A task that is lost is computed again from them."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark).rstrip('/')}/quadloom-{name}-{uuid.uuid4().hex}"
-
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.read(name)
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Remove tables that no later step reads."""
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["ARROW_ROWS", "Scratch", "shared_dir", "tune"]
