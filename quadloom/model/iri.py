@@ -91,10 +91,12 @@ def relativize(base: str | None, iri: str) -> str:
     if r.authority is None or (b.scheme, b.authority or "") != (r.scheme, r.authority):
         return iri
     up, down = remove_dot_segments(b.path).split("/"), remove_dot_segments(r.path).split("/")
-    keep = 0 if r.query is not None or r.fragment is not None else 1  # a bare path keeps its last segment
-    same = 0
-    while same < len(up) and same < len(down) - keep and up[same] == down[same]:
-        same += 1
+    if up == down and (r.query is not None or r.fragment is not None):
+        same = len(up)
+    else:  # the last segment of the base names no folder, and that of the path stays
+        same = 0
+        while same < min(len(up), len(down)) - 1 and up[same] == down[same]:
+            same += 1
     rest = up[same:]
     out = "../" * max(0, len(rest) - 1) + "/".join(down[same:])
     if r.query is not None:

@@ -11,7 +11,8 @@ from quadloom.model import terms as T
 from quadloom.schema import DEFAULT, NODE_COLUMNS, QUAD_COLUMNS
 from quadloom.scratch import Scratch
 
-_NULL = F.lit(None).cast("string")
+def _null() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _named(name: Column) -> Column:
@@ -43,14 +44,14 @@ def cell_name(i: Column) -> Column:
 def _cells(lists: DataFrame) -> DataFrame:
     """Head, rdf:first and rdf:rest of each list: its length is known in the row, so the next cell needs no window."""
     n = F.size("items")
-    head = F.struct(F.col("subject").alias("s"), F.col("predicate").alias("p"), F.when(n > 0, "blank").otherwise("iri").alias("k"), F.when(n > 0, cell_name(F.lit(0))).otherwise(F.lit(T.RDF_NIL)).alias("o"), _NULL.alias("d"), _NULL.alias("l"))
+    head = F.struct(F.col("subject").alias("s"), F.col("predicate").alias("p"), F.when(n > 0, "blank").otherwise("iri").alias("k"), F.when(n > 0, cell_name(F.lit(0))).otherwise(F.lit(T.RDF_NIL)).alias("o"), _null().alias("d"), _null().alias("l"))
 
     def first(x: Column, i: Column) -> Column:
         return F.struct(cell_name(i).alias("s"), F.lit(T.RDF_FIRST).alias("p"), _object_kind(x["kind"], x["value"]).alias("k"), x["value"].alias("o"), x["datatype"].alias("d"), x["language"].alias("l"))
 
     def rest(x: Column, i: Column) -> Column:
         more = i + 1 < n
-        return F.struct(cell_name(i).alias("s"), F.lit(T.RDF_REST).alias("p"), F.when(more, "blank").otherwise("iri").alias("k"), F.when(more, cell_name(i + 1)).otherwise(F.lit(T.RDF_NIL)).alias("o"), _NULL.alias("d"), _NULL.alias("l"))
+        return F.struct(cell_name(i).alias("s"), F.lit(T.RDF_REST).alias("p"), F.when(more, "blank").otherwise("iri").alias("k"), F.when(more, cell_name(i + 1)).otherwise(F.lit(T.RDF_NIL)).alias("o"), _null().alias("d"), _null().alias("l"))
 
     each = lists.select("graph", F.explode(F.concat(F.array(head), F.transform("items", first), F.transform("items", rest))).alias("q"))
     return each.select("graph", F.col("q.s").alias("subject"), F.col("q.p").alias("predicate"), F.col("q.k").alias("kind"), F.col("q.o").alias("object"), F.col("q.d").alias("datatype"), F.col("q.l").alias("language")).select(QUAD_COLUMNS)

@@ -59,7 +59,8 @@ def _native_text(col: Column, kind: str) -> tuple[Column, str | None]:
     return col.cast("string"), T.XSD_STRING
 
 
-_NULL = F.lit(None).cast("string")
+def _null() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _value(col: Column, kind: str, ctx: Context, term: str, prefix: str | None, language: Column | None) -> tuple[Column, Column, Column, Column]:
@@ -68,29 +69,29 @@ def _value(col: Column, kind: str, ctx: Context, term: str, prefix: str | None,
     if coercion in ("@id", "@vocab"):
         text = col.cast("string")
         front = prefix if prefix is not None else ctx.vocab if coercion == "@vocab" and ctx.vocab else ""
-        return F.lit("ref"), F.concat(F.lit(front), text) if front else text, _NULL, _NULL
+        return F.lit("ref"), F.concat(F.lit(front), text) if front else text, _null(), _null()
     if coercion == "@json":
-        return F.lit("value"), canonical_json(col.cast("string")), F.lit(T.RDF_JSON), _NULL
+        return F.lit("value"), canonical_json(col.cast("string")), F.lit(T.RDF_JSON), _null()
     text, datatype = _native_text(col, kind)
     if coercion == T.XSD_DOUBLE or (coercion is None and datatype == "number"):
         number = col.cast("double")
         if coercion == T.XSD_DOUBLE:
-            return F.lit("value"), canonical_double(number), F.lit(T.XSD_DOUBLE), _NULL
+            return F.lit("value"), canonical_double(number), F.lit(T.XSD_DOUBLE), _null()
         whole = (number == F.floor(number)) & (F.abs(number) < 1e21)
-        return F.lit("value"), text, F.when(whole, T.XSD_INTEGER).otherwise(T.XSD_DOUBLE), _NULL
+        return F.lit("value"), text, F.when(whole, T.XSD_INTEGER).otherwise(T.XSD_DOUBLE), _null()
     if coercion and coercion != "@none":
-        return F.lit("value"), text, F.lit(coercion), _NULL
+        return F.lit("value"), text, F.lit(coercion), _null()
     if datatype == T.XSD_STRING:
         tag = F.lower(language) if language is not None else F.lit(ctx.value(term, "language"))
         return F.lit("value"), text, F.when(tag.isNotNull(), T.RDF_LANG_STRING).otherwise(T.XSD_STRING), tag.cast("string")
-    return F.lit("value"), text, F.lit(datatype), _NULL
+    return F.lit("value"), text, F.lit(datatype), _null()
 
 
 def nodes(df: DataFrame, m: Mapped) -> DataFrame:
     """The node-property rows of a table: one explode over an array that the context compiled to. Null columns have no row."""
     ctx = compiled(m.context)
     kinds = dict(df.dtypes)
-    rows = [_entry("@type", F.lit("ref"), t, _NULL, _NULL) for t in m.types]
+    rows = [_entry("@type", F.lit("ref"), t, _null(), _null()) for t in m.types]
     for column, term in (m.columns or {c: c for c in df.columns}).items():
         iri = ctx.expand(term, vocab=True)
         if column not in kinds or not isinstance(iri, str) or ":" not in iri or T.is_keyword(iri):
@@ -109,11 +110,11 @@ def _entry(iri: str, kind: Column, value: Column, datatype: Column, language: Co
 
 def lists(rows: DataFrame, subject: Column, prop: str, order: Column, value: Column, datatype: str = T.XSD_STRING, by: list[str] | None = None) -> DataFrame:
     """Node-property rows whose value is the ordered list of each group's values."""
-    item = F.struct(F.lit("value").alias("kind"), value.cast("string").alias("value"), F.lit(datatype).alias("datatype"), _NULL.alias("language"))
+    item = F.struct(F.lit("value").alias("kind"), value.cast("string").alias("value"), F.lit(datatype).alias("datatype"), _null().alias("language"))
     grouped = rows.select(subject.alias("subject"), order.alias("o"), item.alias("item")).groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("o", "item"))).alias("l"))
     return grouped.select(
         F.lit(DEFAULT).alias("graph"), "subject", F.lit(prop).alias("property"), F.lit(0).alias("pos"), F.lit("list").alias("kind"),
-        _NULL.alias("value"), _NULL.alias("datatype"), _NULL.alias("language"), F.transform("l", lambda x: x["item"]).alias("items"),
+        _null().alias("value"), _null().alias("datatype"), _null().alias("language"), F.transform("l", lambda x: x["item"]).alias("items"),
     )
 
 
