@@ -14,8 +14,9 @@ in ascending doc_id order of (part, block). The payload's codes are packed from
 the highest bit of its first byte.
 
 Tokens come from the `tokenizers` library. As its pre-tokenizer never joins
-text across ASCII white space, distinct words are encoded once and remembered
-by a 64-bit hash in a bounded cache of each worker.
+text across ASCII white space, or between letters, digits and most punctuation,
+distinct pieces are encoded once and remembered by a 64-bit hash in a bounded
+cache of each worker.
 
 Cases: a null or empty text has the end id alone; a null doc_id comes first;
 rows that repeat a doc_id are ordered by their texts' hash; an empty table gives
@@ -24,6 +25,7 @@ an empty file set; extra columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -39,11 +41,35 @@ from quadloom.llm.scratch import Scratch, tune
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 LIMIT, BLOCK, STRIDE = 20, 1 << 19, 256
-#: Words and ids that a worker remembers at most, and the longest word it does, in bytes.
-CACHE_WORDS, CACHE_IDS, CACHE_BYTES = 1_000_000, 8_000_000, 64
+#: Words and ids that a worker remembers before it forgets them all.
+CACHE_WORDS, CACHE_IDS = 1_500_000, 12_000_000
 
-_ASCII_LETTER = V._table(lambda b: chr(b).isalpha() and b < 128)
-_STOP = V._table(lambda b: chr(b) in ".,;:!?")
+_LETTER = V._table(lambda b: chr(b).isalpha() and b < 128)
+_DIGIT = V._table(lambda b: 48 <= b < 58)
+#: ASCII punctuation, but for what special tokens and contractions are made of.
+_MARK = V._table(lambda b: 32 < b < 127 and not chr(b).isalnum() and chr(b) not in "<|>'")
+_APOSTROPHE = V._table(lambda b: b == 39)
+#: First bytes of the letters U+00C0 to U+027F.
+_LATIN = V._table(lambda b: 0xC3 <= b <= 0xC9)
+
+
+def borders(data: np.ndarray) -> np.ndarray:
+    """Places within words where the pre-tokenizer splits, too, whatever stands around them: between letters, digits and marks."""
+    letter = _LETTER[data]
+    second = np.flatnonzero(_LATIN[data[:-1]] & (data[1:] & 0xC0 == 0x80)) + 1
+    second = second[~((data[second - 1] == 0xC3) & ((data[second] == 0x97) | (data[second] == 0xB7)))]  # the signs for times and divided by
+    ended = letter.copy()
+    ended[second] = True
+    digit, mark = _DIGIT[data], _MARK[data]
+    before, after = slice(None, -1), slice(1, None)
+    cut = ended[before] & (digit[after] | mark[after] | _APOSTROPHE[data[after]])
+    cut |= (digit[before] | mark[before]) & letter[after] | digit[before] & (digit[after] | mark[after]) | mark[before] & digit[after]
+    return np.flatnonzero(cut) + 1
+
+
+#: The characters by which byte-level vocabularies name bytes: printable ones themselves, the others from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_NAMES = {b: (b if b in _PRINTABLE else 256 + [x for x in range(256) if x not in _PRINTABLE].index(b)) for b in range(256)}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -59,6 +85,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
         self._forget()
 
@@ -68,24 +95,38 @@ class Encoder:
         self.pool, self.used = np.zeros(4096, np.uint32), 0
 
     def _learn(self, keys: list[int], words: list[str]) -> None:
-        for key, found in zip(keys, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            ids, n = found.ids, len(self.known)
-            if n == len(self.start):
-                self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, self.pool])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.start[n], self.length[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[key] = n
+        """Remember the ids of new words. Words of Latin letters are one token for the pre-tokenizer and go straight to the model."""
+        rest: list[int] = []
+        ids: list[list[int]] = [[]] * len(words)
+        tokenize = self.model.tokenize
+        for i, word in enumerate(words):
+            low = word.lower()
+            if low.isascii() and low.isalpha():
+                ids[i] = [t.id for t in tokenize(low)]
+            elif low.isalpha() and max(low) < "\u0250":
+                ids[i] = [t.id for t in tokenize(low.encode().decode("latin-1").translate(_BYTE_NAMES))]
+            else:
+                rest.append(i)
+        for i, found in zip(rest, self.tokenizer.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
+            ids[i] = found.ids
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        n = len(self.known)
+        while n + len(ids) > len(self.start):
+            self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, self.pool])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.start[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
+        self.length[n : n + len(ids)] = sizes
+        self.used += len(flat)
+        self.known.update(zip(keys, range(n, n + len(ids)), strict=True))
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For pieces of the texts: all their ids, and how many each text has."""
-        for a, b in V.pieces(texts):
+        for a, b in V.pieces(texts, 2 * V.PIECE):
             data, offsets = V.text_bytes(texts.slice(a, b - a))
-            # a run of stops after an ASCII letter is a token border for the pre-tokenizer, too
-            cuts = np.flatnonzero(_STOP[data[1:]] & _ASCII_LETTER[data[:-1]]) + 1
-            words = V.split_words(data, offsets, V.SOLID, cuts)
+            words = V.split_words(data, offsets, V.SOLID, borders(data) if len(data) else None)
             if len(self.known) > CACHE_WORDS or self.used > CACHE_IDS:
                 self._forget()
             keys, at, which = np.unique(words.hash, return_index=True, return_inverse=True)
@@ -100,10 +141,6 @@ class Encoder:
             ids = self.pool[np.repeat(self.start[entry] - (ends - size), size) + np.arange(total)]
             ahead = np.concatenate([[0], ends])
             yield ids, ahead[words.first[1:]] - ahead[words.first[:-1]]
-            for i in new:  # long words are not kept
-                if words.end[at[i]] - words.start[at[i]] > CACHE_BYTES:
-                    del self.known[int(keys[i])]
-                    self.known[-len(self.known) - 1] = -1
 
 
 _encoders: dict[str, Encoder] = {}
@@ -198,14 +235,14 @@ def _tokenize(path: str, end: int):
         docs: list = []
         sizes: list[np.ndarray] = []
         ids: list[np.ndarray] = []
-        held = 0
+        held, counts = 0, np.zeros(max(encoder.size, end + 1), np.int64)
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict(
                 {
                     "part": pa.array([part], pa.int64()), "block": pa.array([block], pa.int64()),
                     "doc_ids": pa.array([docs], pa.list_(pa.int64())), "lengths": pa.array([np.concatenate(sizes)], pa.list_(pa.int64())),
-                    "wide": pa.array([small().itemsize], pa.int32()), "ids": pa.array([np.concatenate(ids).astype(small).tobytes()], pa.binary()),
+                    "wide": pa.array([small().itemsize], pa.int32()), "ids": pa.array([np.concatenate(ids).astype(small).tobytes()], pa.binary()), "counts": pa.nulls(1, pa.binary()),
                 }
             )
 
@@ -217,12 +254,17 @@ def _tokenize(path: str, end: int):
                 at += len(size)
                 sizes.append(size + 1)
                 ids.append(ended.astype(np.uint32))
+                counts += np.bincount(ended, minlength=len(counts))
                 held += len(ended)
                 if held >= BLOCK:
                     yield row()
                     docs, sizes, ids, held, block = [], [], [], 0, block + 1
         if docs:
             yield row()
+        if counts.any():  # a row of its own, after the blocks
+            docs, sizes, ids = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            last = row()
+            yield last.set_column(last.schema.get_field_index("counts"), "counts", pa.array([counts.tobytes()], pa.binary()))
 
     return run
 
@@ -234,10 +276,9 @@ def _ids(raw: bytes, wide: int) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1, np.int64)
     for batch in batches:
-        for raw, wide in zip(batch.column("ids").to_pylist(), batch.column("wide").to_pylist(), strict=True):
-            n = np.bincount(_ids(raw, wide))
-            if len(n) > len(total):
-                total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
+        for raw in batch.column("counts").to_pylist():
+            n = np.frombuffer(raw, np.int64)
+            total = np.concatenate([total, np.zeros(max(0, len(n) - len(total)), np.int64)])
             total[: len(n)] += n
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"id": at, "n": total[at]})
@@ -270,16 +311,16 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int =
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     order = ["doc_id", F.xxhash64("text")]
     dealt = texts.repartitionByRange(*order).sortWithinPartitions(*order)
-    staged = dealt.mapInArrow(_tokenize(vocabulary or vocabulary_path(), end), "part long, block long, doc_ids array<long>, lengths array<long>, wide int, ids binary")
+    staged = dealt.mapInArrow(_tokenize(vocabulary or vocabulary_path(), end), "part long, block long, doc_ids array<long>, lengths array<long>, wide int, ids binary, counts binary")
     staged.write.option("compression", "zstd").parquet(f"{work.path}/staged")
     staged = work.read("staged")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # blocks are rows of some megabytes
-    counts = staged.select("wide", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()  # at most one row for each id of the vocabulary
+    counts = staged.where("counts IS NOT NULL").select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()  # at most one row for each id of the vocabulary
     ids, n = np.array([r["id"] for r in counts], np.int64), np.array([r["n"] for r in counts], np.int64)
     bits = code_lengths(n)
     book = spark.createDataFrame([(int(i), int(b)) for i, b in zip(ids, bits, strict=True)], "id long, bits int").coalesce(1)
     book.write.mode("overwrite").parquet(f"{path}/codebook")
-    staged.mapInArrow(_pack(ids, bits), _BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
+    staged.where("counts IS NULL").drop("counts").mapInArrow(_pack(ids, bits), _BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
     work.drop("staged")
     tune(spark)
 
