@@ -57,7 +57,9 @@ def borders(data: np.ndarray) -> np.ndarray:
     """Places within words where the pre-tokenizer splits, too, whatever stands around them: between letters, digits and marks."""
     letter = _LETTER[data]
     second = np.flatnonzero(_LATIN[data[:-1]] & (data[1:] & 0xC0 == 0x80)) + 1
-    second = second[~((data[second - 1] == 0xC3) & ((data[second] == 0x97) | (data[second] == 0xB7)))]  # the signs for times and divided by
+    odd = (data[second - 1] == 0xC3) & ((data[second] == 0x97) | (data[second] == 0xB7))  # the signs for times and divided by
+    odd |= (data[second - 1] == 0xC4) & (data[second] == 0xB0)  # a capital whose lower case ends in a mark
+    second = second[~odd]
     ended = letter.copy()
     ended[second] = True
     digit, mark = _DIGIT[data], _MARK[data]
