@@ -611,4 +611,124 @@ def r4_embedding_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.join(chains, "chain").groupBy("subject").agg(F.count("*").alias("n"), F.min("x").alias("least"))
 
 
+# documents with graphs, inclusions and lists, by the complete mapper
+
+
+@query("SELECT 'urn:graph:' || c_nationkey AS graph, 'urn:customer:' || c_custkey AS subject, c_name AS value FROM customer")
+def e16_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in the named graph of their nation."""
+    inner = F.struct(_id("customer", "c_custkey").alias("@id"), F.col("c_name").alias("name"))
+    json = F.struct(_id("graph", "c_nationkey").alias("@id"), F.array(inner).alias("@graph"))
+    rows = documents.to_nodes(_doc(spark, sf_dir, "customer", F.col("c_custkey"), json), expandContext={"@vocab": EX})
+    return rows.select("graph", "subject", "value")
+
+
+@query("SELECT 'urn:customer:' || c_custkey AS subject, c_name AS value FROM customer UNION ALL SELECT 'urn:nation:' || c_nationkey || '-' || c_custkey, 'nation of ' || c_name FROM customer")
+def e15_included(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that are included beside another."""
+    other = F.struct(F.concat(_id("nation", "c_nationkey"), F.lit("-"), F.col("c_custkey").cast("string")).alias("@id"), F.concat(F.lit("nation of "), F.col("c_name")).alias("name"))
+    json = F.struct(_id("customer", "c_custkey").alias("@id"), F.col("c_name").alias("name"), F.array(other).alias("@included"))
+    return documents.to_nodes(_doc(spark, sf_dir, "customer", F.col("c_custkey"), json), expandContext={"@vocab": EX}).select("subject", "value")
+
+
+_GRAPHS = {"@vocab": EX, "said": {"@id": EX + "said", "@container": ["@graph", "@id"]}}
+
+
+@query("SELECT 'urn:order:' || o_orderkey AS graph, 'urn:customer:' || o_custkey AS subject, o_orderstatus AS value FROM orders")
+def e26_graph_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map of graphs by identifier."""
+    inner = F.struct(_id("customer", "o_custkey").alias("@id"), F.col("o_orderstatus").alias("status"))
+    json = F.struct(F.lit("urn:all").alias("@id"), F.create_map(_id("order", "o_orderkey"), inner).alias("said"))
+    rows = documents.to_nodes(_doc(spark, sf_dir, "orders", F.col("o_orderkey"), json), expandContext=_GRAPHS)
+    return rows.where(F.col("property") == EX + "status").select("graph", "subject", "value")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderstatus AS status FROM orders")
+def k10_graph_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same map after expansion and compaction."""
+    inner = F.struct(_id("customer", "o_custkey").alias("@id"), F.col("o_orderstatus").alias("status"))
+    json = F.struct(F.lit("urn:all").alias("@id"), F.create_map(_id("order", "o_orderkey"), inner).alias("said"))
+    out = documents.apply(_doc(spark, sf_dir, "orders", F.col("o_orderkey"), json), "compact", context=_GRAPHS, expandContext=_GRAPHS)
+    held = F.from_json(F.get_json_object("result", "$.said"), "map<string,struct<status:string>>")
+    return out.select("doc_id", F.element_at(held, F.concat(F.lit("urn:order:"), "doc_id"))["status"].alias("status"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, 'urn:nation:' || s_nationkey AS nation FROM supplier")
+def k6_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reverse link under a reverse term."""
+    context = {"@vocab": EX, "memberOf": {"@reverse": EX + "hasMember", "@type": "@id"}}
+    json = F.struct(_id("supplier", "s_suppkey").alias("@id"), F.struct(F.array(F.struct(_id("nation", "s_nationkey").alias("@id"))).alias(EX + "hasMember")).alias("@reverse"))
+    out = documents.apply(_doc(spark, sf_dir, "supplier", F.col("s_suppkey"), json), "compact", context=context)
+    return out.select("doc_id", F.get_json_object("result", "$.memberOf").alias("nation"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, p_name AS name, p_brand AS brand FROM part")
+def k8_nest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties put back under their nesting term."""
+    context = {"labels": "@nest", "name": {"@id": EX + "name", "@nest": "labels"}, "brand": {"@id": EX + "brand", "@nest": "labels"}}
+    json = F.struct(_id("part", "p_partkey").alias("@id"), F.col("p_name").alias(EX + "name"), F.col("p_brand").alias(EX + "brand"))
+    out = documents.apply(_doc(spark, sf_dir, "part", F.col("p_partkey"), json), "compact", context=context)
+    return out.select("doc_id", F.get_json_object("result", "$.labels.name").alias("name"), F.get_json_object("result", "$.labels.brand").alias("brand"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS doc_id, count(*) AS n, first(role ORDER BY turn) AS first, last(role ORDER BY turn) AS last FROM conversations GROUP BY conv_id")
+def k9_list_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as the bare array of a list container, in order, after expansion and compaction."""
+    context = {"@vocab": EX, "roles": {"@id": EX + "roles", "@container": "@list"}}
+    grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
+    docs = grouped.select(F.col("conv_id").cast("string").alias("doc_id"), F.to_json(F.struct(_id("conv", "conv_id").alias("@id"), "roles")).alias("json"))
+    roles = F.from_json(F.get_json_object("result", "$.roles"), "array<string>")
+    out = documents.apply(docs, "compact", context=context, expandContext=context).withColumn("r", roles)
+    return out.select("doc_id", F.size("r").cast("long").alias("n"), F.element_at("r", 1).alias("first"), F.element_at("r", -1).alias("last"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS doc_id, count(*) AS n, first(text ORDER BY turn) AS first_text FROM conversations GROUP BY conv_id")
+def q19_list_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that a list refers to, embedded in its order."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("urn:turn:"), F.concat_ws("-", "conv_id", "turn")).alias("id"), "text")
+    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "id", "text"))).alias("t"))
+    node = F.to_json(F.struct(_id("conv", "conv_id").alias("@id"), F.lit("Talk").alias("@type"), F.struct(F.transform("t", lambda x: F.struct(x["id"].alias("@id"))).alias("@list")).alias("turns")))
+    rest = F.transform("t", lambda x: F.to_json(F.struct(x["id"].alias("@id"), x["text"].alias("text"))))
+    docs = grouped.select(F.col("conv_id").cast("string").alias("doc_id"), F.concat(F.lit('{"@graph":['), F.array_join(F.concat(F.array(node), rest), ","), F.lit("]}")).alias("json"))
+    frame = {"@context": {"@vocab": EX, "turns": {"@id": EX + "turns", "@container": "@list"}}, "@type": "Talk"}
+    out = documents.apply(docs, "frame", frame=frame, expandContext={"@vocab": EX})
+    held = F.from_json(F.get_json_object("result", "$.turns"), "array<struct<text:string>>")
+    return out.select("doc_id", F.size(held).cast("long").alias("n"), F.element_at(held, 1)["text"].alias("first_text"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, 'urn:customer:' || o_custkey AS inner_id, o_orderstatus AS status FROM orders")
+def q17_named_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame with a graph: the nodes of the graph that a node names."""
+    inner = F.struct(_id("customer", "o_custkey").alias("@id"), F.col("o_orderstatus").alias("status"))
+    json = F.struct(_id("order", "o_orderkey").alias("@id"), F.lit("Order").alias("@type"), F.array(inner).alias("@graph"))
+    frame = {"@context": {"@vocab": EX}, "@type": "Order", "@graph": {}}
+    out = documents.apply(_doc(spark, sf_dir, "orders", F.col("o_orderkey"), json), "frame", frame=frame, expandContext={"@vocab": EX})
+    return out.select("doc_id", F.get_json_object("result", "$['@graph'][0]['@id']").alias("inner_id"), F.get_json_object("result", "$['@graph'][0].status").alias("status"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS doc_id, 'urn:customer:' || c_custkey AS id, 'urn:nation:' || c_nationkey AS included FROM customer")
+def q18_included(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame that includes other nodes beside its match."""
+    graph = F.array(F.to_json(F.struct(_id("customer", "c_custkey").alias("@id"), F.lit("Customer").alias("@type"))), F.to_json(F.struct(_id("nation", "c_nationkey").alias("@id"), F.lit("Nation").alias("@type"))))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.concat(F.lit('{"@graph":['), F.array_join(graph, ","), F.lit("]}")).alias("json"))
+    frame = {"@context": {"@vocab": EX}, "@type": "Customer", "@included": [{"@type": "Nation"}]}
+    out = documents.apply(docs, "frame", frame=frame, expandContext={"@vocab": EX})
+    return out.select("doc_id", F.get_json_object("result", "$['@id']").alias("id"), F.get_json_object("result", "$['@included']['@id']").alias("included"))
+
+
+@query("SELECT graph, id, bool_or(said) AS has_properties FROM (SELECT '@default' AS graph, 'urn:customer:' || c_custkey AS id, true AS said FROM customer UNION ALL SELECT '@default', 'urn:nation:' || c_nationkey, false FROM customer) GROUP BY ALL")
+def f12_node_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes, those that are only referred to included."""
+    return nodes.subjects(view(spark, sf_dir, "customer"))
+
+
+@query("SELECT page_id, 'http://example.org/base/' || page_id AS id FROM pages")
+def s2_remote_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose context is a URL, from a table of remote documents; identifiers are relative to a base."""
+    remote = {"http://example.org/context": '{"@context": {"url": {"@id": "http://example.org/url", "@type": "@id"}}}'}
+    json = F.struct(F.lit("http://example.org/context").alias("@context"), F.col("page_id").cast("string").alias("@id"), F.col("url"))
+    rows = documents.to_nodes(_doc(spark, sf_dir, "pages", F.col("page_id"), json), remote=remote, base="http://example.org/base/x")
+    return rows.select(F.col("doc_id").cast("long").alias("page_id"), F.col("subject").alias("id"))
+
+
 __all__ = ["CONTEXTS", "oracle_sql", "queries"]
