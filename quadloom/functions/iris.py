@@ -41,7 +41,7 @@ def dot_segments_removed(path: Column) -> Column:
 
     kept = F.aggregate(segments, none, step)
     ended = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    return F.when(path == "", "").otherwise(F.concat(F.when(rooted, "/").otherwise(""), F.array_join(ended, "/")))
+    return F.when(path == "", "").when(F.array_join(ended, "/") == "", "/").otherwise(F.concat(F.when(rooted, "/").otherwise(""), F.array_join(ended, "/")))
 
 
 def resolved(base: str, reference: Column) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 class LinkedDataError(Exception):
     """An error with a name and, if the specification gives one, a code."""
 
-    def __init__(self, message: str, name: str = "jsonld.SyntaxError", code: str | None = None, **details: object):
+    def __init__(self, message: str, name: str = "ld.SyntaxError", code: str | None = None, **details: object):
         super().__init__(message)
         self.name, self.code, self.details = name, code, details
 
@@ -43,7 +43,7 @@ class Events:
         event = {"type": ["JsonLdEvent"], "code": code, "level": level, "message": message or code, "details": details}
         self.log.append(event)
         if self.safe and code in UNSAFE:
-            raise LinkedDataError(f"safe mode: {code}", "jsonld.ValidationError", event=event)
+            raise LinkedDataError(f"safe mode: {code}", "ld.ValidationError", event=event)
         if self.handler is not None:
             _handle(event, self.handler)
 
@@ -62,17 +62,17 @@ def _handle(event: dict, handler: object) -> bool:
         passed: list[bool] = []
         handler(event, lambda: passed.append(True))
         return bool(passed)
-    raise LinkedDataError("an event handler is a function, list or dict", "jsonld.InvalidEventHandler")
+    raise LinkedDataError("an event handler is a function, list or dict", "ld.InvalidEventHandler")
 
 
 def safe_handler(event: dict, next_: Callable[[], None]) -> None:
     if event["level"] == "warning" and event["code"] in UNSAFE:
-        raise LinkedDataError(f"safe mode: {event['code']}", "jsonld.ValidationError", event=event)
+        raise LinkedDataError(f"safe mode: {event['code']}", "ld.ValidationError", event=event)
     next_()
 
 
 def strict_handler(event: dict, next_: Callable[[], None]) -> None:
-    raise LinkedDataError(f"unhandled event: {event['code']}", "jsonld.UnhandledEvent", event=event)
+    raise LinkedDataError(f"unhandled event: {event['code']}", "ld.UnhandledEvent", event=event)
 
 
 def log_handler(event: dict, next_: Callable[[], None]) -> None:

@@ -43,7 +43,7 @@ def is_absolute(iri: object) -> bool:
 
 
 def remove_dot_segments(path: str) -> str:
-    """`.` and `..` segments applied; a leading slash stays, and a path that ends in such a segment ends in a slash."""
+    """`.` and `..` segments applied; a leading slash stays, and a path that ends in such a segment ends in a slash; what is empty then is `/`."""
     if not path:
         return ""
     rooted = path.startswith("/")
@@ -61,6 +61,8 @@ def remove_dot_segments(path: str) -> str:
                 out.append("")
         else:
             out.append(segment)
+    if out == [""]:
+        return "/"
     return ("/" if rooted else "") + "/".join(out)
 
 

@@ -580,7 +580,7 @@ def u17_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", L.canonical_json(F.col("props")).alias("json"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 3 = 0 THEN 'invalid @language value' WHEN doc_id % 3 = 1 THEN 'invalid property' END AS event, CASE WHEN doc_id % 3 < 2 THEN 'jsonld.ValidationError' END AS error FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 3 = 0 THEN 'invalid @language value' WHEN doc_id % 3 = 1 THEN 'invalid property' END AS event, CASE WHEN doc_id % 3 < 2 THEN 'ld.ValidationError' END AS error FROM documents")
 def x_safe_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Safe mode on documents with a bad language tag, an unknown property, or neither."""
     tag = F.when(F.col("doc_id") % 3 == 0, "not a tag").otherwise(F.col("lang"))

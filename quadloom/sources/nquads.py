@@ -98,5 +98,5 @@ def unregister(kind: str) -> None:
 
 def load(spark: SparkSession, path: str, kind: str = "application/n-quads") -> DataFrame:
     if kind not in _FORMATS:
-        raise LinkedDataError(f"unknown format {kind}", "jsonld.UnknownFormat", format=kind)
+        raise LinkedDataError(f"unknown format {kind}", "ld.UnknownFormat", format=kind)
     return _FORMATS[kind](spark, path)

@@ -131,7 +131,7 @@ def test_events_and_safe_mode(document, event):
     seen = []
     P.expand(document, eventHandler=lambda e, next_: (seen.append(e["code"]), next_()))
     assert event in seen
-    assert code(P.expand, document, safe=True) == "jsonld.ValidationError"
+    assert code(P.expand, document, safe=True) == "ld.ValidationError"
 
 
 def test_event_handlers_by_code_and_in_lists():
@@ -173,7 +173,7 @@ def test_direction_and_i18n():
     (quad,) = P.to_rdf(doc, rdfDirection="i18n-datatype")
     assert quad["object"]["datatype"]["value"] == "https://www.w3.org/ns/i18n#ar-eg_rtl"
     assert P.from_rdf([quad], rdfDirection="i18n-datatype") == P.expand(doc)
-    assert code(P.to_rdf, doc, rdfDirection="compound-literal") == "jsonld.InvalidRdfDirection"
+    assert code(P.to_rdf, doc, rdfDirection="compound-literal") == "ld.InvalidRdfDirection"
 
 
 def test_native_types():
@@ -188,15 +188,15 @@ def test_native_types():
 
 
 def test_formats_and_facade():
-    assert code(P.to_rdf, {}, format="application/nquads") == "jsonld.UnknownFormat"
-    assert code(P.from_rdf, "", format="bogus") == "jsonld.UnknownFormat"
+    assert code(P.to_rdf, {}, format="application/nquads") == "ld.UnknownFormat"
+    assert code(P.from_rdf, "", format="bogus") == "ld.UnknownFormat"
     p = Processor()
     p.register_rdf_parser("x/y", lambda s: rdf.parse_nquads(s.replace("!", ".")))
     assert p.from_rdf("<a:a> <b:b> <c:c> !\n", format="x/y") == [{"@id": "a:a", "b:b": [{"@id": "c:c"}]}]
     p.unregister_rdf_parser("x/y")
-    assert code(p.from_rdf, "", format="x/y") == "jsonld.UnknownFormat"
-    assert code(p.expand, {}, expansionMap=1) == "jsonld.OptionsError"
-    assert code(p.use_document_loader, "bogus") == "jsonld.UnknownDocumentLoader"
+    assert code(p.from_rdf, "", format="x/y") == "ld.UnknownFormat"
+    assert code(p.expand, {}, expansionMap=1) == "ld.OptionsError"
+    assert code(p.use_document_loader, "bogus") == "ld.UnknownDocumentLoader"
     assert JsonLdProcessor.expand({"http://e/p": 1}) == [{"http://e/p": [{"@value": 1}]}]
     assert code(P.compact, {}, None) == "invalid local context"
 
