@@ -316,7 +316,6 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int =
     staged = dealt.mapInArrow(_tokenize(vocabulary or vocabulary_path(), end), "part long, block long, doc_ids array<long>, lengths array<long>, wide int, ids binary, counts binary")
     staged.write.option("compression", "zstd").parquet(f"{work.path}/staged")
     staged = work.read("staged")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # blocks are rows of some megabytes
     counts = staged.where("counts IS NOT NULL").select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()  # at most one row for each id of the vocabulary
     ids, n = np.array([r["id"] for r in counts], np.int64), np.array([r["n"] for r in counts], np.int64)
     bits = code_lengths(n)
@@ -324,7 +323,6 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int =
     book.write.mode("overwrite").parquet(f"{path}/codebook")
     staged.where("counts IS NULL").drop("counts").mapInArrow(_pack(ids, bits), _BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
     work.drop("staged")
-    tune(spark)
 
 
 def _unpack(ids: np.ndarray, bits: np.ndarray, whole: bool):
@@ -358,7 +356,7 @@ def read(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("part", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("ahead")).join(base, "part")
     starts = starts.select("part", "block", (F.col("base") + F.col("ahead")).alias("start"))  # one row a block
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    tune(spark)
     last = "ids array<long>" if whole else "ids_crc32 long"
     return blocks.join(starts, ["part", "block"]).mapInArrow(_unpack(ids, bits, whole), f"doc_id long, start long, n_tokens long, {last}")
 
