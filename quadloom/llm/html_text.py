@@ -56,12 +56,14 @@ _NOISE_NAMES = frozenset(
     skip social sponsor sponsored subscribe subscription toolbar topbar widget""".split()
 )
 _HEAD_NAMES = frozenset(["header"])
+#: Beside these, a name says what a wrapper has around it, not what it is: `has-sidebar`.
+_ABOUT = frozenset("has with no without layout enabled".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
-_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PART = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def _hash(*parts: object) -> int:
@@ -142,17 +144,21 @@ class Page:
         top = self._stack[-1]
         top[2] = _hash(top[2], tag)
         names: list[str] = []
-        role = ""
+        role, hidden = "", False
         if rest.strip():
-            for key, *values in _NAMED.findall(rest):
-                value = next((v for v in values if v), "")
-                if key.lower() == "role":
+            for key, *values in _ATTRIBUTE.findall(rest):
+                key, value = key.lower(), next((v for v in values if v), "")
+                if key in ("class", "id"):
+                    for name in value.split():
+                        parts = [x for x in _PART.split(_CAMEL.sub("-", name).lower()) if x]
+                        names += [] if _ABOUT.intersection(parts) else parts
+                elif key == "role":
                     role = value.lower()
-                else:
-                    names += [x for x in _PART.split(_CAMEL.sub("-", value).lower()) if x]
+                elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _UNSEEN.search(value):
+                    hidden = True
         path = _hash(top[1], tag, *names)
         article = top[4] or tag in ("article", "main") or role in ("main", "article")
-        noise = top[5] or tag in _NOISE_TAGS or role in _ROLES or path in self._removed or bool(rest and _HIDDEN.search(rest))
+        noise = top[5] or tag in _NOISE_TAGS or role in _ROLES or path in self._removed or hidden
         if not noise and tag not in ("html", "body", "article", "main"):
             noise = bool(_NOISE_NAMES.intersection(names)) or not top[4] and (tag == "header" or bool(_HEAD_NAMES.intersection(names)))
         elif not noise and tag == "article":

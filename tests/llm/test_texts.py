@@ -263,6 +263,7 @@ PAGE = """<!doctype html><html><head><title>t</title><style>p{}</style></head><b
 def test_page_structure():
     assert html_text.Page(PAGE).text() == "Title & more First bolder text Second <x> 1<2 one two"
     assert html_text.Page('<div class="sidebar">x</div><p>only <a href="a>b">text</a></p>').text() == "only text"
+    assert html_text.Page('<div class="page has-sidebar no-comments"><p title="a hidden gem" class=x>kept</p><p hidden>a</p><p style="display: none">b</p><p aria-hidden=true>c</p></div>').text() == "kept"
     assert html_text.Page("plain &copy; text <p").text() == "plain © text"
     assert html_text.Page("").text() == "" and html_text.Page("<article></article>").text() == ""
     assert html_text.Page("<div>" * 3000 + "deep").text() == "deep"
