@@ -15,13 +15,17 @@ shingle. Classes are the connected components of all links.
    limit is doubled where slots stay empty, so work is m log m a text and not
    m a shingle.
 2. Equal bags are one representative, named by a 128-bit key of the bag.
-3. Bands. In each bucket all members are linked to a pivot, in two levels, so
-   a bucket of any size has no task of its own. These pairs are verified.
+3. Bands. In each bucket each member is paired with the nearest by signature,
+   in runs whose first members are dealt and paired again, so a bucket of any
+   size has no task of its own. These pairs are verified.
 4. Buckets that still hold more than one component are searched whole, in
    blocks: the members outside the bucket's largest component against all
-   others, signatures compared in memory, and pairs that may reach the
-   threshold go to verification. No pair is dropped for the size of a bucket.
-5. Components by minimum labels and shortcuts.
+   others. Signatures are compared in memory, then 16-bit hashes of all
+   shingles, whose overlap is never less than the true one; pairs that may
+   reach the threshold go to verification. No pair is dropped for the size of
+   a bucket.
+5. Components by contraction: nodes take their least neighbour, edges between
+   what they took go on.
 
 Cases: a row with a null doc_id has a null class and takes no part. A null
 text, or one without words, is a class of its own. The class of a row that
@@ -32,9 +36,11 @@ Extra columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +53,8 @@ ROWS, BANDS = 5, 24
 SLOTS = ROWS * BANDS
 #: Pairs of signatures that agree in a smaller share of slots are not verified: four standard deviations below 0.8.
 SCREEN = 0.65
-#: Members of a block when a bucket is searched whole, and salts of the first level of pivots.
-BLOCK, SALTS = 512, 64
+#: Members of a block of a bucket, and of the nearest members that each is compared with first.
+BLOCK, NEAREST = 512, 3
 
 _UNIT = 1 << 32
 _FULL = np.int64(np.iinfo(np.int64).max)
@@ -128,6 +134,14 @@ def _keys(doc: np.ndarray, hashes: np.ndarray, times: np.ndarray, n: int) -> lis
     return [both[i : i + 16] for i in range(0, 16 * n, 16)]
 
 
+def _bins(doc: np.ndarray, hashes: np.ndarray, times: np.ndarray, n: int) -> list[bytes]:
+    """16 bits for each occurrence of each shingle: what two bags share, these share, too."""
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    small = (V.mix(np.repeat(hashes, times) + nth.astype(np.uint64) * _STEP) >> np.uint64(48)).astype(np.uint16).tobytes()
+    ends = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=times, minlength=n).astype(np.int64))]) * 2
+    return [small[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
@@ -164,28 +178,94 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def _pivots(shared: DataFrame) -> DataFrame:
-    """(a, b), a < b: each member of a bucket with the least of its salt, and these with the least of all.
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In sorted runs of (bucket, salt): each row's NEAREST rows by signature, of those that agree enough, as pairs; and the first row, if the bucket has more runs."""
+    kind = pa.schema([("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("sig", pa.binary()), ("n", pa.int64())])
+    held: list[tuple[bytes, bytes]] = []
+    key: tuple | None = None
+    found: set[tuple[bytes, bytes]] = set()
+    tops: list[tuple] = []
+
+    def close() -> None:
+        if key is None:
+            return
+        if key[2] > 1:
+            tops.append((key[0], held[0][0], None, held[0][1], key[2]))
+        if len(held) < 2:
+            return
+        sig = np.frombuffer(b"".join(h[1] for h in held), np.uint8).reshape(len(held), -1)
+        least = SCREEN * sig.shape[1]
+        for x in range(len(held)):
+            same = (sig == sig[x]).sum(axis=1)
+            same[x] = -1
+            near = np.flatnonzero(same >= least)
+            if len(near) > NEAREST:
+                near = near[np.argpartition(-same[near], NEAREST)[:NEAREST]]
+            found.update((min(held[x][0], held[y][0]), max(held[x][0], held[y][0])) for y in near)
+
+    def flush() -> pa.RecordBatch:
+        rows = [*((None, a, b, None, None) for a, b in found if a != b), *tops]
+        found.clear()
+        tops.clear()
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, kind, strict=True)], schema=kind)
+
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in ("bucket", "salt", "runs", "rep", "sig")]
+        for bucket, salt, runs, rep, sig in zip(*cols, strict=True):
+            if (bucket, salt, runs) != key:
+                close()
+                held, key = [], (bucket, salt, runs)
+            held.append((rep, sig))
+        yield flush()
+    close()
+    yield flush()
+
 
-    Aggregates combine before the shuffle and a salt's members are few, so no bucket is one task.
+def _first_pairs(shared: DataFrame, work: Scratch) -> DataFrame:
+    """(a, b), a < b: for each member of a bucket the nearest whose signatures may be similar; shared: (bucket, n, rep, sig).
+
+    A bucket is dealt to runs of about BLOCK members, and the runs' first members are dealt again, so no bucket is one task.
     """
-    salted = shared.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
-    level = salted.groupBy("bucket", "salt").agg(F.min("rep").alias("a"), F.count("*").alias("n"))
-    tops = level.groupBy("bucket").agg(F.min("a").alias("a"), F.collect_list("a").alias("bs"))  # at most SALTS in a list
-    upper = tops.select("a", F.explode("bs").alias("b"))
-    lower = salted.join(level.where("n > 1").select("bucket", "salt", "a"), ["bucket", "salt"]).select("a", F.col("rep").alias("b"))
-    return upper.unionByName(lower).where("a < b").distinct()
+    rows, found = shared, []
+    while True:
+        level = len(found)
+        doubled = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BLOCK))).cast("int")
+        dealt = rows.withColumn("runs", F.pow(F.lit(2.0), doubled).cast("long"))
+        dealt = dealt.withColumn("salt", F.xxhash64("rep", F.lit(level)).bitwiseAND(F.col("runs") - 1))
+        out = dealt.select("bucket", "salt", "rep", "sig", "runs").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "rep").mapInArrow(_nearest, "bucket long, a binary, b binary, sig binary, n long")
+        out = work.write(f"near-{level}", out)
+        found.append(out.where("bucket IS NULL").select("a", "b"))
+        rows = out.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("rep"), "sig", "n")
+        if not rows.limit(1).count():
+            return reduce(DataFrame.unionByName, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        reps, texts = batch.column("rep"), batch.column("text")
+        for x, y in V.pieces(texts):
+            doc, hashes, times = bags(texts.slice(x, y - x))
+            own = pa.array(_keys(doc, hashes, times, y - x), pa.binary())
+            part = pa.RecordBatch.from_arrays([reps.slice(x, y - x).cast(pa.binary()), texts.slice(x, y - x), pa.array(_bins(doc, hashes, times, y - x), pa.binary())], names=["rep", "text", "bins"])
+            yield part.filter(pc.equal(part.column("rep"), own))  # not another text with the same doc_id
+
+
+def candidates(shared: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep, text and bins of the representatives that share a bucket: the one time that texts are shuffled whole."""
+    wanted = shared.select("rep").distinct().join(reps.select("rep", "doc_id"), "rep")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return texts.join(wanted.hint("merge"), "doc_id").select("rep", "text").mapInArrow(_candidates, "rep binary, text string, bins binary")
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the pairs whose bags reach the threshold; reps: (rep, doc_id), one row each.
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, similarity) of the pairs whose bags reach the threshold; texts: (rep, text).
 
-    Each text is read once for all its pairs and sent to where its pair's first
-    member is, which is copied to four places so that no pivot is one task.
+    Each text is sent to where its pairs' first members are, which are copied to
+    four places so that no member's pairs are one task.
     """
     wanted = pairs.select(F.col("b").alias("rep"), "a", F.lit(1).alias("role")).unionByName(pairs.select(F.col("a").alias("rep"), "a", F.lit(0).alias("role")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    held = wanted.join(reps.select("rep", "doc_id"), "rep").join(texts, "doc_id")
+    held = texts.select("rep", "text").join(wanted.hint("merge"), "rep")
     place = F.when(F.col("role") == 0, F.array(*map(F.lit, range(4)))).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.lit(4)).cast("int")))
     spread = held.select("a", "role", "rep", "text", F.explode(place).alias("salt"))
     return spread.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_compare, "a binary, b binary, similarity double").dropDuplicates(["a", "b"])
@@ -202,10 +282,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.searchsorted(doc, np.arange(y - x + 1))
             size = _summed(doc, times.astype(np.uint64), y - x).astype(np.int64)
             found = []
-            for i, own in enumerate(_keys(doc, hashes, times, y - x)):
+            for i in range(y - x):
                 mine, key = slice(first[i], first[i + 1]), keys[x + i]
-                if own != reps[x + i]:  # another text with the same doc_id
-                    continue
                 if role[x + i] == 0:
                     lead = (key, hashes[mine], times[mine], size[i])
                 elif lead and lead[0] == key:
@@ -223,24 +301,34 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(rep, class): the least member of each connected component, for members of links."""
-    both = scratch.write(f"{name}-both", edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))))
-    labels = scratch.write(f"{name}-0", both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("rep"), F.least("x", "m").alias("class"), F.lit(True).alias("changed")))
-    step = 0
-    while labels.where("changed").limit(1).count():
-        near = both.join(labels.select(F.col("rep").alias("y"), F.col("class").alias("c")), "y").groupBy("x").agg(F.min("c").alias("c"))
-        lower = labels.join(near.withColumnRenamed("x", "rep"), "rep").select("rep", "class", F.least("class", "c").alias("low"))
-        jump = labels.select(F.col("rep").alias("low"), F.col("class").alias("far"))
-        to = F.coalesce("far", "low")
+    """(rep, class): one member of each connected component, for members of links.
+
+    In each round every node takes the least of its neighbours and itself, and
+    then that node's; edges between what nodes took are the next round's, so they
+    and the nodes shrink by a factor, and all is joins on small keys.
+    """
+    names, step = None, 0
+    while True:
+        both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
+        near = scratch.write(f"{name}-near-{step}", both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("to")))
+        jump = near.select(F.col("x").alias("to"), F.col("to").alias("far"))
+        took = scratch.write(f"{name}-took-{step}", near.join(jump, "to", "left").select("x", F.coalesce("far", "to").alias("to")))
+        if names is None:
+            names = took.select(F.col("x").alias("rep"), F.col("to").alias("class"))
+        else:
+            names = names.join(took.select(F.col("x").alias("class"), "to"), "class", "left").select("rep", F.coalesce("to", "class").alias("class"))
+        names = scratch.write(f"{name}-names-{step}", names)
+        moved = edges.join(took.select(F.col("x").alias("a"), F.col("to").alias("ta")), "a").join(took.select(F.col("x").alias("b"), F.col("to").alias("tb")), "b")
+        moved = moved.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
+        edges = scratch.write(f"{name}-edges-{step}", moved)
+        scratch.drop(f"{name}-near-{step}", f"{name}-took-{step}", f"{name}-names-{step - 1}", f"{name}-edges-{step - 1}")
+        if not edges.limit(1).count():
+            return names
         step += 1
-        labels = scratch.write(f"{name}-{step}", lower.join(jump, "low", "left").select("rep", to.alias("class"), (to < F.col("class")).alias("changed")))
-        scratch.drop(f"{name}-{step - 1}")
-    scratch.drop(f"{name}-both")
-    return labels.select("rep", "class")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in sorted runs of (bucket, i, j) whose signatures agree enough."""
+    """Pairs of different components in sorted runs of (bucket, i, j) whose signatures and shingles agree enough."""
     held: list[tuple] = []
     key = None
     kind = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -252,16 +340,24 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         side = np.array([h[2] for h in held])
         sig = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(len(held), -1)
-        at = np.arange(len(held))
+        bins = [np.frombuffer(h[4], np.uint16) for h in held]
+        at, seen = np.arange(len(held)), np.zeros(1 << 16, np.int64)
         for x in np.flatnonzero(side == 0):
             others = np.flatnonzero((side == 1 if key[1] != key[2] else at > x) & (cls != cls[x]))
             near = others[(sig[others] == sig[x]).sum(axis=1) >= SCREEN * sig.shape[1]]
+            if not len(near):
+                continue
+            seen[bins[x]] = 1
+            sizes = np.array([len(bins[y]) for y in near])
+            most = np.add.reduceat(seen[np.concatenate([bins[y] for y in near])], np.cumsum(sizes) - sizes)
+            seen[bins[x]] = 0
+            near = near[most >= SIMILARITY * (len(bins[x]) + sizes - most)]
             two = [sorted((held[x][0], held[y][0])) for y in near if held[x][0] != held[y][0]]
             if two:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in zip(*two, strict=True)], schema=kind)
 
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "rep", "class", "side", "sig")]
+        cols = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "rep", "class", "side", "sig", "bins")]
         for bucket, i, j, *row in zip(*cols, strict=True):
             if (bucket, i, j) != key:
                 yield from pairs()
@@ -270,9 +366,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pairs()
 
 
-def _residue(shared: DataFrame, labels: DataFrame, reps: DataFrame, work: Scratch) -> DataFrame:
+def _residue(shared: DataFrame, labels: DataFrame, bins: DataFrame, work: Scratch) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and may be similar."""
-    named = shared.join(labels, "rep", "left").select("bucket", "rep", F.coalesce("class", "rep").alias("class"))
+    named = shared.join(labels, "rep", "left").select("bucket", "rep", F.coalesce("class", "rep").alias("class"), "sig")
     by_class = named.groupBy("bucket", "class").agg(F.count("*").alias("n"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     mixed = (
@@ -281,7 +377,9 @@ def _residue(shared: DataFrame, labels: DataFrame, reps: DataFrame, work: Scratc
         .where("classes > 1")
         .select("bucket", F.col("top.class").alias("major"), blocks(F.col("top.n")).alias("ks"), blocks(F.col("n") - F.col("top.n")).alias("ku"))
     )
-    rows = named.join(work.write("mixed", mixed), "bucket").withColumn("s", F.col("class") == F.col("major")).withColumn("h", F.xxhash64("rep"))
+    rows = work.write("mixed-rows", named.join(work.write("mixed", mixed), "bucket"))
+    held = bins.join(rows.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
+    rows = rows.withColumn("s", F.col("class") == F.col("major")).withColumn("h", F.xxhash64("rep"))
     span = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
 
     def cell(i: Column, j: Column, side: Column) -> Column:
@@ -293,9 +391,9 @@ def _residue(shared: DataFrame, labels: DataFrame, reps: DataFrame, work: Scratc
         F.transform(span("ku"), lambda o: cell(F.least(in_u, o), F.greatest(in_u, o), (in_u > o))),
     )
     cells = F.when(F.col("s"), F.transform(span("ku"), lambda o: cell(o, -1 - in_s, F.lit(1)))).otherwise(minor)
-    placed = rows.select("bucket", "rep", "class", F.explode(cells).alias("c")).select("bucket", "c.i", "c.j", "c.side", "rep", "class")
-    full = placed.join(reps.select("rep", "sig"), "rep")
-    return full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side").mapInArrow(_blocks, "a binary, b binary").distinct()
+    placed = rows.select("bucket", "rep", "class", "sig", F.explode(cells).alias("c")).select("bucket", "c.i", "c.j", "c.side", "rep", "class", "sig")
+    placed = placed.join(held, "rep")
+    return placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side").mapInArrow(_blocks, "a binary, b binary").distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -306,20 +404,23 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = real.groupBy("rep").agg(F.min("doc_id").alias("doc_id"))
     reps = work.write("reps", real.join(work.write("least", reps), ["rep", "doc_id"]).dropDuplicates(["rep"]))
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
-    several = work.write("several", buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
-    shared = work.write("shared", buckets.join(several, "bucket"))
-    links = work.write("links-1", verify(work.write("pairs-1", _pivots(shared)), reps, docs))
+    several = work.write("several", buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    # signatures come to the rows of shared buckets only; these joins grow with the corpus on both sides, so they always shuffle
+    rows = work.write("rows", buckets.join(several.hint("merge"), "bucket"))
+    shared = work.write("shared", rows.join(reps.select("rep", "sig").hint("merge"), "rep"))
+    texts = work.write("texts", candidates(shared, reps, docs))
+    links = work.write("links-1", verify(work.write("pairs-1", _first_pairs(shared, work)), texts))
     labels = work.write("labels-1", components(links, work, "cc1"))
-    rest = work.write("pairs-2", _residue(shared, labels, reps, work))
+    rest = work.write("pairs-2", _residue(shared, labels, texts.select("rep", "bins"), work))
     if rest.limit(1).count():
-        more = work.write("links-2", verify(rest, reps, docs))
+        more = work.write("links-2", verify(rest, texts))
         if more.limit(1).count():
             labels = work.write("labels-2", components(links.unionByName(more), work, "cc2"))
     named = reps.select("rep", "doc_id").join(labels, "rep", "left").select("rep", "doc_id", F.coalesce("class", "rep").alias("class"))
     named = work.write("named", named)
     ids = work.write("ids", named.groupBy("class").agg(F.min("doc_id").alias("class_id")))
     named = work.write("class-of", named.join(ids, "class").select("rep", "class", "class_id"))
-    work.drop("least", "reps", "several", "shared", "mixed", "pairs-1", "pairs-2", "links-1", "links-2", "labels-1", "labels-2", "named", "ids")
+    work.drop("least", "reps", "several", "shared", "mixed", "rows", "mixed-rows", "texts", "near-0", "near-1", "near-2", "near-3", "pairs-1", "pairs-2", "links-1", "links-2", "labels-1", "labels-2", "named", "ids")
     rows = signed.select("doc_id", "text_hash", "rep", "n_shingles")
     lone = rows.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "text_hash", F.lit(None).cast("binary").alias("class"), F.col("doc_id").alias("class_id"))
     real = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -347,7 +448,7 @@ def keep(docs: DataFrame) -> DataFrame:
 
     def those(which: DataFrame) -> DataFrame:
         on = which.select(F.col("doc_id").alias(f"i{token}"), F.col("text_hash").alias(f"t{token}"))
-        return mine.join(on, [f"i{token}", f"t{token}"], "left_semi")
+        return mine.join(on.hint("merge"), [f"i{token}", f"t{token}"], "left_semi")
 
     out = those(stay.where("n = 1"))
     if stay.where("n > 1").limit(1).count():  # the same doc_id and class in several rows
