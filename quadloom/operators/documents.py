@@ -21,6 +21,7 @@ from quadloom.model.errors import Events, LinkedDataError
 from quadloom.model.nodes import node_map
 from quadloom.model.terms import aslist, is_keyword, ordered
 from quadloom.schema import NODES, QUADS
+from quadloom.scratch import bounded_batches
 from quadloom.sources import loaders
 
 RESULT = "doc_id string, result string, events array<string>, error string"
@@ -49,6 +50,7 @@ def loader_table(df: DataFrame, url: str = "url", document: str = "document", li
 def apply(docs: DataFrame, verb: str, *, doc_id: str = "doc_id", text: str = "json", remote: dict[str, str] | None = None, **options: object) -> DataFrame:
     """doc_id, result (JSON or N-Quads text), event codes and error code of each document under a verb."""
     run_verb = VERBS[verb]
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = Processor(loaders.table((remote or {}).items()))
@@ -75,6 +77,7 @@ def apply(docs: DataFrame, verb: str, *, doc_id: str = "doc_id", text: str = "js
 
 def to_nodes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "json", remote: dict[str, str] | None = None, **options: object) -> DataFrame:
     """Node-property rows of documents, with their doc_id; blank nodes are named `_:<doc_id>-b0` and so on."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = Processor(loaders.table((remote or {}).items()))
@@ -123,6 +126,7 @@ def _rows(doc: str, expanded: list) -> Iterator[dict]:
 
 def parse_quads(texts: DataFrame, *, doc_id: str = "doc_id", text: str = "nquads") -> DataFrame:
     """Quad rows, with their doc_id, of N-Quads documents."""
+    bounded_batches(texts.sparkSession)
 
     def show(t: tuple) -> str:
         return "" if t[0] == "default" else f"_:{t[1]}" if t[0] == "blank" else t[1]

@@ -1,4 +1,4 @@
-"""Tables written to the folder that the cluster shares, used to cut lineage."""
+"""Tables written to the folder that the cluster shares, used to cut lineage; and the size of Arrow batches."""
 
 from __future__ import annotations
 
@@ -17,6 +17,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows and bytes at which an Arrow batch ends; a row that is larger is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the memory of Python workers, whatever the size of documents."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 class Scratch:
     """A folder of intermediate Parquet tables. A task that is lost is computed again from them."""
 
