@@ -2,18 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-
 from quadloom.scratch import Scratch, shared_dir
+from quadloom.scratch import bounded_batches as tune
 
-#: Rows and bytes at which an Arrow batch of the Python operators ends; a row that is larger is a batch of its own.
-ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
-
-
-def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small, as documents and blocks are large rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-
-
-__all__ = ["ARROW_BYTES", "ARROW_ROWS", "Scratch", "shared_dir", "tune"]
+__all__ = ["Scratch", "shared_dir", "tune"]
