@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions.iris import is_absolute
-from quadloom.functions.literals import canonical_double
 from quadloom.model import terms as T
 from quadloom.schema import DEFAULT, NODE_COLUMNS, QUAD_COLUMNS
 from quadloom.scratch import Scratch
@@ -140,4 +139,4 @@ def i18n(value: Column, language: Column, direction: Column) -> Column:
     return F.concat(F.lit(T.I18N), F.lower(F.coalesce(language, F.lit(""))), F.lit("_"), direction)
 
 
-__all__ = ["canonical_double", "from_quads", "i18n", "native_value", "rebuilt_lists", "to_quads"]
+__all__ = ["from_quads", "i18n", "native_value", "rebuilt_lists", "to_quads"]

@@ -13,7 +13,7 @@ from quadloom.model import terms as T
 from quadloom.model.terms import RDF_LANG_STRING, XSD, XSD_STRING
 from quadloom.operators import canonize, documents, framing, nodes, rdf
 from quadloom.plans import table as P
-from quadloom.plans.views import CONTEXTS, EX, mapped, table, view
+from quadloom.plans.views import EX, mapped, table, view
 from quadloom.schema import QUAD_COLUMNS
 from quadloom.sources import nquads
 
@@ -731,4 +731,4 @@ def s2_remote_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long").alias("page_id"), F.col("subject").alias("id"))
 
 
-__all__ = ["CONTEXTS", "oracle_sql", "queries"]
+__all__ = ["oracle_sql", "queries"]
