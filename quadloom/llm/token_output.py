@@ -44,29 +44,24 @@ LIMIT, BLOCK, STRIDE = 20, 1 << 19, 256
 #: Words and ids that a worker remembers before it forgets them all.
 CACHE_WORDS, CACHE_IDS = 1_500_000, 12_000_000
 
-_LETTER = V._table(lambda b: chr(b).isalpha() and b < 128)
-_DIGIT = V._table(lambda b: 48 <= b < 58)
-#: ASCII punctuation, but for what special tokens and contractions are made of.
-_MARK = V._table(lambda b: 32 < b < 127 and not chr(b).isalnum() and chr(b) not in "<|>'")
-_APOSTROPHE = V._table(lambda b: b == 39)
+#: Kinds of bytes: ASCII letters 1, digits 2, punctuation 3 (but for what special tokens and contractions are made of), the apostrophe 4, else 0; 5 is the end of a Latin letter beyond ASCII.
+_KIND = np.array([0 if b > 126 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 4 if b == 39 else 3 if b > 32 and chr(b) not in "<|>" else 0 for b in range(256)], np.uint8)
+#: Whether the pre-tokenizer splits between two kinds, whatever stands around them (index: 6 * first + second).
+_SPLIT = np.zeros(36, bool)
+_SPLIT[[6 * a + b for a, b in ((1, 2), (1, 3), (1, 4), (5, 2), (5, 3), (5, 4), (2, 1), (3, 1), (2, 2), (2, 3), (3, 2))]] = True
 #: First bytes of the letters U+00C0 to U+027F.
 _LATIN = V._table(lambda b: 0xC3 <= b <= 0xC9)
 
 
 def borders(data: np.ndarray) -> np.ndarray:
-    """Places within words where the pre-tokenizer splits, too, whatever stands around them: between letters, digits and marks."""
-    letter = _LETTER[data]
-    second = np.flatnonzero(_LATIN[data[:-1]] & (data[1:] & 0xC0 == 0x80)) + 1
-    odd = (data[second - 1] == 0xC3) & ((data[second] == 0x97) | (data[second] == 0xB7))  # the signs for times and divided by
-    odd |= (data[second - 1] == 0xC4) & (data[second] == 0xB0)  # a capital whose lower case ends in a mark
-    second = second[~odd]
-    ended = letter.copy()
-    ended[second] = True
-    digit, mark = _DIGIT[data], _MARK[data]
-    before, after = slice(None, -1), slice(1, None)
-    cut = ended[before] & (digit[after] | mark[after] | _APOSTROPHE[data[after]])
-    cut |= (digit[before] | mark[before]) & letter[after] | digit[before] & (digit[after] | mark[after]) | mark[before] & digit[after]
-    return np.flatnonzero(cut) + 1
+    """Places within words where the pre-tokenizer splits, too."""
+    kind = _KIND[data]
+    first = np.flatnonzero(_LATIN[data])
+    lead, tail = data[first], data[first + 1]
+    odd = (lead == 0xC3) & ((tail == 0x97) | (tail == 0xB7))  # the signs for times and divided by
+    odd |= (lead == 0xC4) & (tail == 0xB0)  # a capital whose lower case ends in a mark
+    kind[first[~odd] + 1] = 5
+    return np.flatnonzero(_SPLIT[kind[:-1] * np.uint8(6) + kind[1:]]) + 1
 
 
 #: The characters by which byte-level vocabularies name bytes: printable ones themselves, the others from U+0100 on.
