@@ -6,13 +6,16 @@
 2. A node's importance is the larger of the two entropies, each over the
    logarithm of the node's pages: 0 if all pages agree, 1 if no two do.
 3. From each page, branches are removed whose containers are on most pages of a
-   host of varied pages and are of low importance, besides those that tags,
-   classes or roles name as menus, headers, footers, sidebars, notices, adverts,
-   forms or comments. If a page has an article, only what is in it remains.
+   host of varied pages and are of low importance beside the page's text, besides
+   those that tags, classes or roles name as menus, headers, footers, sidebars,
+   notices, adverts, forms or comments. If a page has an article, only what is in
+   it remains.
 
-Paragraphs, headings and articles are never removed for being repeated, as
-articles are copied between pages; and a host of less than `MIN_PAGES` pages has
-no evidence of its own.
+Articles are copied between pages. So pages of equal text count once, low is
+measured by the mean importance of the page's text and by the branch around, and
+an article, a main part, a container of half the text or more, and branches that
+together leave less than `LEAST` of it are never removed for being repeated; nor
+are paragraphs and headings. A host of less than `MIN_PAGES` pages has no evidence of its own.
 
 Cases: null or empty html has the empty text; a null URL is the host ``; markup
 that is cut off ends the page; a tag that is never closed ends with its parent;
@@ -34,10 +37,12 @@ from pyspark.sql import functions as F
 
 from quadloom.llm.scratch import Scratch, tune
 
-#: A container goes if its importance is below LOW, its host's pages' above HIGH, and it is on the share MOST of MIN_PAGES pages or more.
+#: A container goes if its importance is below LOW of its page's and its parent's, its host's pages' above HIGH, and it is on the share MOST of MIN_PAGES pages or more.
 LOW, HIGH, MOST, MIN_PAGES = 0.3, 0.6, 0.5, 8
-#: Hosts whose removed nodes are broadcast; with more they are joined.
-MAX_HOSTS = 50_000
+#: The share of a page's text that stays at least.
+LEAST = 0.25
+#: Nodes that are broadcast; more are joined.
+MAX_NODES = 500_000
 
 # Names of the HTML standard.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -77,14 +82,13 @@ def _signed(n: int) -> int:
 class Page:
     """One pass over a page: its text pieces with what stands around them, and its nodes' paths, presentations and contents."""
 
-    def __init__(self, html: str, removed: frozenset[int] = frozenset()):
-        self.pieces: list[tuple[str, bool, bool]] = []  # text, in an article, in a removed branch
-        self.nodes: list[tuple[int, int, int]] = []  # path, presentation, content
+    def __init__(self, html: str):
+        self.pieces: list[tuple[str, bool, bool, int]] = []  # text, in an article, named as noise, its nearest node
+        self.nodes: list[list] = [[0, 0, 0, "", 0]]  # path, presentation, content, tag, parent; in the order of their starts
         self.has_article = False
-        self._removed = removed
-        self._sum = 0  # of the hashes of the text so far
-        # tag, path, presentation, sum at its start, in an article, removed
-        self._stack: list[list] = [["", 0, 0, 0, False, False]]
+        self._sum = 0  # of the hashes of the text so far that is not named as noise
+        # tag, path, presentation, sum at its start, in an article, named as noise, nearest node
+        self._stack: list[list] = [["", 0, 0, 0, False, False, 0]]
         self._parse(html)
 
     def _parse(self, html: str) -> None:
@@ -122,19 +126,20 @@ class Page:
                 self._open(tag, rest)
         while len(self._stack) > 1:
             self._pop()
+        self.nodes[0][2] = self._sum
 
     def _text(self, text: str) -> None:
         if text:
             if "&" in text:
                 text = entities.unescape(text)
             top = self._stack[-1]
-            self.pieces.append((text, top[4], top[5]))
-            if not text.isspace():
+            self.pieces.append((text, top[4], top[5], top[6]))
+            if not top[5] and not text.isspace():
                 self._sum = self._sum + _hash(" ".join(text.split())) & (1 << 64) - 1
 
     def _break(self) -> None:
         top = self._stack[-1]
-        self.pieces.append((" ", top[4], top[5]))
+        self.pieces.append((" ", top[4], top[5], top[6]))
 
     def _open(self, tag: str, rest: str) -> None:
         if tag in _CLOSES_P:
@@ -158,7 +163,7 @@ class Page:
                     hidden = True
         path = _hash(top[1], tag, *names)
         article = top[4] or tag in ("article", "main") or role in ("main", "article")
-        noise = top[5] or tag in _NOISE_TAGS or role in _ROLES or path in self._removed or hidden
+        noise = top[5] or tag in _NOISE_TAGS or role in _ROLES or hidden
         if not noise and tag not in ("html", "body", "article", "main"):
             noise = bool(_NOISE_NAMES.intersection(names)) or not top[4] and (tag == "header" or bool(_HEAD_NAMES.intersection(names)))
         elif not noise and tag == "article":
@@ -167,19 +172,23 @@ class Page:
             self.has_article = True
         if tag not in _INLINE:
             self._break()
-        self._stack.append([tag, path, 0, self._sum, article, noise])
+        node = top[6]
+        if not noise and (tag in _CONTAINERS or tag in ("body", "article", "main")):
+            self.nodes.append([path, 0, 0, tag, node])
+            node = len(self.nodes) - 1
+        self._stack.append([tag, path, 0, self._sum, article, noise, node])
         if tag not in _INLINE:
             self._break()
 
     def _pop(self) -> None:
-        tag, path, style, start, *_ = self._stack[-1]
+        tag, _, style, start, *_, node = self._stack[-1]
         if tag not in _INLINE:
             self._break()
         self._stack.pop()
+        if node != self._stack[-1][6]:
+            self.nodes[node][1:3] = style, self._sum - start & (1 << 64) - 1
         if tag not in _INLINE:
             self._break()
-        if tag in _CONTAINERS or tag in _NOISE_TAGS or tag in ("body", "article", "main"):
-            self.nodes.append((path, style, self._sum - start & (1 << 64) - 1))
 
     def _close_until(self, tags: set[str], barrier: set[str]) -> None:
         for k in range(len(self._stack) - 1, 0, -1):
@@ -198,8 +207,26 @@ class Page:
         elif tag not in _INLINE:
             self._break()
 
-    def text(self) -> str:
-        kept = (t for t, article, noise in self.pieces if not noise and (article or not self.has_article))
+    def _low(self, importance: dict[int, float]) -> set[int]:
+        """Nodes that are removed, given the importance of the nodes that the host has evidence for; others count as 1."""
+        own = [0] * len(self.nodes)
+        for text, _, noise, node in self.pieces:
+            if not noise and not text.isspace():
+                own[node] += len(text)
+        known = [importance.get(n[0], 1.0) for n in self.nodes]
+        within, total = list(own), sum(own)
+        for k in range(len(own) - 1, 0, -1):
+            within[self.nodes[k][4]] += within[k]
+        mean = sum(n * i for n, i in zip(own, known, strict=True)) / max(total, 1)
+        low: set[int] = set()
+        for k, (_, _, _, tag, parent) in enumerate(self.nodes):
+            if k and (parent in low or tag in _CONTAINERS and known[k] < LOW * min(mean, known[parent]) and 2 * within[k] < total):
+                low.add(k)
+        return low if total - sum(own[k] for k in low) >= LEAST * total else set()
+
+    def text(self, importance: dict[int, float] | None = None) -> str:
+        low = self._low(importance) if importance else ()
+        kept = (t for t, article, noise, node in self.pieces if not noise and node not in low and (article or not self.has_article))
         return " ".join("".join(kept).split())
 
 
@@ -207,13 +234,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: Counter = Counter()
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            page = Page(html or "")
-            for path, style, content in set(page.nodes):
-                found[host, _signed(path), "style", _signed(style)] += 1
-                found[host, _signed(path), "content", _signed(content)] += 1
-            found[host, 0, "content", _signed(page._sum)] += 1  # path 0: the whole page
+            nodes = Page(html or "").nodes
+            whole = _signed(nodes[0][2])
+            for path, style, content in {(n[0], n[1], n[2]) for n in nodes[1:]}:
+                found[host, _signed(path), "style", _signed(style), whole] += 1
+                found[host, _signed(path), "content", _signed(content), whole] += 1
+            found[host, 0, "content", whole, whole] += 1  # path 0: the whole page
         if found:
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in zip(*found, strict=True)), pa.array(found.values(), pa.int64())], names=["host", "path", "kind", "value", "n"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in zip(*found, strict=True)), pa.array(found.values(), pa.int64())], names=["host", "path", "kind", "value", "page", "n"])
 
 
 def _host() -> Column:
@@ -222,28 +250,34 @@ def _host() -> Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, pages (that have the node) and importance of the nodes of each host's tree; path 0 is the whole page."""
+    """host, path, pages (that have the node, those of equal text counted once) and importance of the nodes of each host's tree; path 0 is the whole page, all pages counted."""
     tune(pages.sparkSession)
     read = pages.select(_host().alias("host"), F.col("html").cast("string"))
-    seen = read.mapInArrow(_count, "host string, path long, kind string, value long, n long").groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
-    sums = seen.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    node = ["host", "path", "kind", "value"]
+    each = read.mapInArrow(_count, "host string, path long, kind string, value long, page long, n long").groupBy(*node, "page").agg(F.sum("n").alias("n"))
+    seen = each.groupBy(*node).agg(F.sum(F.when(F.col("path") == 0, F.col("n")).otherwise(1)).alias("n"))
+    sums = seen.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.count("*").alias("values"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
-    return sums.groupBy("host", "path").agg(F.max("m").alias("pages"), F.max(entropy).alias("importance"))
+    return sums.groupBy("host", "path").agg(F.max("m").alias("pages"), F.max(entropy).alias("importance"), F.max(F.when(F.col("path") == 0, F.col("values"))).alias("texts"))
 
 
-def low_branches(tree: DataFrame) -> DataFrame:
-    """host and the paths of its containers of low importance: each on half of the host's pages, so no more than twice the nodes of a page."""
-    whole = tree.where("path = 0").select("host", F.col("pages").alias("all"), F.col("importance").alias("varied"))
-    low = tree.where((F.col("path") != 0) & (F.col("importance") < LOW)).join(whole, "host")
-    good = low.where((F.col("all") >= MIN_PAGES) & (F.col("varied") > HIGH) & (F.col("pages") >= F.col("all") * MOST))
-    return good.groupBy("host").agg(F.collect_list("path").alias("paths"))
+def evidence(tree: DataFrame) -> DataFrame:
+    """host and the paths and importances of the nodes that are on half of the host's pages, so no more than twice the nodes of a page."""
+    whole = tree.where("path = 0").select("host", F.col("texts").alias("all"), F.col("importance").alias("varied"))
+    nodes = tree.where(F.col("path") != 0).join(whole, "host")
+    good = nodes.where((F.col("all") >= MIN_PAGES) & (F.col("varied") > HIGH) & (F.col("pages") >= F.col("all") * MOST))
+    held = good.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("nodes"))
+    return held.select("host", F.col("nodes.path").alias("paths"), F.col("nodes.importance").alias("importances"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for html, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True):
-            texts.append(Page(html or "", frozenset(p & (1 << 64) - 1 for p in paths or ())).text())
+        texts, known = [], {}
+        paths, importances = batch.column("paths"), batch.column("importances")
+        for k, (host, html) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+            if host not in known:
+                known[host] = {p & (1 << 64) - 1: i for p, i in zip(paths[k].as_py() or (), importances[k].as_py() or (), strict=True)}
+            texts.append(Page(html or "").text(known[host]))
         out = pa.array(texts, pa.string())
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), out, pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -251,10 +285,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     work = Scratch(pages.sparkSession, "style-tree")
-    low = work.write("low", low_branches(work.write("tree", style_tree(pages))))
-    few = low.limit(MAX_HOSTS + 1).count() <= MAX_HOSTS
+    known = work.write("known", evidence(work.write("tree", style_tree(pages))))
+    few = (known.agg(F.sum(F.size("paths")).alias("n")).first()["n"] or 0) <= MAX_NODES
     read = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), _host().alias("host"))
-    return read.join(F.broadcast(low) if few else low, "host", "left").drop("host").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return read.join(F.broadcast(known) if few else known, "host", "left").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def query(pages: DataFrame) -> DataFrame:

@@ -281,6 +281,15 @@ def test_style_trees_remove_what_a_host_repeats(spark):
     assert html_text.importance([5, 5]) == pytest.approx(np.log(2) / np.log(10))
 
 
+def test_copied_stories_stay_under_varying_menus(spark):
+    story = lambda k: f"<div class=story><p>Story {k} " + "told again " * 20 + "</p><div class=more>" + f"and more of story {k} " * 8 + "</div></div>"
+    page = lambda i, k: f"<body><div class=top>item {i} link {i * 3}</div>{story(k)}</body>"
+    rows = [(i, "http://copies/", page(i, 0 if i < 80 else i)) for i in range(100)] + [(100 + i, "http://small/", page(i, min(i, 1))) for i in range(8)]
+    rows += [(200 + i, "http://one/", page(i, 0)) for i in range(30)]
+    text = {r.page_id: r.text for r in html_text.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(t.count("told again") == 20 and t.count("and more") == 8 for t in text.values()) and len(text) == 138
+
+
 def test_page_text_takes_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "http://h/", "<p>a", "x"), (2, "", "", "x"), (2, "", "", "x"), (3, "http://h/", "<p>" + "w " * 200_000, "x")], "page_id long, url string, html string, text string")
     got = Counter((r.page_id, r.n_chars) for r in html_text.query(pages).collect())
