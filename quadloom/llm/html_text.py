@@ -8,8 +8,9 @@
 3. From each page, branches are removed whose containers are on most pages of a
    host of varied pages and are of low importance beside the page's text, besides
    those that tags, classes or roles name as menus, headers, footers, sidebars,
-   notices, adverts, forms or comments. If a page has an article, only what is in
-   it remains.
+   notices, adverts, forms or comments. An article decides only on hosts without
+   evidence, and only if it has half of the page's text or more: then what is
+   outside of it goes too.
 
 Articles are copied between pages. So pages of equal text count once, low is
 measured by the mean importance of the page's text and by the branch around, and
@@ -85,7 +86,6 @@ class Page:
     def __init__(self, html: str):
         self.pieces: list[tuple[str, bool, bool, int]] = []  # text, in an article, named as noise, its nearest node
         self.nodes: list[list] = [[0, 0, 0, "", 0]]  # path, presentation, content, tag, parent; in the order of their starts
-        self.has_article = False
         self._sum = 0  # of the hashes of the text so far that is not named as noise
         # tag, path, presentation, sum at its start, in an article, named as noise, nearest node
         self._stack: list[list] = [["", 0, 0, 0, False, False, 0]]
@@ -168,8 +168,6 @@ class Page:
             noise = bool(_NOISE_NAMES.intersection(names)) or not top[4] and (tag == "header" or bool(_HEAD_NAMES.intersection(names)))
         elif not noise and tag == "article":
             noise = bool({"comment", "comments", "reply", "ad", "advert", "promo"}.intersection(names))
-        if article and not noise and not top[4]:
-            self.has_article = True
         if tag not in _INLINE:
             self._break()
         node = top[6]
@@ -207,12 +205,8 @@ class Page:
         elif tag not in _INLINE:
             self._break()
 
-    def _low(self, importance: dict[int, float]) -> set[int]:
-        """Nodes that are removed, given the importance of the nodes that the host has evidence for; others count as 1."""
-        own = [0] * len(self.nodes)
-        for text, _, noise, node in self.pieces:
-            if not noise and not text.isspace():
-                own[node] += len(text)
+    def _low(self, own: list[int], importance: dict[int, float]) -> set[int]:
+        """Nodes that are removed, given the length of each node's own text and the importance of nodes; nodes without one count as 1."""
         known = [importance.get(n[0], 1.0) for n in self.nodes]
         within, total = list(own), sum(own)
         for k in range(len(own) - 1, 0, -1):
@@ -225,8 +219,15 @@ class Page:
         return low if total - sum(own[k] for k in low) >= LEAST * total else set()
 
     def text(self, importance: dict[int, float] | None = None) -> str:
-        low = self._low(importance) if importance else ()
-        kept = (t for t, article, noise, node in self.pieces if not noise and node not in low and (article or not self.has_article))
+        """The main text, by the importance of the nodes of the page's host; None if the host has no evidence."""
+        own, told = [0] * len(self.nodes), 0
+        for text, article, noise, node in self.pieces:
+            if not noise and not text.isspace():
+                own[node] += len(text)
+                told += len(text) * article
+        low = self._low(own, importance) if importance else ()
+        alone = importance is None and told and 2 * told >= sum(own)
+        kept = (t for t, article, noise, node in self.pieces if not noise and node not in low and (article or not alone))
         return " ".join("".join(kept).split())
 
 
@@ -276,7 +277,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths, importances = batch.column("paths"), batch.column("importances")
         for k, (host, html) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
             if host not in known:
-                known[host] = {p & (1 << 64) - 1: i for p, i in zip(paths[k].as_py() or (), importances[k].as_py() or (), strict=True)}
+                held = paths[k].as_py()
+                known[host] = None if held is None else {p & (1 << 64) - 1: i for p, i in zip(held, importances[k].as_py(), strict=True)}
             texts.append(Page(html or "").text(known[host]))
         out = pa.array(texts, pa.string())
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), out, pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])

@@ -290,6 +290,14 @@ def test_copied_stories_stay_under_varying_menus(spark):
     assert all(t.count("told again") == 20 and t.count("and more") == 8 for t in text.values()) and len(text) == 138
 
 
+def test_a_teaser_beside_the_story_does_not_decide(spark):
+    page = lambda i: f"<body><div id=content><p>Story {i} " + f"goes on {i} " * 20 + f"</p></div><article class=teaser><p>Teaser {i}</p></article></body>"
+    rows = [(i, "http://alone/" if i == 0 else "http://many/", page(i)) for i in range(20)]
+    for r in html_text.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text.count(f"goes on {r.page_id} ") == 20 and r.text.endswith(f"Teaser {r.page_id}")
+    assert html_text.Page("<body><div>Site name</div><article>" + "text " * 20 + "</article></body>").text() == ("text " * 20).strip()
+
+
 def test_page_text_takes_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "http://h/", "<p>a", "x"), (2, "", "", "x"), (2, "", "", "x"), (3, "http://h/", "<p>" + "w " * 200_000, "x")], "page_id long, url string, html string, text string")
     got = Counter((r.page_id, r.n_chars) for r in html_text.query(pages).collect())
