@@ -1,13 +1,13 @@
 """Main text of web pages by site style trees.
 
-1. The pages of a host are merged into one tree: nodes with the same path of tags
-   and classes are one node. For each node the tree counts the presentations
+1. The pages of a host are merged into one tree: nodes with the same path of tags,
+   classes and places among their like are one node. For each node the tree counts the presentations
    (sequences of child tags) and the contents it had over the host's pages.
 2. A node's importance is the larger of the two entropies, each over the
    logarithm of the node's pages: 0 if all pages agree, 1 if no two do.
-3. From each page, branches are removed whose containers are on most pages of a
-   host of varied pages and are of low importance beside the page's text, besides
-   those that tags, classes or roles name as menus, headers, footers, sidebars,
+3. From each page, branches are removed whose containers are on `MIN_PAGES` of the
+   host's pages or more, however many it has, and are of low importance beside the
+   page's text, besides those that tags, classes or roles name as menus, headers, footers, sidebars,
    notices, adverts, forms or comments. An article decides only on hosts without
    evidence, and only if it has half of the page's text or more: then what is
    outside of it goes too.
@@ -16,7 +16,7 @@ Articles are copied between pages. So pages of equal text count once, low is
 measured by the mean importance of the page's text and by the branch around, and
 an article, a main part, a container of half the text or more, and branches that
 together leave less than `LEAST` of it are never removed for being repeated; nor
-are paragraphs and headings. A host of less than `MIN_PAGES` pages has no evidence of its own.
+are paragraphs and headings. A host of less than `MIN_PAGES` texts has no evidence of its own.
 
 Cases: null or empty html has the empty text; a null URL is the host ``; markup
 that is cut off ends the page; a tag that is never closed ends with its parent;
@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 
 from quadloom.llm.scratch import Scratch, tune
 
-#: A container goes if its importance is below LOW of its page's and its parent's, its host's pages' above HIGH, and it is on the share MOST of MIN_PAGES pages or more.
-LOW, HIGH, MOST, MIN_PAGES = 0.3, 0.6, 0.5, 8
+#: A container goes if its importance is below LOW of its page's and its parent's, and it is on MIN_PAGES pages of its host or more. Nodes of HIGH count as 1.
+LOW, HIGH, MIN_PAGES = 0.3, 0.9, 3
 #: The share of a page's text that stays at least.
 LEAST = 0.25
-#: Nodes that are broadcast; more are joined.
+#: Nodes and hosts that are broadcast; more are joined.
 MAX_NODES = 500_000
 
 # Names of the HTML standard.
@@ -87,7 +87,7 @@ class Page:
         self.pieces: list[tuple[str, bool, bool, int]] = []  # text, in an article, named as noise, its nearest node
         self.nodes: list[list] = [[0, 0, 0, "", 0]]  # path, presentation, content, tag, parent; in the order of their starts
         self._sum = 0  # of the hashes of the text so far that is not named as noise
-        # tag, path, presentation, sum at its start, in an article, named as noise, nearest node
+        # tag, path from its nearest node, presentation, sum at its start, in an article, named as noise, nearest node
         self._stack: list[list] = [["", 0, 0, 0, False, False, 0]]
         self._parse(html)
 
@@ -127,6 +127,15 @@ class Page:
         while len(self._stack) > 1:
             self._pop()
         self.nodes[0][2] = self._sum
+        self._number()
+
+    def _number(self) -> None:
+        """Make the nodes' paths whole, each with the node's place among the like under its parent, and their number."""
+        like, place = Counter((n[4], n[0]) for n in self.nodes[1:]), Counter()
+        for node in self.nodes[1:]:
+            kind = node[4], node[0]
+            place[kind] += 1
+            node[0] = _hash(self.nodes[node[4]][0], node[0], place[kind], like[kind])
 
     def _text(self, text: str) -> None:
         if text:
@@ -149,6 +158,7 @@ class Page:
         top = self._stack[-1]
         top[2] = _hash(top[2], tag)
         names: list[str] = []
+        classes: list[str] = []
         role, hidden = "", False
         if rest.strip():
             for key, *values in _ATTRIBUTE.findall(rest):
@@ -157,11 +167,12 @@ class Page:
                     for name in value.split():
                         parts = [x for x in _PART.split(_CAMEL.sub("-", name).lower()) if x]
                         names += [] if _ABOUT.intersection(parts) else parts
+                        classes += parts if key == "class" else []
                 elif key == "role":
                     role = value.lower()
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _UNSEEN.search(value):
                     hidden = True
-        path = _hash(top[1], tag, *names)
+        path = _hash(top[1], tag, *classes)
         article = top[4] or tag in ("article", "main") or role in ("main", "article")
         noise = top[5] or tag in _NOISE_TAGS or role in _ROLES or hidden
         if not noise and tag not in ("html", "body", "article", "main"):
@@ -173,7 +184,7 @@ class Page:
         node = top[6]
         if not noise and (tag in _CONTAINERS or tag in ("body", "article", "main")):
             self.nodes.append([path, 0, 0, tag, node])
-            node = len(self.nodes) - 1
+            node, path = len(self.nodes) - 1, 0
         self._stack.append([tag, path, 0, self._sum, article, noise, node])
         if tag not in _INLINE:
             self._break()
@@ -263,11 +274,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def evidence(tree: DataFrame) -> DataFrame:
-    """host and the paths and importances of the nodes that are on half of the host's pages, so no more than twice the nodes of a page."""
-    whole = tree.where("path = 0").select("host", F.col("texts").alias("all"), F.col("importance").alias("varied"))
-    nodes = tree.where(F.col("path") != 0).join(whole, "host")
-    good = nodes.where((F.col("all") >= MIN_PAGES) & (F.col("varied") > HIGH) & (F.col("pages") >= F.col("all") * MOST))
-    held = good.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("nodes"))
+    """host of MIN_PAGES texts or more, and the paths and importances of its nodes on MIN_PAGES pages or more that are not of high importance."""
+    node = F.when((F.col("path") != 0) & (F.col("pages") >= MIN_PAGES) & (F.col("importance") < HIGH), F.struct("path", "importance"))
+    held = tree.groupBy("host").agg(F.max("texts").alias("texts"), F.collect_list(node).alias("nodes")).where(F.col("texts") >= MIN_PAGES)
     return held.select("host", F.col("nodes.path").alias("paths"), F.col("nodes.importance").alias("importances"))
 
 
@@ -288,7 +297,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     work = Scratch(pages.sparkSession, "style-tree")
     known = work.write("known", evidence(work.write("tree", style_tree(pages))))
-    few = (known.agg(F.sum(F.size("paths")).alias("n")).first()["n"] or 0) <= MAX_NODES
+    few = (known.agg(F.sum(F.size("paths") + 1).alias("n")).first()["n"] or 0) <= MAX_NODES
     read = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), _host().alias("host"))
     return read.join(F.broadcast(known) if few else known, "host", "left").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 

@@ -298,6 +298,18 @@ def test_a_teaser_beside_the_story_does_not_decide(spark):
     assert html_text.Page("<body><div>Site name</div><article>" + "text " * 20 + "</article></body>").text() == ("text " * 20).strip()
 
 
+def test_style_trees_judge_nodes_by_the_pages_that_have_them(spark):
+    story = lambda i: f"<p>Story {i} " + f"goes on {i} " * 30 + "</p>"
+    blurb = "<p>Always the same</p>"
+    page = lambda i, name="": f"<body><div class={name}a>{blurb}</div><div class={name}b>{story(i)}</div></body>"
+    rows = [(i, "http://skewed/", page(max(i, 45))) for i in range(90)]
+    rows += [(100 + i, "http://templates/", page(i, "xyzw"[i % 4])) for i in range(40)]
+    rows += [(200 + i, "http://small/", page(i)) for i in range(4)]
+    rows += [(300 + i, "http://unnamed/", f"<body><div>{blurb}</div><div>{story(i)}</div></body>") for i in range(30)]
+    text = {r.page_id: r.text for r in html_text.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(text) == 164 and all(t.startswith("Story") and t.count("goes on") == 30 for t in text.values())
+
+
 def test_page_text_takes_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "http://h/", "<p>a", "x"), (2, "", "", "x"), (2, "", "", "x"), (3, "http://h/", "<p>" + "w " * 200_000, "x")], "page_id long, url string, html string, text string")
     got = Counter((r.page_id, r.n_chars) for r in html_text.query(pages).collect())
