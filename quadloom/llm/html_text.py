@@ -18,6 +18,11 @@ an article, a main part, a container of half the text or more, and branches that
 together leave less than `LEAST` of it are never removed for being repeated; nor
 are paragraphs and headings. A host of less than `MIN_PAGES` texts has no evidence of its own.
 
+Names count as a whole: a class, or outside of articles an id, made of listed
+words and such as `bar` or `list`. They never name headings and paragraphs, and in
+an article only containers by the words that are sure. Ids of sections, and those
+in a main part without an article, are taken for slugs of headings.
+
 Cases: null or empty html has the empty text; a null URL is the host ``; markup
 that is cut off ends the page; a tag that is never closed ends with its parent;
 repeated rows give repeated rows; extra columns are not read.
@@ -61,7 +66,20 @@ _NOISE_NAMES = frozenset(
     pager pagination popup promo promoted promotion recommended related replies reply respond responses search share sharing sidebar signup
     skip social sponsor sponsored subscribe subscription toolbar topbar widget""".split()
 )
+#: Of these, the ones that count within an article or main part, where the others can be what it is about.
+_SURE_NAMES = frozenset(
+    """ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comments commentlist consent disqus gdpr hidden login modal nav navbar
+    newsletter pager pagination popup promo promoted promotion recommended related share sharing sidebar signup sponsored subscribe subscription
+    toolbar topbar widget""".split()
+)
 _HEAD_NAMES = frozenset(["header"])
+_ARTICLE_NAMES = frozenset("comment comments reply ad advert promo".split())
+#: Parts that a name of noise can have besides: `share-bar`, `site-footer`.
+_AROUND = frozenset(
+    """area bar block body bottom box button buttons container content global google group header icon icons inner item items left link links list main
+    menu mobile notice outer page panel post primary right row secondary section site slot social top unit wrap wrapper""".split()
+)
+_PROSE = frozenset("html body article main h1 h2 h3 h4 h5 h6 p blockquote pre".split())
 #: Beside these, a name says what a wrapper has around it, not what it is: `has-sidebar`.
 _ABOUT = frozenset("has with no without layout enabled".split())
 
@@ -76,6 +94,11 @@ def _hash(*parts: object) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"))
 
 
+def _named(names: list[list[str]], words: frozenset[str]) -> bool:
+    """Whether one of the names, given in parts, is one of the words as a whole, or made of them and what stands around."""
+    return any(not words.isdisjoint(parts) and all(p in words or p in _AROUND for p in parts) for parts in names)
+
+
 def _signed(n: int) -> int:
     return (n & (1 << 64) - 1) - (1 << 64 if n >> 63 & 1 else 0)
 
@@ -87,8 +110,9 @@ class Page:
         self.pieces: list[tuple[str, bool, bool, int]] = []  # text, in an article, named as noise, its nearest node
         self.nodes: list[list] = [[0, 0, 0, "", 0]]  # path, presentation, content, tag, parent; in the order of their starts
         self._sum = 0  # of the hashes of the text so far that is not named as noise
-        # tag, path from its nearest node, presentation, sum at its start, in an article, named as noise, nearest node
-        self._stack: list[list] = [["", 0, 0, 0, False, False, 0]]
+        # tag, path from its nearest node, presentation, sum at its start, in an article or main part, named as noise, nearest node, in an article
+        self._ended = False  # an article has been seen: what has an id in the main part, outside of it, is not in it
+        self._stack: list[list] = [["", 0, 0, 0, False, False, 0, False]]
         self._parse(html)
 
     def _parse(self, html: str) -> None:
@@ -157,7 +181,7 @@ class Page:
             self._close_until(_SIBLINGS[tag], _BARRIER[tag])
         top = self._stack[-1]
         top[2] = _hash(top[2], tag)
-        names: list[str] = []
+        names: list[list[str]] = []
         classes: list[str] = []
         role, hidden = "", False
         if rest.strip():
@@ -166,7 +190,8 @@ class Page:
                 if key in ("class", "id"):
                     for name in value.split():
                         parts = [x for x in _PART.split(_CAMEL.sub("-", name).lower()) if x]
-                        names += [] if _ABOUT.intersection(parts) else parts
+                        if key == "class" or self._ended or not (top[4] or tag == "section"):
+                            names += [] if _ABOUT.intersection(parts) or key == "id" and top[7] else [parts]
                         classes += parts if key == "class" else []
                 elif key == "role":
                     role = value.lower()
@@ -175,22 +200,25 @@ class Page:
         path = _hash(top[1], tag, *classes)
         article = top[4] or tag in ("article", "main") or role in ("main", "article")
         noise = top[5] or tag in _NOISE_TAGS or role in _ROLES or hidden
-        if not noise and tag not in ("html", "body", "article", "main"):
-            noise = bool(_NOISE_NAMES.intersection(names)) or not top[4] and (tag == "header" or bool(_HEAD_NAMES.intersection(names)))
-        elif not noise and tag == "article":
-            noise = bool({"comment", "comments", "reply", "ad", "advert", "promo"}.intersection(names))
+        if not noise and tag == "article":
+            noise = _named(names, _ARTICLE_NAMES)
+        elif not noise and top[4]:
+            noise = tag in _CONTAINERS and _named(names, _SURE_NAMES)
+        elif not noise and tag not in _PROSE:
+            noise = tag == "header" or _named(names, _NOISE_NAMES) or _named(names, _HEAD_NAMES)
+        self._ended = self._ended or tag == "article" and not noise
         if tag not in _INLINE:
             self._break()
         node = top[6]
         if not noise and (tag in _CONTAINERS or tag in ("body", "article", "main")):
             self.nodes.append([path, 0, 0, tag, node])
             node, path = len(self.nodes) - 1, 0
-        self._stack.append([tag, path, 0, self._sum, article, noise, node])
+        self._stack.append([tag, path, 0, self._sum, article, noise, node, top[7] or tag == "article"])
         if tag not in _INLINE:
             self._break()
 
     def _pop(self) -> None:
-        tag, _, style, start, *_, node = self._stack[-1]
+        tag, _, style, start, _, _, node, _ = self._stack[-1]
         if tag not in _INLINE:
             self._break()
         self._stack.pop()

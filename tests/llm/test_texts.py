@@ -310,6 +310,17 @@ def test_style_trees_judge_nodes_by_the_pages_that_have_them(spark):
     assert len(text) == 164 and all(t.startswith("Story") and t.count("goes on") == 30 for t in text.values())
 
 
+def test_names_do_not_take_the_text_of_an_article():
+    inner = (
+        '<h2 id="social-history">A</h2><section id="discussion">B</section><h2 id="search-algorithms">C</h2><p class="comment">D</p><div id="navigation">E</div><p id="notice-period">F</p>'
+        '<section class="responses">G</section><div class="social-history">H</div><span class="search">I</span><section id="comments">J</section>'
+    )
+    for tag in ("article", "main", "div role=main"):
+        noise = '<div class="ad">x</div><div class="share-bar">x</div><ul class="related-links">x</ul>'
+        assert html_text.Page(f"<{tag}>{inner}{noise}</{tag.split()[0]}>").text() == "A B C D E F G H I J"
+    assert html_text.Page('<body><section id="discussion">A</section><h1 class="banner">B</h1><div id="navigation">x</div><div class="site-footer">x</div><a class="skip-link">x</a></body>').text() == "A B"
+
+
 def test_page_text_takes_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "http://h/", "<p>a", "x"), (2, "", "", "x"), (2, "", "", "x"), (3, "http://h/", "<p>" + "w " * 200_000, "x")], "page_id long, url string, html string, text string")
     got = Counter((r.page_id, r.n_chars) for r in html_text.query(pages).collect())
