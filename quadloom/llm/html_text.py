@@ -24,7 +24,9 @@ an article only containers by the words that are sure. Ids of sections, and thos
 in a main part without an article, are taken for slugs of headings.
 
 Cases: null or empty html has the empty text; a null URL is the host ``; markup
-that is cut off ends the page; a tag that is never closed ends with its parent;
+that is cut off ends the page, as does raw text (scripts, styles) that is never
+closed; any other tag that is never closed ends with its parent; text of formulas
+and drawings and what stands in for media is kept;
 repeated rows give repeated rows; extra columns are not read.
 """
 
@@ -53,8 +55,10 @@ MAX_NODES = 500_000
 # Names of the HTML standard.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg math select object canvas audio video".split())
-_NOISE_TAGS = frozenset("nav footer aside form menu dialog button fieldset head".split())
+_RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+_NOISE_TAGS = frozenset("nav footer aside form menu dialog button fieldset head noscript template select annotation annotation-xml".split())
+#: Empty if written `<svg/>`.
+_EMBEDDED = frozenset("svg math object canvas audio video noscript template select".split())
 _CONTAINERS = frozenset("div section ul ol dl table center header figure details".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -146,7 +150,7 @@ class Page:
                 if tag not in _INLINE:
                     self._break()
                 self._stack[-1][2] = _hash(self._stack[-1][2], tag)
-            else:
+            elif not (tag in _EMBEDDED and rest.rstrip().endswith("/")):
                 self._open(tag, rest)
         while len(self._stack) > 1:
             self._pop()
@@ -177,6 +181,7 @@ class Page:
     def _open(self, tag: str, rest: str) -> None:
         if tag in _CLOSES_P:
             self._close_until({"p"}, {"article", "section", "div", "td", "th", "li", "table"})
+            self._close_until({"select"}, set())
         if tag in _SIBLINGS:
             self._close_until(_SIBLINGS[tag], _BARRIER[tag])
         top = self._stack[-1]

@@ -321,6 +321,15 @@ def test_names_do_not_take_the_text_of_an_article():
     assert html_text.Page('<body><section id="discussion">A</section><h1 class="banner">B</h1><div id="navigation">x</div><div class="site-footer">x</div><a class="skip-link">x</a></body>').text() == "A B"
 
 
+def test_embedded_elements_end_with_their_parents():
+    for tag in ("svg", "math", "object", "canvas", "audio", "video", "select", "noscript", "template"):
+        inner = "" if tag in ("select", "noscript", "template") else "x "
+        assert html_text.Page(f"<body><div>a<{tag}><b>x</b></div><p>the rest</p></body>").text() == f"a {inner}the rest"
+        assert html_text.Page(f"<p>a<{tag}><{tag}>x</{tag}> x</{tag}> the rest</p>").text() == f"a {inner * 2}the rest"
+    assert html_text.Page("<div><select><option>x<p>the rest</div>").text() == "the rest"
+    assert html_text.Page("<article><math><mi>E</mi><mo>=</mo><mi>m</mi></math><svg/> end <script>x").text() == "E = m end"
+
+
 def test_page_text_takes_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "http://h/", "<p>a", "x"), (2, "", "", "x"), (2, "", "", "x"), (3, "http://h/", "<p>" + "w " * 200_000, "x")], "page_id long, url string, html string, text string")
     got = Counter((r.page_id, r.n_chars) for r in html_text.query(pages).collect())
