@@ -3,9 +3,12 @@
 Pages become WARC records in segments; a segment's manifest gives each record's
 offset and length. A tree over a replica has the records' SHA-256 hashes as
 leaves; a node hashes up to 16 children in offset order with the offset range
-they cover, up to one root for all segments. Replicas are compared from the
-root down, and only children of nodes that differ are read, until the damaged
-records are found.
+they cover, up to one root for all segments. Each replica has its own records and
+offsets; a record of the second has the number of the first's record of the same
+page and URL (one of the same bytes, if there is), and one without has a number
+after the segment's. Replicas are compared from the root down, and only children
+of nodes that differ are read, until the records are found that are corrupt,
+missing, extra, or shifted: the same bytes at another offset.
 
 Cases: a null URL or html is empty; a null page_id is the text `null`; records
 of repeated pages stand beside each other; extra columns are not read; an empty
@@ -36,26 +39,48 @@ def _record(html: Column) -> Column:
     )
 
 
-def _place() -> Column:
-    return F.conv(F.substring(F.md5(F.concat(_text("page_id", "null"), F.lit(":"), _text("url"))), 1, 8), 16, 10).cast("long")
+def _name() -> Column:
+    return F.md5(F.concat(_text("page_id", "null"), F.lit(":"), _text("url")))
 
 
 def warc(pages: DataFrame) -> DataFrame:
-    """page_id, place (a hash that deals pages to segments) and the record of each page."""
-    return pages.select(F.col("page_id").cast("long"), _place().alias("place"), _record(_text("html")).alias("record"))
+    """page_id, name (a hash of it and the URL, which deals pages to segments) and the record of each page."""
+    return pages.select(F.col("page_id").cast("long"), _name().alias("name"), _record(_text("html")).alias("record"))
 
 
-def manifest(pages: DataFrame) -> DataFrame:
-    """segment, record number, offset, length, digest and page_id of each page's record."""
-    segments = max(1, -(-pages.count() // SEGMENT))
-    rows = warc(pages).select("page_id", F.pmod("place", F.lit(segments)).alias("segment"), F.octet_length("record").cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("digest"))
+def _segments(n: int) -> int:
+    return max(1, -(-n // SEGMENT))
+
+
+def manifest(pages: DataFrame, segments: int) -> DataFrame:
+    """segment, record number, offset, length, digest, page_id and name of each page's record."""
+    place = F.conv(F.substring("name", 1, 8), 16, 10).cast("long")
+    rows = warc(pages).select("page_id", "name", F.pmod(place, F.lit(segments)).alias("segment"), F.octet_length("record").cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("digest"))
     order = Window.partitionBy("segment").orderBy("page_id", "digest")
     return rows.select(
         "segment", (F.row_number().over(order) - 1).cast("long").alias("record"),
-        F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), "length", "digest", "page_id",
+        F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), "length", "digest", "page_id", "name",
     )
 
 
+def numbered(other: DataFrame, book: DataFrame) -> DataFrame:
+    """The second replica's manifest with the record numbers of the first's: of a record of the same name and bytes, else of the same name, else after the segment's last."""
+
+    def rank(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("record")))
+
+    same, named = ["segment", "name", "digest"], ["segment", "name"]
+    a, b = (rank(rows, *same) for rows in (book, other))
+    equal = b.join(a.select(*same, "k", F.col("record").alias("at")), [*same, "k"], "left").drop("k")
+    left = rank(a.join(b.select(*same, "k"), [*same, "k"], "left_anti"), *named)
+    unlike = rank(equal.where("at IS NULL").drop("at"), *named).join(left.select(*named, "k", F.col("record").alias("at")), [*named, "k"], "left").drop("k")
+    last = book.groupBy("segment").agg(F.count("*").alias("n"))
+    extra = unlike.where("at IS NULL").drop("at").join(last, "segment", "left")
+    after = F.coalesce("n", F.lit(0)) + F.row_number().over(Window.partitionBy("segment").orderBy("record")) - 1
+    held = equal.where("at IS NOT NULL").unionByName(unlike.where("at IS NOT NULL")).unionByName(extra.withColumn("at", after).drop("n"))
+    return held.drop("record").withColumnRenamed("at", "record")
+
+
 def tree(leaves: DataFrame, work: Scratch, name: str) -> list[DataFrame]:
     """Levels of a tree, leaves first: (replica, segment, node, first, last, digest) from rows (replica, segment, record, offset, length, digest).
 
@@ -74,20 +99,21 @@ def tree(leaves: DataFrame, work: Scratch, name: str) -> list[DataFrame]:
             if level.agg(F.max("node").alias("n")).first()["n"] == 0:
                 return levels
         child = F.struct("node", "digest", "first", "last")
-        up = level.groupBy("replica", "segment", F.shiftright("node", FAN_BITS).alias("node")).agg(F.array_sort(F.collect_list(child)).alias("c"))  # at most 16 in a list
+        up = level.groupBy("replica", "segment", F.shiftright("node", FAN_BITS).alias("node")).agg(F.array_sort(F.collect_list(child)).alias("c"), F.min("first").alias("first"), F.max("last").alias("last"))  # at most 16 in a list
         text = F.array_join(F.transform("c", lambda c: F.concat_ws(":", c["node"], c["digest"], c["first"], c["last"])), ";")
-        level = work.write(f"{name}-{len(levels)}", up.select("replica", "segment", "node", F.col("c")[0]["first"].alias("first"), F.element_at("c", -1)["last"].alias("last"), F.sha2(text.cast("binary"), 256).alias("digest")))
+        level = work.write(f"{name}-{len(levels)}", up.select("replica", "segment", "node", "first", "last", F.sha2(text.cast("binary"), 256).alias("digest")))
         levels.append(level)
 
 
 def audit(levels: list[DataFrame], a: str, b: str) -> DataFrame:
-    """segment, record, status of the records in which replica b differs from a: corrupt, missing or extra. Descends from the root through nodes that differ."""
+    """segment, record, status of the records in which replica b differs from a: corrupt, missing, extra or shifted. Descends from the root through nodes that differ."""
 
     def differ(level: DataFrame) -> DataFrame:
-        one, two = (level.where(F.col("replica") == r).select("segment", "node", F.col("digest").alias(f"d{r}")) for r in (a, b))
-        both = one.join(two, ["segment", "node"], "full")
-        status = F.when(F.col(f"d{b}").isNull(), "missing").when(F.col(f"d{a}").isNull(), "extra").otherwise("corrupt")
-        return both.where(~F.col(f"d{a}").eqNullSafe(F.col(f"d{b}"))).select("segment", "node", status.alias("status"))
+        of = lambda r, c: F.max(F.when(F.col("replica") == r, c))
+        span = F.struct("first", "last")  # one pass for both replicas: a join of two would double the plan at each level
+        both = level.groupBy("segment", "node").agg(of(a, F.col("digest")).alias(f"d{a}"), of(b, F.col("digest")).alias(f"d{b}"), of(a, span).alias(f"r{a}"), of(b, span).alias(f"r{b}"))
+        status = F.when(F.col(f"d{b}").isNull(), "missing").when(F.col(f"d{a}").isNull(), "extra").when(F.col(f"d{a}") != F.col(f"d{b}"), "corrupt").otherwise("shifted")
+        return both.where(~F.col(f"d{a}").eqNullSafe(F.col(f"d{b}")) | ~F.col(f"r{a}").eqNullSafe(F.col(f"r{b}"))).select("segment", "node", status.alias("status"))
 
     bad = differ(levels[-1])
     for k in range(len(levels) - 2, -1, -1):
@@ -115,23 +141,24 @@ def damaged(pages: DataFrame) -> DataFrame:
     return pages.where(kind != "02").withColumn("html", F.when((kind == "00") & (html != ""), changed).when(kind == "01", F.expr("repeat(' ', length(coalesce(cast(html AS string), '')))")).otherwise(html))
 
 
-def query(pages: DataFrame) -> DataFrame:
-    """page_id, segment, record, start, length, digest and status of every record of the first replica, audited against a damaged one."""
+def compare(pages: DataFrame, replica: DataFrame) -> DataFrame:
+    """page_id, segment, record, start, length, digest and status of every record of the first replica, and of the second's extra ones."""
     work = Scratch(pages.sparkSession, "warc")
-    pages = pages.select("page_id", "url", "html")
-    book = work.write("manifest", manifest(pages))
-    segments = max(1, -(-book.count() // SEGMENT))
-    # the second replica is read at the offsets of the manifest; a record is known there by its page and URL
-    other = warc(damaged(pages)).select("page_id", F.pmod("place", F.lit(segments)).alias("segment"), F.sha2(F.col("record").cast("binary"), 256).alias("digest"))
-    key = Window.partitionBy("segment", "page_id")
-    first = book.select("segment", "page_id", "record", "offset", "length", F.row_number().over(key.orderBy("record")).alias("k"))
-    second = first.join(other.withColumn("k", F.row_number().over(key.orderBy("digest"))), ["segment", "page_id", "k"]).select(F.lit("b").alias("replica"), "segment", "record", "offset", "length", "digest")
-    both = book.select(F.lit("a").alias("replica"), "segment", "record", "offset", "length", "digest").unionByName(second)
-    bad = work.write("bad", audit(tree(both, work, "level"), "a", "b"))
-    out = book.join(bad, ["segment", "record"], "left")
+    segments = _segments(pages.count())
+    book = work.write("manifest", manifest(pages.select("page_id", "url", "html"), segments))
+    other = work.write("numbered", numbered(work.write("other", manifest(replica.select("page_id", "url", "html"), segments)), book))
+    both = [rows.select(F.lit(r).alias("replica"), "segment", "record", "offset", "length", "digest") for r, rows in (("a", book), ("b", other))]
+    bad = work.write("bad", audit(tree(both[0].unionByName(both[1]), work, "level"), "a", "b"))
+    out = book.join(bad, ["segment", "record"], "left").unionByName(other.join(bad.where("status = 'extra'"), ["segment", "record"]))
     return out.select("page_id", "segment", "record", F.col("offset").alias("start"), "length", "digest", F.coalesce("status", F.lit("ok")).alias("status"))
 
 
+def query(pages: DataFrame) -> DataFrame:
+    """The records of the first replica, audited against a damaged one. A record that is shifted there by the loss of others is whole: `ok`."""
+    pages = pages.select("page_id", "url", "html")
+    return compare(pages, damaged(pages)).withColumn("status", F.when(F.col("status") == "shifted", "ok").otherwise(F.col("status")))
+
+
 SQL = f"""
 WITH n AS (SELECT greatest(1, (count(*) + {SEGMENT - 1}) // {SEGMENT}) AS k FROM pages),
 p AS (SELECT page_id, coalesce(CAST(page_id AS VARCHAR), 'null') AS i, coalesce(url, '') AS u, coalesce(html, '') AS h FROM pages),

@@ -434,6 +434,24 @@ def test_equal_replicas_and_extra_records(spark):
     assert {tuple(r) for r in found} == {(0, 50, "extra"), (1, 0, "extra"), (0, 7, "corrupt")}
 
 
+def test_fixity_of_null_ids_and_of_records_that_are_extra_or_shifted(spark, monkeypatch):
+    monkeypatch.setattr(warc_fixity, "SEGMENT", 1000)
+    kind = "page_id long, url string, html string"
+    rows = [(None if i % 2 else i, f"http://h/{i}", f"<p>{i}") for i in range(300)] + [(500, "http://h/twice", x) for x in "abcd"]
+    damage = lambda i: {"00": "corrupt", "01": "corrupt", "02": "missing"}.get(hashlib.md5(f"damage:{'null' if i is None else i}".encode()).hexdigest()[:2], "ok")
+    got = warc_fixity.query(spark.createDataFrame(rows, kind)).collect()
+    assert Counter((r.page_id, r.status) for r in got) == Counter((i, damage(i)) for i, _, _ in rows)
+
+    lost = rows[8]
+    others = [r for r in rows if r is not lost and r[2] != "b"] + [(500, "http://h/twice", "z"), (900, "http://h/new", "new"), (None, "http://h/new", "new")]
+    got = warc_fixity.compare(spark.createDataFrame(rows, kind), spark.createDataFrame(others, kind)).collect()
+    status = Counter(r.status for r in got)
+    assert len(got) == 306 and status["missing"] == 1 and status["corrupt"] == 1 and status["extra"] == 2
+    assert {r.page_id for r in got if r.status == "extra"} == {900, None} and {r.page_id for r in got if r.status == "missing"} == {lost[0]} and {r.page_id for r in got if r.status == "corrupt"} == {500}
+    # the extra null page stands among the first replica's nulls, so records after it are shifted, those before it are not
+    assert status["shifted"] + status["ok"] == 302 and status["shifted"] > 100 and {r.record for r in got} == set(range(306))
+
+
 def test_fixity_takes_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>", "x"), (2, "", "", "x"), (2, "", "", "x")], "page_id long, url string, html string, status string")
     assert warc_fixity.query(pages).count() == 4 and warc_fixity.query(pages.limit(0)).count() == 0
