@@ -2,21 +2,34 @@
 
 1. The pages of a host are merged into one tree: nodes with the same path of tags,
    classes and places among their like are one node. For each node the tree counts the presentations
-   (sequences of child tags) and the contents it had over the host's pages.
+   (sequences of child tags) and the contents it had over the host's pages, and the
+   length of its text outside of links.
 2. A node's importance is the larger of the two entropies, each over the
-   logarithm of the node's pages: 0 if all pages agree, 1 if no two do.
-3. From each page, branches are removed whose containers are on `MIN_PAGES` of the
-   host's pages or more, however many it has, and are of low importance beside the
-   page's text, besides those that tags, classes or roles name as menus, headers, footers, sidebars,
-   notices, adverts, forms or comments. An article decides only on hosts without
-   evidence, and only if it has half of the page's text or more: then what is
-   outside of it goes too.
+   logarithm of the node's pages: 0 if all pages agree, 1 if no two do. Its
+   information is its mean length on the host, weighted by (1 + importance) / 2, so what
+   consists of links, as menus do, has next to none.
+3. The main branch of a page is found in the tree by descending from the root as
+   long as one child has `MAIN` of a node's information, and not into an article or
+   main part. Then low branches go:
+   a. containers on `MIN_PAGES` of the host's pages or more that are of low
+      importance beside the page's text and the branch around;
+   b. branches beside the main one with little information: less than `SIDE` of the
+      main branch's, or than `BESIDE_ARTICLE` if that is an article or main part;
+   c. branches that a name calls a sidebar, notice, advert or comments, and that have
+      less information than the main branch; in it, less than half.
+   So neither names nor `article` decide on a host whose tree has evidence.
+
+The HTML standard itself says what nav, footer, header (outside of articles), aside,
+form, dialog, ARIA landmarks, hidden elements and an article within an article
+(readers' comments) are; these are no nodes. A host of less than `MIN_PAGES` texts has no
+evidence of its own: there names remove branches, and an article with half
+of the page's text or more is alone kept.
 
 Articles are copied between pages. So pages of equal text count once, low is
 measured by the mean importance of the page's text and by the branch around, and
 an article, a main part, a container of half the text or more, and branches that
 together leave less than `LEAST` of it are never removed for being repeated; nor
-are paragraphs and headings. A host of less than `MIN_PAGES` texts has no evidence of its own.
+are paragraphs and headings.
 
 Names count as a whole: a class, or outside of articles an id, made of listed
 words and such as `bar` or `list`. They never name headings and paragraphs, and in
@@ -47,8 +60,12 @@ from quadloom.llm.scratch import Scratch, tune
 
 #: A container goes if its importance is below LOW of its page's and its parent's, and it is on MIN_PAGES pages of its host or more. Nodes of HIGH count as 1.
 LOW, HIGH, MIN_PAGES = 0.3, 0.9, 3
-#: The share of a page's text that stays at least.
+#: The share of a page's text that stays at least, whatever is repeated.
 LEAST = 0.25
+#: Share of a node's information at which a child holds the main branch; and shares of the main branch's below which a branch beside it goes.
+MAIN, SIDE, BESIDE_ARTICLE = 0.8, 0.05, 0.5
+#: Nodes of high importance are listed if they are on this share of the host's pages: a list has at most 100 times the nodes of a page of these.
+COMMON = 0.01
 #: Nodes and hosts that are broadcast; more are joined.
 MAX_NODES = 500_000
 
@@ -83,6 +100,7 @@ _AROUND = frozenset(
     """area bar block body bottom box button buttons container content global google group header icon icons inner item items left link links list main
     menu mobile notice outer page panel post primary right row secondary section site slot social top unit wrap wrapper""".split()
 )
+_WHOLE = frozenset(["article", "main"])
 _PROSE = frozenset("html body article main h1 h2 h3 h4 h5 h6 p blockquote pre".split())
 #: Beside these, a name says what a wrapper has around it, not what it is: `has-sidebar`.
 _ABOUT = frozenset("has with no without layout enabled".split())
@@ -103,20 +121,35 @@ def _named(names: list[list[str]], words: frozenset[str]) -> bool:
     return any(not words.isdisjoint(parts) and all(p in words or p in _AROUND for p in parts) for parts in names)
 
 
+def _mask(n: int) -> int:
+    return n & (1 << 64) - 1
+
+
 def _signed(n: int) -> int:
-    return (n & (1 << 64) - 1) - (1 << 64 if n >> 63 & 1 else 0)
+    return _mask(n) - (1 << 64 if n >> 63 & 1 else 0)
+
+
+class Node:
+    """An element of the tree: its path, presentation and content, and the length of its own text and of that outside of links."""
+
+    __slots__ = ("path", "style", "content", "tag", "parent", "named", "own", "plain")
+
+    def __init__(self, path: int, tag: str, parent: int, named: bool):
+        self.path, self.style, self.content, self.tag, self.parent, self.named = path, 0, 0, tag, parent, named
+        self.own = self.plain = 0
 
 
 class Page:
-    """One pass over a page: its text pieces with what stands around them, and its nodes' paths, presentations and contents."""
+    """One pass over a page: its text pieces with what stands around them, and its nodes in the order of their starts."""
 
     def __init__(self, html: str):
-        self.pieces: list[tuple[str, bool, bool, int]] = []  # text, in an article, named as noise, its nearest node
-        self.nodes: list[list] = [[0, 0, 0, "", 0]]  # path, presentation, content, tag, parent; in the order of their starts
-        self._sum = 0  # of the hashes of the text so far that is not named as noise
-        # tag, path from its nearest node, presentation, sum at its start, in an article or main part, named as noise, nearest node, in an article
+        self.pieces: list[tuple[str, bool, bool, int]] = []  # text, in an article, noise by the standard, its nearest node
+        self.nodes = [Node(0, "", 0, False)]
+        self._sum = 0  # of the hashes of the text so far that is not noise
+        self._unnamed = 0  # the same without what a name calls noise
+        # tag, path from its nearest node, presentation, sum at its start, in an article or main part, noise, nearest node, in an article, in a link, named as noise
         self._ended = False  # an article has been seen: what has an id in the main part, outside of it, is not in it
-        self._stack: list[list] = [["", 0, 0, 0, False, False, 0, False]]
+        self._stack: list[list] = [["", 0, 0, 0, False, False, 0, False, False, False]]
         self._parse(html)
 
     def _parse(self, html: str) -> None:
@@ -154,16 +187,16 @@ class Page:
                 self._open(tag, rest)
         while len(self._stack) > 1:
             self._pop()
-        self.nodes[0][2] = self._sum
+        self.nodes[0].content = self._unnamed
         self._number()
 
     def _number(self) -> None:
         """Make the nodes' paths whole, each with the node's place among the like under its parent, and their number."""
-        like, place = Counter((n[4], n[0]) for n in self.nodes[1:]), Counter()
+        like, place = Counter((n.parent, n.path) for n in self.nodes[1:]), Counter()
         for node in self.nodes[1:]:
-            kind = node[4], node[0]
+            kind = node.parent, node.path
             place[kind] += 1
-            node[0] = _hash(self.nodes[node[4]][0], node[0], place[kind], like[kind])
+            node.path = _hash(self.nodes[node.parent].path, node.path, place[kind], like[kind])
 
     def _text(self, text: str) -> None:
         if text:
@@ -172,7 +205,12 @@ class Page:
             top = self._stack[-1]
             self.pieces.append((text, top[4], top[5], top[6]))
             if not top[5] and not text.isspace():
-                self._sum = self._sum + _hash(" ".join(text.split())) & (1 << 64) - 1
+                told = _hash(" ".join(text.split()))
+                self._sum = _mask(self._sum + told)
+                self._unnamed = _mask(self._unnamed + (0 if top[9] else told))
+                node = self.nodes[top[6]]
+                node.own += len(text)
+                node.plain += 0 if top[8] else len(text)
 
     def _break(self) -> None:
         top = self._stack[-1]
@@ -203,32 +241,32 @@ class Page:
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _UNSEEN.search(value):
                     hidden = True
         path = _hash(top[1], tag, *classes)
-        article = top[4] or tag in ("article", "main") or role in ("main", "article")
-        noise = top[5] or tag in _NOISE_TAGS or role in _ROLES or hidden
-        if not noise and tag == "article":
-            noise = _named(names, _ARTICLE_NAMES)
-        elif not noise and top[4]:
-            noise = tag in _CONTAINERS and _named(names, _SURE_NAMES)
-        elif not noise and tag not in _PROSE:
-            noise = tag == "header" or _named(names, _NOISE_NAMES) or _named(names, _HEAD_NAMES)
-        self._ended = self._ended or tag == "article" and not noise
+        article = top[4] or tag in _WHOLE or role in ("main", "article")
+        noise = top[5] or tag in _NOISE_TAGS or role in _ROLES or hidden or tag == "header" and not top[4] or tag == "article" and top[7]
+        if tag == "article":
+            named = _named(names, _ARTICLE_NAMES)
+        elif top[4]:
+            named = tag in _CONTAINERS and _named(names, _SURE_NAMES)
+        else:
+            named = tag not in _PROSE and (_named(names, _NOISE_NAMES) or _named(names, _HEAD_NAMES))
+        self._ended = self._ended or tag == "article" and not noise and not named
         if tag not in _INLINE:
             self._break()
         node = top[6]
-        if not noise and (tag in _CONTAINERS or tag in ("body", "article", "main")):
-            self.nodes.append([path, 0, 0, tag, node])
+        if not noise and (named or tag in _CONTAINERS or tag == "body" or tag in _WHOLE):
+            self.nodes.append(Node(path, tag if role not in ("main", "article") else role, node, named))
             node, path = len(self.nodes) - 1, 0
-        self._stack.append([tag, path, 0, self._sum, article, noise, node, top[7] or tag == "article"])
+        self._stack.append([tag, path, 0, self._sum, article, noise, node, top[7] or tag == "article" and not named, top[8] or tag == "a", top[9] or named])
         if tag not in _INLINE:
             self._break()
 
     def _pop(self) -> None:
-        tag, _, style, start, _, _, node, _ = self._stack[-1]
+        tag, style, start, node = (self._stack[-1][k] for k in (0, 2, 3, 6))
         if tag not in _INLINE:
             self._break()
         self._stack.pop()
         if node != self._stack[-1][6]:
-            self.nodes[node][1:3] = style, self._sum - start & (1 << 64) - 1
+            self.nodes[node].style, self.nodes[node].content = style, _mask(self._sum - start)
         if tag not in _INLINE:
             self._break()
 
@@ -249,44 +287,89 @@ class Page:
         elif tag not in _INLINE:
             self._break()
 
-    def _low(self, own: list[int], importance: dict[int, float]) -> set[int]:
-        """Nodes that are removed, given the length of each node's own text and the importance of nodes; nodes without one count as 1."""
-        known = [importance.get(n[0], 1.0) for n in self.nodes]
-        within, total = list(own), sum(own)
-        for k in range(len(own) - 1, 0, -1):
-            within[self.nodes[k][4]] += within[k]
-        mean = sum(n * i for n, i in zip(own, known, strict=True)) / max(total, 1)
-        low: set[int] = set()
-        for k, (_, _, _, tag, parent) in enumerate(self.nodes):
-            if k and (parent in low or tag in _CONTAINERS and known[k] < LOW * min(mean, known[parent]) and 2 * within[k] < total):
-                low.add(k)
-        return low if total - sum(own[k] for k in low) >= LEAST * total else set()
-
-    def text(self, importance: dict[int, float] | None = None) -> str:
-        """The main text, by the importance of the nodes of the page's host; None if the host has no evidence."""
-        own, told = [0] * len(self.nodes), 0
-        for text, article, noise, node in self.pieces:
-            if not noise and not text.isspace():
-                own[node] += len(text)
-                told += len(text) * article
-        low = self._low(own, importance) if importance else ()
-        alone = importance is None and told and 2 * told >= sum(own)
-        kept = (t for t, article, noise, node in self.pieces if not noise and node not in low and (article or not alone))
-        return " ".join("".join(kept).split())
+    def _within(self, own: list[float]) -> list[float]:
+        """The sums of each node's branch."""
+        out = list(own)
+        for k in range(len(out) - 1, 0, -1):
+            out[self.nodes[k].parent] += out[k]
+        return out
+
+    def lengths(self) -> list[int]:
+        """The length of the text outside of links of each node's branch."""
+        return self._within([n.plain for n in self.nodes])
+
+    def _main(self, told: list[float]) -> list[int]:
+        """The nodes from the root to the main branch, given the information of each."""
+        spine, below = [0], [[] for _ in self.nodes]
+        for k, n in enumerate(self.nodes[1:], 1):
+            below[n.parent].append(k)
+        while below[spine[-1]] and self.nodes[spine[-1]].tag not in _WHOLE:
+            most = max(below[spine[-1]], key=lambda k: told[k] * (1 + (self.nodes[k].tag in _WHOLE)))  # in doubt, the standard's main part
+            whole = sum(told[k] for k in below[spine[-1]])
+            if told[most] < MAIN * max(whole, told[spine[-1]] if spine[-1] else 0) and not (self.nodes[most].tag in _WHOLE and 2 * told[most] >= whole):
+                break
+            spine.append(most)
+        return spine
+
+    def low(self, tree: dict[int, tuple[float, float]]) -> set[int]:
+        """Nodes that are removed, given the importance and mean length of nodes on the page's host; others count as important and as long as on this page."""
+        own = [n.own for n in self.nodes]
+        known = [tree.get(n.path) for n in self.nodes]
+        importance = [k[0] if k else 1.0 for k in known]
+        within, total = self._within(own), sum(own)
+        told = [(1 + i) / 2 * (k[1] if k else length) for i, k, length in zip(importance, known, self.lengths(), strict=True)]
+        mean = sum(n * i for n, i in zip(own, importance, strict=True)) / max(total, 1)
+        spine = self._main(told)
+        main = self.nodes[spine[-1]]
+        side = BESIDE_ARTICLE if main.tag in _WHOLE else SIDE
+        inside, repeated, beside = {spine[-1]}, set(), set()
+        for k, n in enumerate(self.nodes[1:], 1):
+            if n.parent in inside:
+                inside.add(k)
+            if n.parent in repeated or k not in spine and n.tag in _CONTAINERS and importance[k] < LOW * min(mean, importance[n.parent]) and 2 * within[k] < total:
+                repeated.add(k)
+            if k in spine:
+                continue
+            share = told[k] / max(told[spine[-1]], 1e-9)
+            seen = known[k] is not None or main.tag in _WHOLE
+            if n.parent in beside or n.named and share < (0.5 if k in inside else 1.0) or k not in inside and len(spine) > 1 and seen and n.tag in _CONTAINERS and share < side:
+                beside.add(k)
+        if total - sum(own[k] for k in repeated) < LEAST * total:
+            repeated = set()
+        if not within[spine[-1]] and main.tag not in _WHOLE:  # this page has its text elsewhere
+            beside = set()
+        return repeated | beside
+
+    def _named(self) -> set[int]:
+        out: set[int] = set()
+        for k, n in enumerate(self.nodes):
+            if n.named or n.parent in out:
+                out.add(k)
+        return out
+
+    def text(self, tree: dict[int, tuple[float, float]] | None = None) -> str:
+        """The main text, by the tree of the page's host; None if the host has no evidence: then names and an article decide."""
+        low = self._named() if tree is None else self.low(tree)
+        kept = [(text, article) for text, article, noise, node in self.pieces if not noise and node not in low]
+        if tree is None:
+            told = sum(len(t) for t, article in kept if article and not t.isspace())
+            if told and 2 * told >= sum(len(t) for t, _ in kept if not t.isspace()):
+                kept = [(t, article) for t, article in kept if article]
+        return " ".join("".join(t for t, _ in kept).split())
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: Counter = Counter()
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            nodes = Page(html or "").nodes
-            whole = _signed(nodes[0][2])
-            for path, style, content in {(n[0], n[1], n[2]) for n in nodes[1:]}:
-                found[host, _signed(path), "style", _signed(style), whole] += 1
-                found[host, _signed(path), "content", _signed(content), whole] += 1
-            found[host, 0, "content", whole, whole] += 1  # path 0: the whole page
+            page = Page(html or "")
+            whole = _signed(page.nodes[0].content)
+            for n, length in zip(page.nodes[1:], page.lengths()[1:], strict=True):
+                found[host, _signed(n.path), "style", _signed(n.style), whole, 0] += 1
+                found[host, _signed(n.path), "content", _signed(n.content), whole, length] += 1
+            found[host, 0, "content", whole, whole, 0] += 1  # path 0: the whole page
         if found:
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in zip(*found, strict=True)), pa.array(found.values(), pa.int64())], names=["host", "path", "kind", "value", "page", "n"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in zip(*found, strict=True)), pa.array(found.values(), pa.int64())], names=["host", "path", "kind", "value", "page", "length", "n"])
 
 
 def _host() -> Column:
@@ -295,32 +378,35 @@ def _host() -> Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, pages (that have the node, those of equal text counted once) and importance of the nodes of each host's tree; path 0 is the whole page, all pages counted."""
+    """host, path, pages (that have the node, those of equal text counted once), importance and mean length of the nodes of each host's tree; path 0 is the whole page, all pages counted."""
     tune(pages.sparkSession)
     read = pages.select(_host().alias("host"), F.col("html").cast("string"))
     node = ["host", "path", "kind", "value"]
-    each = read.mapInArrow(_count, "host string, path long, kind string, value long, page long, n long").groupBy(*node, "page").agg(F.sum("n").alias("n"))
-    seen = each.groupBy(*node).agg(F.sum(F.when(F.col("path") == 0, F.col("n")).otherwise(1)).alias("n"))
-    sums = seen.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.count("*").alias("values"))
+    each = read.mapInArrow(_count, "host string, path long, kind string, value long, page long, length long, n long").groupBy(*node, "page").agg(F.sum("n").alias("n"), F.max("length").alias("length"))
+    seen = each.groupBy(*node).agg(F.sum(F.when(F.col("path") == 0, F.col("n")).otherwise(1)).alias("n"), F.sum("length").alias("length"))
+    sums = seen.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.count("*").alias("values"), F.sum("length").alias("length"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
-    return sums.groupBy("host", "path").agg(F.max("m").alias("pages"), F.max(entropy).alias("importance"), F.max(F.when(F.col("path") == 0, F.col("values"))).alias("texts"))
+    return sums.groupBy("host", "path").agg(
+        F.max("m").alias("pages"), F.max(entropy).alias("importance"), F.max(F.when(F.col("path") == 0, F.col("values"))).alias("texts"), (F.max("length") / F.max("m")).alias("length")
+    )
 
 
 def evidence(tree: DataFrame) -> DataFrame:
-    """host of MIN_PAGES texts or more, and the paths and importances of its nodes on MIN_PAGES pages or more that are not of high importance."""
-    node = F.when((F.col("path") != 0) & (F.col("pages") >= MIN_PAGES) & (F.col("importance") < HIGH), F.struct("path", "importance"))
-    held = tree.groupBy("host").agg(F.max("texts").alias("texts"), F.collect_list(node).alias("nodes")).where(F.col("texts") >= MIN_PAGES)
-    return held.select("host", F.col("nodes.path").alias("paths"), F.col("nodes.importance").alias("importances"))
+    """host of MIN_PAGES texts or more, and the paths, importances and lengths of its nodes on MIN_PAGES pages or more that are common or not of high importance."""
+    sized = tree.join(tree.where("path = 0").select("host", F.col("texts").alias("all")), "host").where(F.col("all") >= MIN_PAGES)
+    node = F.when((F.col("path") != 0) & (F.col("pages") >= MIN_PAGES) & ((F.col("importance") < HIGH) | (F.col("pages") >= COMMON * F.col("all"))), F.struct("path", "importance", "length"))
+    held = sized.groupBy("host").agg(F.collect_list(node).alias("nodes"))
+    return held.select("host", F.col("nodes.path").alias("paths"), F.col("nodes.importance").alias("importances"), F.col("nodes.length").alias("lengths"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, known = [], {}
-        paths, importances = batch.column("paths"), batch.column("importances")
+        held = [batch.column(c) for c in ("paths", "importances", "lengths")]
         for k, (host, html) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
             if host not in known:
-                held = paths[k].as_py()
-                known[host] = None if held is None else {p & (1 << 64) - 1: i for p, i in zip(held, importances[k].as_py(), strict=True)}
+                paths, *rest = (c[k].as_py() for c in held)
+                known[host] = None if paths is None else {_mask(p): v for p, *v in zip(paths, *rest, strict=True)}
             texts.append(Page(html or "").text(known[host]))
         out = pa.array(texts, pa.string())
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), out, pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])

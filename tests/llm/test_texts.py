@@ -310,6 +310,50 @@ def test_style_trees_judge_nodes_by_the_pages_that_have_them(spark):
     assert len(text) == 164 and all(t.startswith("Story") and t.count("goes on") == 30 for t in text.values())
 
 
+def story_of(rng, n):
+    return " ".join(f"<p>{' '.join(prose(rng, 30))}</p>" for _ in range(n))
+
+
+def page_texts(spark, rows):
+    return {r.page_id: r.text for r in html_text.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def plain_text(markup):
+    return " ".join(re.sub(r"<[^>]+>", " ", markup).split())
+
+
+def test_trees_find_the_main_branch_under_neutral_names(spark):
+    """No article, no telling class, and menus and adverts that differ on every page."""
+    rng, rows, want = random.Random(5), [], {}
+    for i in range(40):
+        story = story_of(rng, rng.randint(3, 9))
+        menu = "".join(f"<li><a href=x>{w}</a></li>" for w in prose(rng, rng.randint(4, 12)))
+        rows.append((i, "http://h/", f"<body><div class=a><ul>{menu}</ul></div><div class=b>{' '.join(prose(rng, 4))}</div><div class=c>{story}</div><div class=d>Always the same words</div></body>"))
+        want[i] = plain_text(story)
+    assert page_texts(spark, rows) == want
+    assert html_text.Page(rows[0][2]).text() != want[0], "without the tree the rest stays"
+
+
+def test_names_count_only_beside_the_tree(spark):
+    """A main branch with a name of the list stays; a varying part with such a name goes where it is smaller than the main branch."""
+    rng, rows, want = random.Random(6), [], {}
+    for i in range(12):
+        story = story_of(rng, 8)
+        rows.append((i, "http://h/", f"<body><div class=related><p>{' '.join(prose(rng, 40))}</p></div><div class=search>{story}</div></body>"))
+        want[i] = plain_text(story)
+    assert page_texts(spark, rows) == want
+
+
+def test_short_articles_lose_what_is_longer_beside_them(spark):
+    """What a branch is worth is judged over the host, so a page of one word is cleaned as the others are."""
+    rng, rows, want = random.Random(8), [], {}
+    for i in range(20):
+        story = "<p>Word</p>" if i % 5 == 0 else story_of(rng, 6)
+        rows.append((i, "http://h/", f"<body><div class=x>{' '.join(prose(rng, 9))}</div><article>{story}<article>reader {i} says</article></article></body>"))
+        want[i] = plain_text(story)
+    assert page_texts(spark, rows) == want
+
+
 def test_names_do_not_take_the_text_of_an_article():
     inner = (
         '<h2 id="social-history">A</h2><section id="discussion">B</section><h2 id="search-algorithms">C</h2><p class="comment">D</p><div id="navigation">E</div><p id="notice-period">F</p>'
