@@ -146,7 +146,7 @@ class Page:
         self.pieces: list[tuple[str, bool, bool, int]] = []  # text, in an article, noise by the standard, its nearest node
         self.nodes = [Node(0, "", 0, False)]
         self._sum = 0  # of the hashes of the text so far that is not noise
-        self._unnamed = 0  # the same without what a name calls noise
+        self._unnamed, self._told, self._named_told = 0, 0, 0  # the same without what a name calls noise; lengths of the text, and of that
         # tag, path from its nearest node, presentation, sum at its start, in an article or main part, noise, nearest node, in an article, in a link, named as noise
         self._ended = False  # an article has been seen: what has an id in the main part, outside of it, is not in it
         self._stack: list[list] = [["", 0, 0, 0, False, False, 0, False, False, False]]
@@ -187,7 +187,7 @@ class Page:
                 self._open(tag, rest)
         while len(self._stack) > 1:
             self._pop()
-        self.nodes[0].content = self._unnamed
+        self.nodes[0].content = self._sum if 2 * self._named_told > self._told else self._unnamed  # what makes pages of equal text
         self._number()
 
     def _number(self) -> None:
@@ -207,7 +207,11 @@ class Page:
             if not top[5] and not text.isspace():
                 told = _hash(" ".join(text.split()))
                 self._sum = _mask(self._sum + told)
-                self._unnamed = _mask(self._unnamed + (0 if top[9] else told))
+                self._told += len(text)
+                if top[9]:
+                    self._named_told += len(text)
+                else:
+                    self._unnamed = _mask(self._unnamed + told)
                 node = self.nodes[top[6]]
                 node.own += len(text)
                 node.plain += 0 if top[8] else len(text)
