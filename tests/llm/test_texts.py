@@ -169,25 +169,60 @@ def test_items_in_several_blocks(spark, sf_dir, monkeypatch):
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     want = sorted(map(tuple, decontaminate.query(docs, items).collect()))
     left = sorted(r.doc_id for r in decontaminate.keep(docs, items).collect())
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)
     assert sorted(map(tuple, decontaminate.query(docs, items).collect())) == want
     assert sorted(r.doc_id for r in decontaminate.keep(docs, items).collect()) == left
 
 
+def random_items(rng, n, words=(20, 60)):
+    return [(i, " ".join(prose(rng, rng.randint(*words)))) for i in range(n)]
+
+
 def test_blocks_miss_no_fingerprint_within_the_radius():
     rng = np.random.default_rng(3)
-    assert sum(r + 1 for r in decontaminate.block_radii()) == decontaminate.RADIUS + 1
-    items = [decontaminate.Item(i, rng.integers(1, 2**63, 40).astype(np.uint64)) for i in range(70)]
-    group = decontaminate.Group(items)
-    prints = np.stack([items[rng.integers(70)].print for _ in range(3000)])
-    raw = prints.view(np.uint8).copy()
+    index = decontaminate.Index(random_items(random.Random(3), 300))
+    prints = index.prints[rng.integers(len(index.ids), size=2000)].copy()
+    raw = prints.view(np.uint8)
     for row in raw:
-        for bit in rng.choice(128, rng.integers(20, 45), replace=False):
+        for bit in rng.choice(128, rng.integers(15, 45), replace=False):
             row[bit // 8] ^= 1 << bit % 8
-    near = set(group.near(raw.view(np.uint16)))
-    bits = np.unpackbits(raw, axis=1)
-    want = {(i, n) for n, item in enumerate(items) for i in np.flatnonzero((bits != np.unpackbits(item.print.view(np.uint8))).sum(axis=1) <= decontaminate.RADIUS).tolist()}
-    assert near == want
+    for low, top in ((1, 1000), (20, 30)):
+        far = np.bitwise_count(prints[:, None] ^ index.prints[None]).sum(axis=2)
+        fit = (index.size >= low) & (index.size <= top)
+        assert index.near(prints, (low, top)) == list(zip(*(x.tolist() for x in np.nonzero((far <= decontaminate.RADIUS) & fit)), strict=True))
+
+
+def test_blocks_pass_less_than_a_hundredth_of_unlike_pairs():
+    rng = np.random.default_rng(4)
+    a, b = (rng.integers(0, 2**63, (200_000, 2)).astype(np.uint64) for _ in range(2))
+    blocks = np.bitwise_count((a ^ b).view(np.uint32))
+    assert (blocks <= decontaminate.RADIUS // 4).any(axis=1).mean() < 0.01
+
+
+def test_an_index_of_many_items_is_compact():
+    items = random_items(random.Random(5), 4000)
+    index = decontaminate.Index(items)
+    assert index.nbytes < 200e6 / 5, "20,000 items take less than 200 MB"
+    text = " ".join(prose(random.Random(6), 300) + items[17][1].split() + prose(random.Random(7), 300))
+    assert [(r, i, s) for r, i, s, *_ in index.find(pa.array([None, text]))] == [(1, 17, 1.0)]
+
+
+def test_recall_of_leaks_near_the_threshold():
+    """Leaks with as many changed words, at random places, as the threshold allows."""
+    rng = random.Random(12)
+    items = random_items(rng, 60, (20, 90))
+    index = decontaminate.Index(items)
+    docs = []
+    for _ in range(400):
+        leak = rng.choice(items)[1].split()
+        for _ in range(rng.randint(1, max(1, len(leak) // 18))):
+            leak[rng.randrange(len(leak))] = "changed"
+        docs.append(" ".join(prose(rng, rng.randint(0, 80)) + leak + prose(rng, rng.randint(0, 80))))
+    want = leaks_by_brute_force(list(enumerate(docs)), items)
+    got = {(r, i): round(s, 9) for r, i, s, *_ in index.find(pa.array(docs))}
+    close = [k for k, v in want.items() if v < 0.86]
+    assert len(close) > 40 and got.items() <= want.items()
+    assert len(got) >= 0.99 * len(want) and sum(k in got for k in close) >= 0.97 * len(close)
 
 
 def test_decontamination_takes_odd_rows(spark):
