@@ -33,4 +33,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.sql(), "op8_quality_rules": quality_rules.SQL, "op9_url_filter": url_filter.SQL, "op10_warc_fixity": warc_fixity.SQL}
+    return {"op4_sharding": sharding.sql(), "op6_mixing": mixing.sql(), "op8_quality_rules": quality_rules.SQL, "op9_url_filter": url_filter.SQL, "op10_warc_fixity": warc_fixity.SQL}

@@ -1,5 +1,6 @@
 """Quality rules, URL filters, sharding and mixing."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -136,7 +137,44 @@ def test_weights_move_rows_only_into_or_out_of_their_subtree(spark):
         assert r.t2 == r.t0 or r.t0 >= 12 > r.t2
         assert r.t3 == r.t0 or r.t0 == 7 != r.t3
     share = sum(r.t1 // 4 == 1 for r in rows) / len(rows)
-    assert abs(share - 3 / 8) < 0.03
+    assert abs(share - 3 / 10) < 0.03  # three fifths of its region
+
+
+def shard_by_brute_force(key, tree):
+    """Every arrival of every region, down the tree."""
+
+    def draw(level, node, arrival):
+        bits = int(hashlib.md5(f"{key}|{level}|{node}|{arrival}".encode()).hexdigest()[:13], 16)
+        return -math.log((bits + 0.5) / 2**52)
+
+    def least(level, nodes, weights, arrival):
+        return min(((draw(level, c, arrival) / weights.get(c, 1.0), c) for c in nodes if weights.get(c, 1.0) > 0))[1]
+
+    found = []
+    for region in range(-(-tree.shards // (tree.rack * tree.region))):
+        weight, time = tree.region_weights.get(region, 1.0), 0.0
+        for arrival in range(sharding.ARRIVALS if weight else 0):
+            time += draw("region", region, arrival) / weight
+            rack = least("rack", range(region * tree.region, (region + 1) * tree.region), tree.rack_weights, arrival)
+            shard = least("shard", range(rack * tree.rack, (rack + 1) * tree.rack), tree.shard_weights, arrival)
+            if shard < tree.shards:
+                found.append((time, shard))
+                break
+    return min(found)[1] if found else least("leaf", range(tree.shards), tree.shard_weights, 0)
+
+
+@pytest.mark.parametrize("tree", [sharding.Tree(1), sharding.Tree(5), sharding.Tree(24), sharding.Tree(25), sharding.Tree(40, 2, 3, {3: 0.0, 5: 2.5}, {2: 4.0}, {0: 2.0, 3: 0.0, 6: 0.5})], ids=str)
+def test_descent_equals_brute_force(spark, tree):
+    rows = spark.range(700).select(F.col("id").alias("doc_id")).select("doc_id", sharding.descent(sharding._key(), tree).alias("s")).collect()
+    assert [r.s for r in rows] == [shard_by_brute_force(str(r.doc_id), tree) for r in rows]
+
+
+def test_a_clashing_shard_column_is_kept(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}", "mine") for i in range(30)], "doc_id long, text string, Shard string")
+    out = sharding.with_shards(docs)
+    assert out.columns == [*docs.columns, "shard_1"] and {r.Shard for r in out.collect()} == {"mine"}
+    sharding.write(docs, f"file://{tmp_path}/c")
+    assert spark.read.parquet(f"file://{tmp_path}/c").count() == 30
 
 
 def test_sharding_takes_odd_rows(spark, tmp_path):
@@ -150,7 +188,8 @@ def test_sharding_takes_odd_rows(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/s").count() == 13
 
 
-def test_repeated_rows_get_a_slot_each(spark):
+def test_repeated_rows_get_a_slot_each(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 90)
     docs = spark.createDataFrame([(1, "same")] * 500 + [(2, "other")], "doc_id long, text string")
     rows = sharding.query(docs).collect()
     assert sorted(r.slot for r in rows if r.doc_id == 1 or r.shard == [x.shard for x in rows if x.doc_id == 1][0]) == list(range(len([r for r in rows if r.shard == [x.shard for x in rows if x.doc_id == 1][0]])))
