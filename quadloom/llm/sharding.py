@@ -122,6 +122,7 @@ def numbered(rows: DataFrame, n_parts: int = PARTS) -> DataFrame:
     names = [c for c in rows.columns if c != "shard"]
     place = F.conv(F.substring(F.md5(F.concat(F.lit("slot|"), _key())), 1, 8), 16, 10).cast("long")
     kinds = rows.groupBy(rows.columns).agg(F.count("*").alias("times")).withColumn("part", F.pmod(place, F.lit(n_parts)))
+    kinds = Scratch(rows.sparkSession, "sharding").write("kinds", kinds)  # read twice; the descent is computed once
     sizes = kinds.groupBy("shard", "part").agg(F.sum("times").alias("n"))  # one row a part
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
