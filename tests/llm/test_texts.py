@@ -5,6 +5,7 @@ import html
 import json
 import random
 import re
+import shutil
 import struct
 import unicodedata
 import zlib
@@ -506,10 +507,10 @@ def test_equal_replicas_and_extra_records(spark):
     leaves = [("a", 0, i, i * 10, 10, f"d{i}") for i in range(50)] + [("b", 0, i, i * 10, 10, f"d{i}") for i in range(50)]
     kind = "replica string, segment long, record long, offset long, length long, digest string"
     work = Scratch(spark, "test-tree")
-    assert warc_fixity.audit(warc_fixity.tree(spark.createDataFrame(leaves, kind), work, "x"), "a", "b").count() == 0
+    assert warc_fixity.audit(*warc_fixity.tree(spark.createDataFrame(leaves, kind), work, "x"), "a", "b", work).count() == 0
     more = [*leaves, ("b", 0, 50, 500, 10, "new"), ("b", 1, 0, 0, 10, "new")]
     more[7] = ("a", 0, 7, 70, 10, "bad")
-    found = warc_fixity.audit(warc_fixity.tree(spark.createDataFrame(more, kind), work, "y"), "a", "b").collect()
+    found = warc_fixity.audit(*warc_fixity.tree(spark.createDataFrame(more, kind), work, "y"), "a", "b", work).collect()
     assert {tuple(r) for r in found} == {(0, 50, "extra"), (1, 0, "extra"), (0, 7, "corrupt")}
 
 
@@ -531,6 +532,42 @@ def test_fixity_of_null_ids_and_of_records_that_are_extra_or_shifted(spark, monk
     assert status["shifted"] + status["ok"] == 302 and status["shifted"] > 100 and {r.record for r in got} == set(range(306))
 
 
+def test_the_plan_of_an_audit_does_not_grow_with_its_levels(spark):
+    work = Scratch(spark, "test-plan")
+    leaves = [(r, s, i, i * 10, 10, f"{s}-{i}-{r if (s, i) == (40, 3) else ''}") for r in "ab" for s in range(41) for i in range(5 if s else 300)]
+    levels, inner = warc_fixity.tree(spark.createDataFrame(leaves, "replica string, segment long, record long, offset long, length long, digest string"), work, "z")
+    assert (len(levels), inner) == (6, 3) and [x.count() for x in levels[-2:]] == [6, 2]
+    out = warc_fixity.audit(levels, inner, "a", "b", work)
+    assert [tuple(r) for r in out.collect()] == [(40, 3, "corrupt")]
+    assert out._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+
+
+def test_warc_files_are_read_back_and_audited(spark, tmp_path):
+    rows = [(i, f"http://h/{i}" if i % 5 else "", f"<p>é {i}\r\n\r\nWARC/1.0 is text here\n" * (i % 3)) for i in range(60)] + [(None, "a\r\nb", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, two = f"{tmp_path}/one", f"{tmp_path}/two"
+    warc_fixity.write(pages, f"file://{one}", 3)
+    back = warc_fixity.read(spark, f"file://{one}").collect()
+    assert Counter((r.page_id, r.url, bytes(r.payload).decode()) for r in back) == Counter((i, {"": None}.get(u, u.replace("\r\n", "%0D%0A")), h or "") for i, u, h in rows)
+    book = {(r.segment, r.record): (r.offset, r.length, r.digest) for r in warc_fixity.manifest(pages, 3).collect()}
+    assert {(r.segment, r.record): (r.offset, r.length, r.digest) for r in back} == book
+    first = sorted(tmp_path.glob("one/segment=*/part-*"))[0].read_bytes()
+    headers = [h for *_, h, _ in warc_fixity.records(first)]
+    assert all({"warc-type", "warc-record-id", "warc-date", "content-length"} <= h.keys() for h in headers)
+
+    assert {r.status for r in warc_fixity.compare_files(spark, f"file://{one}", f"file://{one}").collect()} == {"ok"}
+    shutil.copytree(one, two)
+    file = next(f for f in sorted(tmp_path.glob("two/segment=*/part-*")) if b"urn:page:32>" in f.read_bytes())
+    file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+    file.write_bytes(file.read_bytes().replace(b" 32\r\n\r\nWARC/1.0 is", b" 32\r\n\r\nWARC/1.1 is", 1))
+    got = warc_fixity.compare_files(spark, f"file://{one}", f"file://{two}").collect()
+    assert [(r.page_id, r.status) for r in got if r.status != "ok"] == [(32, "corrupt")]
+    file.write_bytes(file.read_bytes()[:-9])
+    with pytest.raises(Exception, match="WARC record at byte"):
+        warc_fixity.read(spark, f"file://{two}").collect()
+    assert len([r for r in warc_fixity.compare_files(spark, f"file://{one}", f"file://{two}").collect() if r.status == "corrupt"]) == 2
+
+
 def test_fixity_takes_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>", "x"), (2, "", "", "x"), (2, "", "", "x")], "page_id long, url string, html string, status string")
     assert warc_fixity.query(pages).count() == 4 and warc_fixity.query(pages.limit(0)).count() == 0
