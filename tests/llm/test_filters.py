@@ -195,19 +195,42 @@ def test_repeated_rows_get_a_slot_each(spark, monkeypatch):
     assert sorted(r.slot for r in rows if r.doc_id == 1 or r.shard == [x.shard for x in rows if x.doc_id == 1][0]) == list(range(len([r for r in rows if r.shard == [x.shard for x in rows if x.doc_id == 1][0]])))
 
 
-def test_raking_meets_all_marginals(spark):
-    rng = random.Random(3)
+def some_cells(spark, seed=3):
+    rng = random.Random(seed)
     cells = [(s, lang, t, float(rng.randint(50, 5000))) for s in "abcd" for lang in ("en", "fr", "de", "es") for t in ("brief", "article", "long")]
-    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
-    out = mixing.fit(df, budget=0.2, rounds=30).collect()
+    return cells, spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
+
+
+@pytest.mark.parametrize("most", [200_000, 10])
+def test_raking_meets_all_marginals(spark, monkeypatch, most):
+    """In one task, and by joins where there are more cells than one task takes."""
+    monkeypatch.setattr(mixing, "MAX_CELLS", most)
+    cells, df = some_cells(spark)
+    rounds = 30 if most > 10 else 8
+    fitted = mixing.fit(df, budget=0.2, rounds=rounds)
+    out = fitted.collect()
     total = sum(c[3] for c in cells)
-    assert all(0 <= r.probability <= 1 for r in out) and math.isclose(sum(r.weight for r in out), 0.2 * total, rel_tol=1e-3)
-    for lang, share in mixing.TARGETS["lang"].items():
-        assert math.isclose(sum(r.weight for r in out if r.lang == lang), share * 0.2 * total, rel_tol=1e-2)
+    assert len(out) == len(cells) and all(0 <= r.probability <= 1 for r in out) and math.isclose(sum(r.weight for r in out), 0.2 * total, rel_tol=1e-3)
+    for dim in ("lang", "topic"):
+        for name, share in mixing.TARGETS[dim].items():
+            assert math.isclose(sum(r.weight for r in out if r[dim] == name), share * 0.2 * total, rel_tol=1e-2)
     mass = {s: sum(c[3] for c in cells if c[0] == s) for s in "abcd"}
     roots = sum(math.sqrt(m) for m in mass.values())
     for s in "abcd":
         assert math.isclose(sum(r.weight for r in out if r.source == s), math.sqrt(mass[s]) / roots * 0.2 * total, rel_tol=1e-2)
+    told = mixing.report(fitted).collect()
+    assert len(told) == 11 and all(abs(r.residual) < 1e-3 and math.isclose(r.weight - r.goal, r.residual * 0.2 * total, abs_tol=1e-6) for r in told)
+
+
+def test_goals_beyond_what_a_category_has(spark):
+    """English has too little for its half: all of it is drawn, and the others share the rest of the budget by their shares."""
+    cells = [("s", "en", "t", 100.0), ("s", "fr", "t", 1000.0), ("s", "de", "t", 1000.0), ("s", "xx", "t", 500.0)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
+    out = {r.lang: r.weight for r in mixing.fit(df, {"source": {}, "lang": {"en": 0.5, "fr": 0.3, "de": 0.2, "xx": 0.0}, "topic": {"t": 1.0}}, 0.4).collect()}
+    assert out == pytest.approx({"en": 100.0, "fr": 0.6 * (0.4 * 2600 - 100), "de": 0.4 * (0.4 * 2600 - 100), "xx": 0.0})
+    with pytest.warns(UserWarning, match="misses its target"):  # the only brief text is English, of which nothing is to be drawn
+        docs = spark.createDataFrame([(i, "w " * n, lang, "s", 0) for i, (n, lang) in enumerate([(10, "en"), (60, "fr"), (70, "fr")])], DOCS)
+        mixing.plan(docs, targets={"source": None, "lang": {"en": 0.0, "fr": 1.0}, "topic": {"brief": 0.5, "article": 0.5}})
 
 
 def test_draws_follow_the_probabilities(spark):
