@@ -273,3 +273,22 @@ def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for index in _indexes(benchmark):
         docs = docs.mapInArrow(cleaner(index), docs.schema)
     return docs
+
+
+def sql(docs: str = "documents", benchmark: str = "benchmark") -> str:
+    """The same rows in DuckDB, from all windows that hold enough of an item's shingles. Ids are not null and do not repeat."""
+    words = "regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10FFFF}]+')"
+    cut = f"CASE WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) END"
+    return f"""
+WITH ds AS (SELECT doc_id, {cut} AS s FROM (SELECT doc_id, {words} AS w FROM {docs}) WHERE len(w) > 0),
+bs AS (SELECT item_id, {cut} AS s FROM (SELECT item_id, {words} AS w FROM {benchmark}) WHERE len(w) > 0),
+dp AS MATERIALIZED (SELECT doc_id, unnest(s) AS h, generate_subscripts(s, 1) AS p FROM ds),
+bn AS MATERIALIZED (SELECT item_id, h, count(*) AS n FROM (SELECT item_id, unnest(s) AS h FROM bs) GROUP BY ALL),
+cand AS (SELECT doc_id, item_id, len(any_value(bs.s)) AS item, least(len(any_value(bs.s)), len(any_value(ds.s))) AS size, len(any_value(ds.s)) AS total FROM dp JOIN bn USING (h) JOIN ds USING (doc_id) JOIN bs USING (item_id)
+  GROUP BY doc_id, item_id HAVING count(*) >= {SIMILARITY} * len(any_value(bs.s)) - 1e-9),
+hit AS MATERIALIZED (SELECT doc_id, item_id, item, size, total, p, h, n FROM cand JOIN bn USING (item_id) JOIN dp USING (doc_id, h)),
+wind AS (SELECT *, unnest(range(greatest(1, p - size + 1), least(p, total - size + 1) + 1)) AS o FROM hit),
+held AS (SELECT doc_id, item_id, item, size, o, least(any_value(n), count(*)) AS n FROM wind GROUP BY doc_id, item_id, item, size, o, h),
+sim AS (SELECT doc_id, item_id, size, o, sum(n) AS n, sum(n) / (item + size - sum(n)) AS similarity FROM held GROUP BY doc_id, item_id, item, size, o HAVING sum(n) >= {SIMILARITY} * (item + size - sum(n)))
+SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_min(o, (-similarity, o)) - 1 AS BIGINT) AS first_word, CAST(any_value(size) + {WORDS - 1} AS BIGINT) AS n_words FROM sim GROUP BY doc_id, item_id
+"""

@@ -433,3 +433,13 @@ def importance(counts: list[int]) -> float:
     """The importance of a node with these counts of one kind, as style_tree computes it."""
     m = sum(counts)
     return (math.log(m) - sum(n * math.log(n) for n in counts) / m) / math.log(m) if m > 1 else 1.0
+
+
+#: The same rows for pages whose main text is all of their one article, as in the given tables: what stands between its tags, without tags, in DuckDB.
+SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '<[^>]*$', '') AS t FROM a),
+e AS (SELECT page_id, url, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS t FROM t),
+s AS (SELECT page_id, url, trim(regexp_replace(coalesce(t, ''), '[\s\x{0B}\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS text FROM e)
+SELECT page_id, url, text, length(text) AS n_chars FROM s
+"""

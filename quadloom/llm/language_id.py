@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quadloom.llm import vectext as V
+from quadloom.llm.duck import CRC_TABLE, crc32
 from quadloom.llm.scratch import tune
 
 TOP = 300
@@ -111,6 +112,12 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def _draw() -> Column:
+    """A number in [0, 1) from the doc_id."""
+    digest = F.md5(F.concat(F.lit("learn|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[int]]:
     """The n-grams of each language's profile, most frequent first."""
     tune(docs.sparkSession)
@@ -121,7 +128,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[int]]:
     if not sizes:
         return {}
     share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in sizes], "lang string, share double")
-    drawn = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
+    drawn = known.join(F.broadcast(share), "lang").where(_draw() < F.col("share")).select("lang", "text")
     total = drawn.mapInArrow(_train, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # the top of each of 16 parts first, so that no task holds all n-grams of a language
     part = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(16))).orderBy(F.desc("n"), "gram"))
@@ -183,3 +190,24 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     return identify(docs, learn(docs))
+
+
+def sql() -> str:
+    """The same rows in DuckDB. doc_ids do not repeat."""
+    gram = "list_concat(list_transform(range(2, length(w) + 2), lambda i: substr(x, i, 1)), list_transform(range(1, length(w) + 2), lambda i: substr(x, i, 2)), list_transform(range(1, length(w) + 1), lambda i: substr(x, i, 3)))"
+    return f"""
+WITH {CRC_TABLE},
+d AS MATERIALIZED (SELECT doc_id, lang, text IS NOT NULL AS told, lower(coalesce(text, '')) AS t, {crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} % 5 = 0 AS held_out FROM documents, tab),
+w AS (SELECT doc_id, w, ' ' || w || ' ' AS x FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}]+')) AS w FROM d)),
+g AS MATERIALIZED (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest({gram}) AS g FROM w) GROUP BY ALL),
+known AS (SELECT doc_id, lang, least(1.0, {SAMPLE} / count(*) OVER (PARTITION BY lang)) AS share FROM d WHERE NOT held_out AND lang IS NOT NULL AND told),
+drawn AS (SELECT doc_id, lang FROM known WHERE CAST('0x' || substr(md5('learn|' || doc_id), 1, 8) AS BIGINT) / {1 << 32}.0 < share),
+profile AS MATERIALIZED (SELECT lang, g, r FROM (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, g) - 1 AS r FROM g JOIN drawn USING (doc_id) GROUP BY lang, g) WHERE r < {TOP}),
+own AS MATERIALIZED (SELECT doc_id, g, r FROM (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, g) - 1 AS r FROM g) WHERE r < {TOP}),
+size AS (SELECT doc_id, count(*) AS n FROM own GROUP BY doc_id),
+near AS (SELECT doc_id, lang, sum({TOP} - abs(own.r - profile.r)) AS near FROM own JOIN profile USING (g) GROUP BY ALL),
+far AS (SELECT s.doc_id, l.lang, s.n, {TOP} * s.n - coalesce(near, 0) AS far FROM size AS s CROSS JOIN (SELECT DISTINCT lang FROM profile) AS l LEFT JOIN near ON near.doc_id = s.doc_id AND near.lang = l.lang),
+best AS (SELECT doc_id, arg_min(lang, (far, lang)) AS lang, 1 - min(far) / (any_value(n) * {TOP}) AS score FROM far GROUP BY doc_id)
+SELECT d.doc_id, held_out, CASE WHEN regexp_matches(t, '\\p{{L}}') THEN coalesce(best.lang, '{UNKNOWN}') ELSE '{UNKNOWN}' END AS lang_pred,
+  CASE WHEN regexp_matches(t, '\\p{{L}}') THEN coalesce(CAST(score AS DOUBLE), 0) ELSE 0 END AS score FROM d LEFT JOIN best ON best.doc_id = d.doc_id
+"""

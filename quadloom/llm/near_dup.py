@@ -55,6 +55,8 @@ SLOTS = ROWS * BANDS
 SCREEN = 0.65
 #: Members of a block of a bucket, and of the nearest members that each is compared with first.
 BLOCK, NEAREST = 512, 3
+#: Pairs of a first member that are verified in one place; more are dealt to several.
+PER_PLACE = 64
 
 _UNIT = 1 << 32
 _FULL = np.int64(np.iinfo(np.int64).max)
@@ -261,13 +263,15 @@ def candidates(shared: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, similarity) of the pairs whose bags reach the threshold; texts: (rep, text).
 
-    Each text is sent to where its pairs' first members are, which are copied to
-    four places so that no member's pairs are one task.
+    Each text is sent to where its pairs' first members are. A first member is copied to as
+    many places as it has pairs for, about PER_PLACE each, so no member's pairs are one task.
     """
-    wanted = pairs.select(F.col("b").alias("rep"), "a", F.lit(1).alias("role")).unionByName(pairs.select(F.col("a").alias("rep"), "a", F.lit(0).alias("role")).distinct())
-    held = texts.select("rep", "text").join(wanted.hint("merge"), "rep")
-    place = F.when(F.col("role") == 0, F.array(*map(F.lit, range(4)))).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.lit(4)).cast("int")))
-    spread = held.select("a", "role", "rep", "text", F.explode(place).alias("salt"))
+    places = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / PER_PLACE)))).cast("int")
+    firsts = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", places.alias("places"))
+    second = pairs.join(firsts.hint("merge"), "a").select(F.col("b").alias("rep"), "a", F.lit(1).alias("role"), F.array(F.pmod(F.xxhash64("b"), F.col("places")).cast("int")).alias("at"))
+    first = firsts.select(F.col("a").alias("rep"), "a", F.lit(0).alias("role"), F.sequence(F.lit(0), F.col("places") - 1).alias("at"))
+    held = texts.select("rep", "text").join(second.unionByName(first).hint("merge"), "rep")
+    spread = held.select("a", "role", "rep", "text", F.explode("at").alias("salt"))
     return spread.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_compare, "a binary, b binary, similarity double").dropDuplicates(["a", "b"])
 
 
@@ -397,11 +401,16 @@ def _residue(shared: DataFrame, labels: DataFrame, bins: DataFrame, work: Scratc
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, class, class_id of every row. class: a key of its class; class_id: the least doc_id there."""
+    """doc_id, text_hash, class, class_id, link_id and similarity of every row.
+
+    class: a key of its class; class_id: the least doc_id there. link_id: the least doc_id of an
+    equal bag, or for that document the greatest, with similarity 1; where no other has the bag, that of the most similar one to which
+    a link was verified, or null. Links are verified until they make up the classes, not all within a class.
+    """
     work = Scratch(docs.sparkSession, "near-dup")
     signed = work.write("signed", sign(docs))
     real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    reps = real.groupBy("rep").agg(F.min("doc_id").alias("doc_id"))
+    reps = real.groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last_id"))
     reps = work.write("reps", real.join(work.write("least", reps), ["rep", "doc_id"]).dropDuplicates(["rep"]))
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
     several = work.write("several", buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
@@ -415,16 +424,24 @@ def classes(docs: DataFrame) -> DataFrame:
     if rest.limit(1).count():
         more = work.write("links-2", verify(rest, texts))
         if more.limit(1).count():
-            labels = work.write("labels-2", components(links.unionByName(more), work, "cc2"))
-    named = reps.select("rep", "doc_id").join(labels, "rep", "left").select("rep", "doc_id", F.coalesce("class", "rep").alias("class"))
+            links = links.unionByName(more)
+            labels = work.write("labels-2", components(links, work, "cc2"))
+    both = links.select("a", "b", "similarity").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    most = both.groupBy(F.col("a").alias("rep")).agg(F.max(F.struct("similarity", "b")).alias("m")).select("rep", F.col("m.b").alias("other"), F.col("m.similarity").alias("similarity"))
+    ids = reps.select(F.col("rep").alias("other"), F.col("doc_id").alias("link_id"))
+    best = most.join(ids, "other").select("rep", "link_id", "similarity")  # few beside the documents: those with a link
+    named = reps.select("rep", "doc_id", "last_id").join(labels, "rep", "left").join(best, "rep", "left").select("rep", "doc_id", "last_id", F.coalesce("class", "rep").alias("class"), "link_id", "similarity")
     named = work.write("named", named)
     ids = work.write("ids", named.groupBy("class").agg(F.min("doc_id").alias("class_id")))
-    named = work.write("class-of", named.join(ids, "class").select("rep", "class", "class_id"))
+    named = work.write("class-of", named.join(ids, "class").select("rep", F.col("doc_id").alias("first_id"), "last_id", "class", "class_id", "link_id", "similarity"))
     work.drop("least", "reps", "several", "shared", "mixed", "rows", "mixed-rows", "texts", "near-0", "near-1", "near-2", "near-3", "pairs-1", "pairs-2", "links-1", "links-2", "labels-1", "labels-2", "named", "ids")
     rows = signed.select("doc_id", "text_hash", "rep", "n_shingles")
-    lone = rows.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "text_hash", F.lit(None).cast("binary").alias("class"), F.col("doc_id").alias("class_id"))
-    real = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    return real.join(named, "rep").select("doc_id", "text_hash", "class", "class_id").unionByName(lone)
+    none = [F.lit(None).cast("binary").alias("class"), F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("link_id"), F.lit(None).cast("double").alias("similarity")]
+    lone = rows.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "text_hash", *none)
+    real = rows.where("doc_id IS NOT NULL AND n_shingles > 0").join(named, "rep")
+    equal = F.when(F.col("doc_id") != F.col("first_id"), F.col("first_id")).when(F.col("last_id") != F.col("doc_id"), F.col("last_id"))
+    link = [F.coalesce(equal, "link_id").alias("link_id"), F.when(equal.isNotNull(), 1.0).otherwise(F.col("similarity")).alias("similarity")]
+    return real.select("doc_id", "text_hash", "class", "class_id", *link).unionByName(lone)
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -454,3 +471,20 @@ def keep(docs: DataFrame) -> DataFrame:
     if stay.where("n > 1").limit(1).count():  # the same doc_id and class in several rows
         out = out.unionByName(those(stay.where("n > 1")).dropDuplicates([f"i{token}", f"t{token}"]))
     return out.unionByName(mine.where(F.col("doc_id").isNull())).select(docs.columns)
+
+
+def sql(docs: str = "documents") -> str:
+    """The same rows in DuckDB, from all pairs of bags that share a shingle. `docs` names a relation whose doc_ids are not null and do not repeat."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM {docs}),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) < {WORDS} THEN [hash(array_to_string(w, ' '))] ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: hash(array_to_string(w[i:i + {WORDS - 1}], ' '))) END) AS h FROM w WHERE len(w) > 0),
+c AS (SELECT doc_id, h, count(*) AS n FROM s GROUP BY ALL),
+size AS (SELECT doc_id, sum(n) AS size, md5(string_agg(h || ':' || n, ',' ORDER BY h)) AS bag FROM c GROUP BY doc_id),
+rep AS (SELECT doc_id, size, min(doc_id) OVER (PARTITION BY bag) AS r FROM size),
+one AS MATERIALIZED (SELECT c.* FROM c JOIN rep USING (doc_id) WHERE doc_id = r),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS n FROM one AS a JOIN one AS b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM met JOIN rep AS x ON a = x.doc_id JOIN rep AS y ON b = y.doc_id WHERE n >= {SIMILARITY} * (x.size + y.size - n) UNION ALL SELECT r, doc_id FROM rep WHERE r < doc_id),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM {docs} UNION SELECT edge.b, reach.r FROM reach JOIN edge ON edge.a = reach.d)
+SELECT d AS doc_id, min(r) AS class_id FROM reach GROUP BY d
+"""

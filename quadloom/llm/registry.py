@@ -33,4 +33,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.sql(), "op6_mixing": mixing.sql(), "op8_quality_rules": quality_rules.SQL, "op9_url_filter": url_filter.SQL, "op10_warc_fixity": warc_fixity.SQL}
+    return {
+        "op1_language_id": language_id.sql(),
+        "op2_decontaminate": decontaminate.sql(),
+        "op3_html_text": html_text.SQL,
+        "op4_sharding": sharding.sql(),
+        "op5_near_dup": near_dup.sql(),
+        "op6_mixing": mixing.sql(),
+        "op8_quality_rules": quality_rules.SQL,
+        "op9_url_filter": url_filter.SQL,
+        "op10_warc_fixity": warc_fixity.SQL,
+    }

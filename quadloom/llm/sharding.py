@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quadloom.llm.duck import CRC_TABLE, crc32
 from quadloom.llm.scratch import Scratch
 
 SHARDS, LAW = 24, "key"
@@ -178,10 +179,9 @@ def sql() -> str:
     full = SHARDS // (RACK * REGION)
     assert SHARDS == full * RACK * REGION, "the last region of the smaller tree is full"
     return f"""
-WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+WITH {CRC_TABLE},
 d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, coalesce(text, '') AS text FROM documents),
-m AS (SELECT doc_id, k, CAST(strlen(text) + 8 AS BIGINT) AS size, CAST(xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
-  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS BIGINT) AS text_crc32 FROM d, tab),
+m AS (SELECT doc_id, k, CAST(strlen(text) + 8 AS BIGINT) AS size, {crc32("text")} AS text_crc32 FROM d, tab),
 keys AS (SELECT DISTINCT k FROM d),
 came AS (SELECT k, r, a, sum({draw("region", "r", "a")}) OVER (PARTITION BY k, r ORDER BY a) AS time FROM keys, range({full + 1}) AS x(r), range({ARRIVALS}) AS y(a) WHERE r = {full} OR a = 0),
 racks AS (SELECT k, r, a, time, arg_min(c, w) AS c FROM (SELECT *, {draw("rack", "c", "a")} AS w FROM (SELECT *, unnest(range(r * {REGION}, (r + 1) * {REGION})) AS c FROM came)) GROUP BY ALL),

@@ -18,7 +18,7 @@ from quadloom.llm import mixing, quality_rules, registry, sharding, url_filter
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return c
 

@@ -107,6 +107,19 @@ def test_whole_table_equals_brute_force(spark):
     assert got == classes_by_brute_force([tuple(r) for r in docs.select("doc_id", "text").collect()])
 
 
+def test_links_lead_to_similar_documents_of_the_class(spark, copies, monkeypatch):
+    """Also where a first member's pairs are verified in several places."""
+    monkeypatch.setattr(near_dup, "PER_PLACE", 2)
+    rows = {r.doc_id: r for r in near_dup.query(documents(spark, copies)).collect()}
+    assert {i: r.class_id for i, r in rows.items()} == classes_by_brute_force(list(enumerate(copies)))
+    size = Counter(r.class_id for r in rows.values())
+    for r in rows.values():
+        assert (r.link_id is not None) == (size[r.class_id] > 1), r
+        if r.link_id is not None:
+            assert r.link_id != r.doc_id and rows[r.link_id].class_id == r.class_id
+            assert r.similarity >= 0.8 and r.similarity == pytest.approx(similarity(bag(copies[r.doc_id]), bag(copies[r.link_id])), abs=1e-6)
+
+
 def test_one_of_each_class_stays(spark, copies):
     docs = documents(spark, copies)
     kept = near_dup.keep(docs)
