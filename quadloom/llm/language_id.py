@@ -50,11 +50,38 @@ def _kind() -> np.ndarray:
 def grams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For pieces of the texts: (first row, rows, whether each has a letter, then of each distinct n-gram: text, code, count), sorted by text and code."""
     lower = V.lowered(texts)
-    todo = list(V.pieces(texts, V.PIECE // 2))[::-1]
+    for a, b in V.pieces(texts, V.PIECE // 2):
+        held = [x or "" for x in lower.slice(a, b - a).to_pylist()]
+        if b - a > 1 or len(held[0]) <= V.PIECE:
+            for x, n, *found in _counted(held):
+                yield a + x, n, *found
+            continue
+        lettered, codes, counts = np.zeros(1, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for part in _parts(held[0]):  # a long text: counts of its parts
+            for _, _, some, _, code, count in _counted([part]):
+                lettered |= some
+                codes, at = np.unique(np.concatenate([codes, code]), return_inverse=True)
+                counts = np.bincount(at, weights=np.concatenate([counts, count]), minlength=len(codes)).astype(np.int64)
+        yield a, 1, lettered, np.zeros(len(codes), np.int64), codes, counts
+
+
+def _parts(text: str) -> Iterator[str]:
+    """Parts of about V.PIECE characters that end after a character that is no letter or mark."""
+    at = 0
+    while at < len(text):
+        to = at + V.PIECE
+        while to < len(text) and unicodedata.category(text[to - 1])[0] in "LM":
+            to += 1
+        yield text[at:to]
+        at = to
+
+
+def _counted(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What `grams` gives, of lower-case texts."""
+    todo = [(0, len(texts))]
     while todo:
         a, b = todo.pop()
-        n = b - a
-        held = [x or "" for x in lower.slice(a, n).to_pylist()]
+        n, held = b - a, texts[a:b]
         points = np.frombuffer((" " + "".join(x + " " for x in held)).encode("utf-32-le", "surrogatepass"), np.uint32)
         own = np.repeat(np.arange(n), [len(x) + 1 for x in held])
         own = np.concatenate([[0], own])

@@ -57,6 +57,8 @@ SCREEN = 0.65
 BLOCK, NEAREST = 512, 3
 #: Pairs of a first member that are verified in one place; more are dealt to several.
 PER_PLACE = 64
+#: Shingles whose points are drawn at once.
+ELEMENTS = 1 << 20
 
 _UNIT = 1 << 32
 _FULL = np.int64(np.iinfo(np.int64).max)
@@ -66,8 +68,23 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 def signatures(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
     """n x slots least times (int64 in units of 2**-32 of a slot's mean gap); the maximum where a text has no shingle."""
     best = np.full(n * slots, _FULL)
-    if not len(doc):
-        return best.reshape(n, slots)
+    mass = np.bincount(doc, weights=weights, minlength=n)
+    worded = mass > 0
+    limit = np.zeros(n)
+    limit[worded] = (np.log(slots) + 4) * slots / mass[worded] * _UNIT
+    lacks = worded
+    while lacks.any():
+        own = np.flatnonzero(lacks[doc])
+        for a in range(0, len(own), ELEMENTS):
+            part = own[a : a + ELEMENTS]
+            _draw(doc[part], hashes[part], weights[part], limit, best, slots)
+        lacks = worded & (best.reshape(n, slots) == _FULL).any(axis=1)
+        limit[lacks] *= 2  # the points drawn before are drawn again, and then more
+    return best.reshape(n, slots)
+
+
+def _draw(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, limit: np.ndarray, best: np.ndarray, slots: int) -> None:
+    """Put the points of the shingles' processes up to their texts' limits into `best`."""
     own, seed, low, top = [], [], [], []
     level, reach = 0, np.arange(len(doc))
     while len(reach):  # a process for each dyadic range that starts below the weight
@@ -80,41 +97,31 @@ def signatures(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int,
         level += 1
     own, seed, low, top = map(np.concatenate, (own, seed, low, top))
     text, most, rate = doc[own], weights[own], top - low
-    mass = np.bincount(doc, weights=weights, minlength=n)
-    limit = np.zeros(n)
-    worded = mass > 0
-    limit[worded] = (np.log(slots) + 4) * slots / mass[worded] * _UNIT
     clock = np.zeros(len(own), np.int64)
     drawn = np.zeros(len(own), np.int64)
     active = np.arange(len(own))
-    while True:
-        while len(active):
-            left = np.maximum(limit[text[active]] - clock[active], 0) / _UNIT * rate[active]
-            take = np.ceil(left + np.sqrt(left)).astype(np.int64) + 1
-            ends = np.cumsum(take)
-            who = np.repeat(active, take)
-            step = np.arange(ends[-1]) - np.repeat(ends - take, take) + drawn[who]
-            bits = V.mix(seed[who] + step.astype(np.uint64) * _STEP)
-            uniform = ((bits >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
-            gap = (-np.log(uniform) * _UNIT).astype(np.int64)
-            total = np.cumsum(gap)
-            before = np.concatenate([[0], total])[ends - take]
-            time = (total - np.repeat(before, take)) // rate[who] + clock[who]
-            more = V.mix(bits)
-            good = time <= limit[text[who]]
-            if (rate[who] > 1).any():
-                cell = low[who] + 1 + ((more >> np.uint64(32)).astype(np.int64) & (rate[who] - 1))
-                good &= cell <= most[who]
-            slot = ((more & np.uint64(0xFFFFFFFF)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
-            np.minimum.at(best, (text[who] * slots + slot)[good], time[good])
-            clock[active] = time[ends - 1]
-            drawn[active] += take
-            active = active[clock[active] <= limit[text[active]]]
-        empty = worded & (best.reshape(n, slots) == _FULL).any(axis=1)
-        if not empty.any():
-            return best.reshape(n, slots)
-        limit[empty] *= 2
-        active = np.flatnonzero(empty[text] & (clock <= limit[text]))
+    while len(active):
+        left = np.maximum(limit[text[active]] - clock[active], 0) / _UNIT * rate[active]
+        take = np.ceil(left + np.sqrt(left)).astype(np.int64) + 1
+        ends = np.cumsum(take)
+        who = np.repeat(active, take)
+        step = np.arange(ends[-1]) - np.repeat(ends - take, take) + drawn[who]
+        bits = V.mix(seed[who] + step.astype(np.uint64) * _STEP)
+        uniform = ((bits >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+        gap = (-np.log(uniform) * _UNIT).astype(np.int64)
+        total = np.cumsum(gap)
+        before = np.concatenate([[0], total])[ends - take]
+        time = (total - np.repeat(before, take)) // rate[who] + clock[who]
+        more = V.mix(bits)
+        good = time <= limit[text[who]]
+        if (rate[who] > 1).any():
+            cell = low[who] + 1 + ((more >> np.uint64(32)).astype(np.int64) & (rate[who] - 1))
+            good &= cell <= most[who]
+        slot = ((more & np.uint64(0xFFFFFFFF)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(best, (text[who] * slots + slot)[good], time[good])
+        clock[active] = time[ends - 1]
+        drawn[active] += take
+        active = active[clock[active] <= limit[text[active]]]
 
 
 def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

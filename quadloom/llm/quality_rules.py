@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quadloom.llm import vectext as V
-from quadloom.llm.scratch import tune
+from quadloom.llm.scratch import Scratch, tune
 
 WINDOW = 5
 _SYMBOL = V._table(lambda b: chr(b) in "#*$%&|<>")
@@ -62,8 +63,10 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         words = V.split_words(data, offsets, V.SOLID)
 
         def summed(flags: np.ndarray) -> np.ndarray:
-            total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-            return total[offsets[1:]] - total[offsets[:-1]]
+            some, total = np.flatnonzero(np.diff(offsets)), np.zeros(n, np.int64)
+            if len(some):
+                total[some] = np.add.reduceat(flags, offsets[some], dtype=np.int64)
+            return total
 
         def by_word(flags: np.ndarray) -> np.ndarray:
             return np.bincount(words.doc[flags], minlength=n)
@@ -72,8 +75,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         out["word_chars"].append(summed(V.SOLID[data] & ((data & 0xC0) != 0x80)))
         out["n_symbols"].append(summed(_SYMBOL[data]))
         lines = V.split_words(data, offsets, _LINE)
-        solid = np.concatenate([[0], np.cumsum(V.SOLID[data], dtype=np.int64)])
-        worded = solid[lines.end] > solid[lines.start]
+        worded = np.searchsorted(words.start, lines.end) > np.searchsorted(words.start, lines.start)
         doc, _, times = V.counted(lines.doc[worded], lines.hash[worded])
         out["n_lines"].append(np.bincount(lines.doc[worded], minlength=n))
         out["n_dup_lines"].append(np.bincount(doc, weights=times - 1, minlength=n).astype(np.int64))
@@ -89,8 +91,8 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         np.add.at(covered, hit, 1)
         np.add.at(covered, hit + WINDOW, -1)
         out["n_repeat_words"].append(by_word(np.cumsum(covered[:-1]) > 0))
-        letters = np.concatenate([[0], np.cumsum(_LETTER[data], dtype=np.int64)])
-        out["n_letter_words"].append(by_word(letters[words.end] > letters[words.start]))
+        lettered = np.logical_or.reduceat(_LETTER[data], words.start) if len(words.start) else np.zeros(0, bool)
+        out["n_letter_words"].append(by_word(lettered))
         loud = (words.end - words.start >= 2) & (data[words.end - 1] == 33) & (data[words.end - 2] == 33) if len(words.end) else np.zeros(0, bool)
         out["n_loud_words"].append(by_word(loud))
     return {k: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for k, v in out.items()}
@@ -143,17 +145,28 @@ def overview(book: DataFrame) -> DataFrame:
     return book.agg(F.bit_or("fail_bits").alias("any_bits"), F.bit_and("fail_bits").alias("all_bits"), F.sum(F.bit_count("fail_bits")).alias("n_failures"))
 
 
-def keep(docs: DataFrame, version: str = POLICY) -> DataFrame:
-    """The rows of `docs` that a policy keeps, with all their columns, in one pass."""
+def with_ledger(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Whole documents with their ledger in one column more, and its free name: a struct of the measurements and `fail_bits`."""
     tune(docs.sparkSession)
-    mask = POLICIES[version] | BASE
-    at = docs.columns.index("text")
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in ("ledger", *(f"ledger_{i}" for i in range(1, len(taken) + 2))) if n not in taken)
+    at, fields = docs.columns.index("text"), [*MEASURES, "fail_bits"]
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(fail_bits(measure(batch.column(at))) & mask == 0))
+            m = measure(batch.column(at).cast(pa.string()))
+            book = pa.StructArray.from_arrays([*(pa.array(m[k]) for k in MEASURES), pa.array(fail_bits(m))], fields)
+            yield pa.RecordBatch.from_arrays([*batch.columns, book], names=[*batch.schema.names, name])
+
+    book = StructType([StructField(f, LongType()) for f in fields])
+    return docs.mapInArrow(measured, StructType([*docs.schema.fields, StructField(name, book)])), name
 
-    return docs.mapInArrow(kept, docs.schema)
+
+def keep(docs: DataFrame, version: str = POLICY) -> DataFrame:
+    """The rows of `docs` that a policy keeps, with all their columns. The ledger is stored beside the documents; the policy reads its bits."""
+    held, name = with_ledger(docs)
+    held = Scratch(docs.sparkSession, "quality").write("ledger", held)
+    return held.where(F.col(name)["fail_bits"].bitwiseAND(POLICIES[version] | BASE) == 0).select(docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -91,32 +91,47 @@ def pieces(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int]]:
 
 def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, cuts: np.ndarray | None = None) -> Words:
     """Maximal runs of the bytes in `table` within each text. cuts: positions at which a run is cut in addition."""
-    n, size = len(offsets) - 1, len(data)
-    inside = np.zeros(size + 2, bool)
-    inside[1:-1] = table[data]
-    begins = inside[1:-1] & ~inside[:-2]
-    ends = inside[1:-1] & ~inside[2:]
-    edges = offsets[(offsets > 0) & (offsets < size)]
+    size, edges = len(data), offsets[1:-1]
+    edges = np.unique(edges[(edges > 0) & (edges < size)])
     if cuts is not None:
         edges = np.union1d(edges, cuts)
-    begins[edges] = inside[1:-1][edges]
-    ends[edges - 1] = inside[1:-1][edges - 1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x in range(0, size, 4 * PIECE):  # memory for a long text is that of its words
+        y = min(x + 4 * PIECE, size)
+        inside = np.zeros(y - x + 2, bool)
+        low, top = max(x - 1, 0), min(y + 1, size)
+        inside[low - x + 1 : top - x + 1] = table[data[low:top]]
+        here = inside[1:-1]
+        begins, stops = here & ~inside[:-2], here & ~inside[2:]
+        first = edges[np.searchsorted(edges, x) : np.searchsorted(edges, y)] - x
+        last = edges[np.searchsorted(edges, x + 1) : np.searchsorted(edges, y + 1)] - 1 - x
+        begins[first] = here[first]
+        stops[last] = here[last]
+        starts.append(np.flatnonzero(begins) + x)
+        ends.append(np.flatnonzero(stops) + x + 1)
+    start, end = np.concatenate(starts), np.concatenate(ends)
     doc = np.searchsorted(offsets, start, side="right") - 1
-    return Words(doc, start, end, _hashes(data, start, end), n)
+    return Words(doc, start, end, _hashes(data, start, end), len(offsets) - 1)
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, piece: int = 4 * PIECE) -> np.ndarray:
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A polynomial hash of data[start:end] for each pair, by prefix sums over pieces that end where a word does."""
-    out, at = np.empty(len(start), np.uint64), 0
+    out, at, piece = np.empty(len(start), np.uint64), 0, PIECE
     while at < len(start):
         to = max(at + 1, int(np.searchsorted(end, start[at] + piece, side="right")))
-        base, top = start[at], end[to - 1]
-        up, down = _power(int(top - base) + 1)
-        sums = np.zeros(top - base + 1, np.uint64)
-        np.cumsum(_BYTE[data[base:top]] * up[: top - base], out=sums[1:])
-        a, b = start[at:to] - base, end[at:to] - base
-        out[at:to] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _ODD)
+        base, top = int(start[at]), int(end[to - 1])
+        if top - base > piece:  # one long word
+            up, total = _power(piece)[0], 0
+            for x in range(base, top, piece):
+                part = _BYTE[data[x : min(x + piece, top)]]
+                total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, x - base, 1 << 64)
+            out[at] = mix(np.array([total + (top - base) * int(_ODD) & (1 << 64) - 1], np.uint64))[0]
+        else:
+            up, down = _power(top - base + 1)
+            sums = np.zeros(top - base + 1, np.uint64)
+            np.cumsum(_BYTE[data[base:top]] * up[: top - base], out=sums[1:])
+            a, b = start[at:to] - base, end[at:to] - base
+            out[at:to] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _ODD)
         at = to
     return out
 

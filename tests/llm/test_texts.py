@@ -7,9 +7,12 @@ import random
 import re
 import shutil
 import struct
+import subprocess
+import sys
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +20,11 @@ import pytest
 from helpers import DOCS, bag, documents, odd, prose, similarity
 from pyspark.sql import functions as F
 
-from quadloom.llm import decontaminate, html_text, language_id, near_dup, token_output, vectext, warc_fixity
+from quadloom.llm import decontaminate, html_text, language_id, near_dup, quality_rules, token_output, vectext, warc_fixity
 from quadloom.llm.scratch import Scratch
 
+ROOT = Path(__file__).parents[2]
+
 
 def classes_by_brute_force(rows):
     """The least doc_id of each component of links of 0.8 or more."""
@@ -634,3 +639,53 @@ def test_queries_are_registered():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
     assert json.dumps(sorted(entry.oracle_sql()))
+
+
+def test_long_texts_are_worked_on_in_parts(monkeypatch):
+    """The same words, hashes, measurements, n-grams and signatures whatever the size of a part."""
+    rng = random.Random(9)
+    texts = pa.array([" ".join(prose(rng, 300)) + "\nÉté " + "x" * 500 + "\n" + " ".join(prose(rng, 40)) * 2, "", None, "a b", "y" * 700, "one line\none line\n" * 30])
+
+    def all_of():
+        data, offsets = vectext.text_bytes(texts)
+        words = vectext.split_words(data, offsets, vectext.SOLID, np.array([3, 90, 700]))
+        grams = {}
+        for a, n, lettered, doc, code, count in language_id.grams(texts):
+            for i in range(n):
+                grams[a + i] = (bool(lettered[i]), code[doc == i].tolist(), count[doc == i].tolist())
+        return (
+            [x.tolist() for x in (words.doc, words.start, words.end, words.hash)], grams, {k: v.tolist() for k, v in quality_rules.measure(texts).items()},
+            near_dup.signatures(*near_dup.bags(texts), len(texts)).tolist(), list(decontaminate.Index([(1, "a b"), (2, " ".join(prose(random.Random(9), 300)[100:140]))]).find(texts)),
+        )
+
+    want = all_of()
+    assert len(want[4]) == 2 and want[1][0][0]
+    for size in (64, 100, 1000):
+        monkeypatch.setattr(vectext, "PIECE", size)
+        monkeypatch.setattr(near_dup, "ELEMENTS", size)
+        assert all_of() == want
+
+
+def test_memory_of_a_text_of_40_megabytes():
+    """Each operator takes less than 800 MB for it, beside the text itself."""
+    code = """
+import resource, sys
+import pyarrow as pa
+from quadloom.llm import decontaminate, language_id, near_dup, quality_rules
+words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+text = pa.array([" ".join([" ".join(f"{words[i % 5]}{i * 7 % 999983}" for i in range(k, k + 5000)) for k in range(0, 3_500_000, 5000)])])
+if sys.argv[1] == "op1":
+    list(language_id.grams(text))
+elif sys.argv[1] == "op2":
+    list(decontaminate.Index([(1, "some item of no great length")]).find(text))
+elif sys.argv[1] == "op5":
+    near_dup.signatures(*near_dup.bags(text), 1)
+elif sys.argv[1] == "op8":
+    quality_rules.measure(text)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
+"""
+    run = lambda name: float(subprocess.run([sys.executable, "-c", code, name], capture_output=True, text=True, check=True, cwd=ROOT).stdout)
+    base = run("none")
+    used = {name: run(name) - base for name in ("op1", "op2", "op5", "op8")}
+    assert all(v < 800 for v in used.values()), used
+    print(used)
