@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quadloom.llm import decontaminate, mixing, near_dup, quality_rules, sharding
+from quadloom.llm.duck import on
 from quadloom.llm.scratch import Scratch
 
 
@@ -40,8 +41,21 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("near_dup", dedup), ("decontaminate", clean_of_benchmark), ("mixing", mixed), ("sharding", sharded)]
 
-#: BagMinHash and SimHash cannot be expressed in SQL; tests/llm compares the stages with brute force.
-ORACLE_SQL = None
+
+
+def _oracle() -> str:
+    """The stages one after the other in DuckDB, each over what the one before kept. doc_ids are not null and do not repeat."""
+    shards = on(sharding.sql(), "documents", "drawn_docs")
+    return f"""
+WITH good_docs AS MATERIALIZED (SELECT * FROM documents SEMI JOIN (SELECT doc_id FROM ({quality_rules.SQL}) WHERE kept) USING (doc_id)),
+single_docs AS MATERIALIZED (SELECT * FROM good_docs SEMI JOIN (SELECT class_id AS doc_id FROM ({near_dup.sql("good_docs")})) USING (doc_id)),
+clean_docs AS MATERIALIZED (SELECT * FROM single_docs ANTI JOIN (SELECT doc_id FROM ({decontaminate.sql("single_docs")})) USING (doc_id)),
+drawn_docs AS MATERIALIZED (SELECT * FROM clean_docs SEMI JOIN (SELECT doc_id FROM ({on(mixing.sql(), "documents", "clean_docs")}) WHERE selected) USING (doc_id))
+SELECT drawn_docs.*, shard FROM drawn_docs JOIN (SELECT doc_id, shard FROM ({shards})) USING (doc_id)
+"""
+
+
+ORACLE_SQL = _oracle()
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
