@@ -267,14 +267,14 @@ def candidates(shared: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame
     return texts.join(wanted.hint("merge"), "doc_id").select("rep", "text").mapInArrow(_candidates, "rep binary, text string, bins binary")
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, work: Scratch, name: str) -> DataFrame:
     """(a, b, similarity) of the pairs whose bags reach the threshold; texts: (rep, text).
 
     Each text is sent to where its pairs' first members are. A first member is copied to as
     many places as it has pairs for, about PER_PLACE each, so no member's pairs are one task.
     """
     places = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / PER_PLACE)))).cast("int")
-    firsts = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", places.alias("places"))
+    firsts = work.write(f"{name}-firsts", pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", places.alias("places")))  # written, so that the join can split a member's pairs
     second = pairs.join(firsts.hint("merge"), "a").select(F.col("b").alias("rep"), "a", F.lit(1).alias("role"), F.array(F.pmod(F.xxhash64("b"), F.col("places")).cast("int")).alias("at"))
     first = firsts.select(F.col("a").alias("rep"), "a", F.lit(0).alias("role"), F.sequence(F.lit(0), F.col("places") - 1).alias("at"))
     held = texts.select("rep", "text").join(second.unionByName(first).hint("merge"), "rep")
@@ -425,11 +425,11 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = work.write("rows", buckets.join(several.hint("merge"), "bucket"))
     shared = work.write("shared", rows.join(reps.select("rep", "sig").hint("merge"), "rep"))
     texts = work.write("texts", candidates(shared, reps, docs))
-    links = work.write("links-1", verify(work.write("pairs-1", _first_pairs(shared, work)), texts))
+    links = work.write("links-1", verify(work.write("pairs-1", _first_pairs(shared, work)), texts, work, "pairs-1"))
     labels = work.write("labels-1", components(links, work, "cc1"))
     rest = work.write("pairs-2", _residue(shared, labels, texts.select("rep", "bins"), work))
     if rest.limit(1).count():
-        more = work.write("links-2", verify(rest, texts))
+        more = work.write("links-2", verify(rest, texts, work, "pairs-2"))
         if more.limit(1).count():
             links = links.unionByName(more)
             labels = work.write("labels-2", components(links, work, "cc2"))
@@ -441,7 +441,7 @@ def classes(docs: DataFrame) -> DataFrame:
     named = work.write("named", named)
     ids = work.write("ids", named.groupBy("class").agg(F.min("doc_id").alias("class_id")))
     named = work.write("class-of", named.join(ids, "class").select("rep", F.col("doc_id").alias("first_id"), "last_id", "class", "class_id", "link_id", "similarity"))
-    work.drop("least", "reps", "several", "shared", "mixed", "rows", "mixed-rows", "texts", "near-0", "near-1", "near-2", "near-3", "pairs-1", "pairs-2", "links-1", "links-2", "labels-1", "labels-2", "named", "ids")
+    work.drop("least", "reps", "several", "shared", "mixed", "rows", "mixed-rows", "texts", "near-0", "near-1", "near-2", "near-3", "pairs-1", "pairs-2", "pairs-1-firsts", "pairs-2-firsts", "links-1", "links-2", "labels-1", "labels-2", "named", "ids")
     rows = signed.select("doc_id", "text_hash", "rep", "n_shingles")
     none = [F.lit(None).cast("binary").alias("class"), F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("link_id"), F.lit(None).cast("double").alias("similarity")]
     lone = rows.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "text_hash", *none)
