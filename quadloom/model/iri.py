@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from os.path import commonprefix
 from typing import NamedTuple
 
 _PARTS = re.compile(r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", re.S)
@@ -43,27 +44,22 @@ def is_absolute(iri: object) -> bool:
 
 
 def remove_dot_segments(path: str) -> str:
-    """`.` and `..` segments applied; a leading slash stays, and a path that ends in such a segment ends in a slash; what is empty then is `/`."""
-    if not path:
-        return ""
+    """`.` and `..` segments applied (RFC 3986, 5.2.4): segments go from an input to an output buffer, each with its slash.
+
+    A leading slash stays, and a path that ends in such a segment ends in a slash; what is empty then is `/`.
+    """
     rooted = path.startswith("/")
-    out: list[str] = []
-    segments = path.split("/")[1 if rooted else 0 :]
-    for i, segment in enumerate(segments):
-        last = i == len(segments) - 1
-        if segment == "..":
-            if out:
-                out.pop()
-            if last:
-                out.append("")
-        elif segment == ".":
-            if last:
-                out.append("")
-        else:
-            out.append(segment)
-    if out == [""]:
-        return "/"
-    return ("/" if rooted else "") + "/".join(out)
+    source, out = path if rooted or not path else f"/{path}", ""
+    while source:
+        end = source.find("/", 1)
+        segment, source = (source, "") if end < 0 else (source[:end], source[end:])
+        if segment not in ("/.", "/.."):
+            out += segment
+            continue
+        if segment == "/..":
+            out = out[: max(out.rfind("/"), 0)]
+        out += "" if source else "/"
+    return out if rooted or len(out) < 2 else out[1:]
 
 
 def resolve(base: str | None, iri: str) -> str:
@@ -86,23 +82,15 @@ def resolve(base: str | None, iri: str) -> str:
 
 
 def relativize(base: str | None, iri: str) -> str:
-    """The shortest reference that resolves to the IRI against the base's folder; the IRI itself if scheme or authority differ."""
+    """The shortest reference (RFC 3986, 4.2) that resolves to the IRI against the base's folder; the IRI itself if scheme or authority differ."""
     if not base:
         return iri
     b, r = parse(base), parse(iri)
     if r.authority is None or (b.scheme, b.authority or "") != (r.scheme, r.authority):
         return iri
-    up, down = remove_dot_segments(b.path).split("/"), remove_dot_segments(r.path).split("/")
-    if up == down and (r.query is not None or r.fragment is not None):
-        same = len(up)
-    else:  # the last segment of the base names no folder, and that of the path stays
-        same = 0
-        while same < min(len(up), len(down)) - 1 and up[same] == down[same]:
-            same += 1
-    rest = up[same:]
-    out = "../" * max(0, len(rest) - 1) + "/".join(down[same:])
-    if r.query is not None:
-        out += f"?{r.query}"
-    if r.fragment is not None:
-        out += f"#{r.fragment}"
-    return out or "./"
+    here, there = remove_dot_segments(b.path), remove_dot_segments(r.path)
+    tail = r._replace(scheme=None, authority=None, path="").text()
+    if here == there and tail:
+        return tail
+    folder = here[: here.rfind("/", 0, len(commonprefix([here, there]))) + 1]  # the longest that has both
+    return "../" * here.count("/", len(folder)) + there[len(folder) :] + tail or "./"
