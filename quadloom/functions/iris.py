@@ -1,11 +1,9 @@
-"""IRIs in columns. All but relativization stay in the JVM."""
+"""IRIs in columns; all stay in the JVM."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from quadloom.model import iri as I
 
@@ -65,13 +63,22 @@ def resolved(base: str, reference: Column) -> Column:
 
 
 def relativized(base: str, iri: Column) -> Column:
-    """The shortest reference to an IRI from a constant base."""
-
-    @F.pandas_udf(StringType())
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else I.relativize(base, v))
-
-    return run(iri)
+    """The shortest reference to an IRI from a constant base: the base's folders are tried from the deepest on."""
+    b = I.parse(base)
+    here = I.remove_dot_segments(b.path)
+    parts = iri_parts(iri)
+    there = dot_segments_removed(parts["path"])
+    tail = F.concat(F.coalesce(F.concat(F.lit("?"), parts["query"]), F.lit("")), F.coalesce(F.concat(F.lit("#"), parts["fragment"]), F.lit("")))
+    path = None
+    for end in [i + 1 for i in range(len(here) - 1, -1, -1) if here[i] == "/"]:
+        short = F.concat(F.lit("../" * here.count("/", end)), F.substring(there, end + 1, 1 << 30))
+        path = F.when(there.startswith(here[:end]), short) if path is None else path.when(there.startswith(here[:end]), short)
+    rest = F.concat(F.lit("../" * here.count("/")), there)
+    path = rest if path is None else path.otherwise(rest)
+    whole = F.concat(path, tail)
+    near = F.when((there == here) & (tail != ""), tail).otherwise(F.when(whole == "", "./").otherwise(whole))
+    same = parts["scheme"].eqNullSafe(F.lit(b.scheme)) & (parts["authority"] == F.lit(b.authority or ""))
+    return F.when(F.coalesce(same, F.lit(False)), near).otherwise(iri)
 
 
 def compacted(iri: Column, prefixes: dict[str, str]) -> Column:

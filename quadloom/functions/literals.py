@@ -60,9 +60,9 @@ def escaped(text: Column) -> Column:
         out = F.replace(out, F.lit(char), F.lit(code))
     rest = out
     for n in [*range(32), 127]:
-        if chr(n) not in _ECHAR and n:
+        if chr(n) not in _ECHAR:
             rest = F.replace(rest, F.lit(chr(n)), F.lit(f"\\u{n:04X}"))
-    return F.when(out.rlike("[\\x01-\\x1f\\x7f]"), rest).otherwise(out)
+    return F.when(out.rlike("[\\x00-\\x1f\\x7f]"), rest).otherwise(out)
 
 
 def literal_text(value: Column, datatype: Column, language: Column) -> Column:

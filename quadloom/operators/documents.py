@@ -3,12 +3,14 @@
 Contexts, frames and remote documents are given when the plan is built: they are
 resolved on the driver (they are few) and travel with the function. Each batch
 is mapped without a shuffle; a document that fails keeps its row, with the
-error's code, and nulls for the rest.
+error's code, and nulls for the rest: `loading document failed` if it is no JSON, and
+`ld.TooDeep` if it is nested deeper than `MAX_DEPTH`, or too deep for a verb.
 """
 
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -47,6 +49,44 @@ def loader_table(df: DataFrame, url: str = "url", document: str = "document", li
     return {r[0]: r[1] for r in rows}
 
 
+#: Levels of objects and arrays in a document.
+MAX_DEPTH = 500
+
+
+def _loaded(raw: str) -> object:
+    """The document of a JSON text whose brackets nest no deeper than MAX_DEPTH."""
+    depth, quoted, escaped = 0, False, False
+    if raw.count("{") + raw.count("[") > MAX_DEPTH:
+        for c in raw:
+            if quoted:
+                quoted, escaped = c != '"' or escaped, c == "\\" and not escaped
+            elif c == '"':
+                quoted = True
+            elif c in "{[":
+                depth += 1
+                if depth > MAX_DEPTH:
+                    raise LinkedDataError(f"deeper than {MAX_DEPTH} levels", "ld.TooDeep")
+            elif c in "}]":
+                depth -= 1
+    return json.loads(raw)
+
+
+def _attempt(run: Callable[[], object]) -> tuple[object, str | None]:
+    """The result, or None and the error's code."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 20 * MAX_DEPTH))
+    try:
+        return run(), None
+    except LinkedDataError as e:
+        return None, e.code or e.name
+    except RecursionError:
+        return None, "ld.TooDeep"
+    except ValueError:
+        return None, "loading document failed"
+    finally:
+        sys.setrecursionlimit(limit)
+
+
 def apply(docs: DataFrame, verb: str, *, doc_id: str = "doc_id", text: str = "json", remote: dict[str, str] | None = None, **options: object) -> DataFrame:
     """doc_id, result (JSON or N-Quads text), event codes and error code of each document under a verb."""
     run_verb = VERBS[verb]
@@ -58,17 +98,12 @@ def apply(docs: DataFrame, verb: str, *, doc_id: str = "doc_id", text: str = "js
             rows = []
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 events = Events(options.get("safe", verb == "canonize"))
-                try:
-                    if raw is None:
-                        rows.append((name, None, [], None))
-                        continue
-                    document = raw if verb in _TEXT_IN else json.loads(raw)
-                    got = run_verb(processor, document, {**options, "_events": events})
-                    rows.append((name, got if verb in _TEXT_OUT else json.dumps(got, ensure_ascii=False), events.codes, None))
-                except LinkedDataError as e:
-                    rows.append((name, None, events.codes, e.code or e.name))
-                except ValueError:
-                    rows.append((name, None, events.codes, "loading document failed"))
+                if raw is None:
+                    rows.append((name, None, [], None))
+                    continue
+                got, error = _attempt(lambda: run_verb(processor, raw if verb in _TEXT_IN else _loaded(raw), {**options, "_events": events}))  # noqa: B023
+                text_out = got if error or verb in _TEXT_OUT else json.dumps(got, ensure_ascii=False)
+                rows.append((name, text_out, events.codes, error))
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.list_(pa.string()), pa.string()), strict=True)], names=["doc_id", "result", "events", "error"])
 
@@ -76,7 +111,10 @@ def apply(docs: DataFrame, verb: str, *, doc_id: str = "doc_id", text: str = "js
 
 
 def to_nodes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "json", remote: dict[str, str] | None = None, **options: object) -> DataFrame:
-    """Node-property rows of documents, with their doc_id; blank nodes are named `_:<doc_id>-b0` and so on."""
+    """Node-property rows of documents, with their doc_id; blank nodes are named `_:<doc_id>-b0` and so on.
+
+    A document that fails has one row: its doc_id, the code in `error`, and nulls.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,15 +123,21 @@ def to_nodes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "json", rem
             out = []
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if raw is not None:
-                    out += _rows(name, processor.expand(json.loads(raw), **options))
+                    rows, error = _attempt(lambda: list(_rows(name, processor.expand(_loaded(raw), **options))))  # noqa: B023
+                    out += [{"doc_id": name, "error": error}] if error else rows
             yield pa.RecordBatch.from_pylist(out, schema=_NODE_ARROW)
 
-    return docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, f"doc_id string, {NODES}")
+    return docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, f"doc_id string, {NODES}, error string")
+
+
+def well_formed(rows: DataFrame) -> DataFrame:
+    """The rows of documents that did not fail, without `error`."""
+    return rows.where("error IS NULL").drop("error")
 
 
 _ITEM_ARROW = pa.struct([(c, pa.string()) for c in ("kind", "value", "datatype", "language")])
 _NODE_ARROW = pa.schema(
-    [("doc_id", pa.string()), ("graph", pa.string()), ("subject", pa.string()), ("property", pa.string()), ("pos", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("datatype", pa.string()), ("language", pa.string()), ("items", pa.list_(_ITEM_ARROW))]
+    [("doc_id", pa.string()), ("graph", pa.string()), ("subject", pa.string()), ("property", pa.string()), ("pos", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("datatype", pa.string()), ("language", pa.string()), ("items", pa.list_(_ITEM_ARROW)), ("error", pa.string())]
 )
 
 
@@ -125,19 +169,23 @@ def _rows(doc: str, expanded: list) -> Iterator[dict]:
 
 
 def parse_quads(texts: DataFrame, *, doc_id: str = "doc_id", text: str = "nquads") -> DataFrame:
-    """Quad rows, with their doc_id, of N-Quads documents."""
+    """Quad rows, with their doc_id, of N-Quads documents; one that fails has one row, with the code in `error`."""
     bounded_batches(texts.sparkSession)
 
     def show(t: tuple) -> str:
         return "" if t[0] == "default" else f"_:{t[1]}" if t[0] == "blank" else t[1]
 
+    def row(name: str, s: tuple, p: tuple, o: tuple, g: tuple) -> dict:
+        kind, language = (o[2], o[3]) if o[0] == "literal" else (None, None)
+        return {"doc_id": name, "graph": show(g), "subject": show(s), "predicate": show(p), "kind": o[0], "object": show(o), "datatype": kind, "language": language}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([(c, pa.string()) for c in ("doc_id", "graph", "subject", "predicate", "kind", "object", "datatype", "language")])
+        kind = pa.schema([(c, pa.string()) for c in ("doc_id", "graph", "subject", "predicate", "kind", "object", "datatype", "language", "error")])
         for batch in batches:
             out = []
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for s, p, o, g in rdf.parse_nquads(raw or ""):
-                    out.append({"doc_id": name, "graph": show(g), "subject": show(s), "predicate": show(p), "kind": o[0], "object": show(o), "datatype": o[2] if o[0] == "literal" else None, "language": o[3] if o[0] == "literal" else None})
+                rows, error = _attempt(lambda: [row(name, *quad) for quad in rdf.parse_nquads(raw or "")])  # noqa: B023
+                out += [{"doc_id": name, "error": error}] if error else rows
             yield pa.RecordBatch.from_pylist(out, schema=kind)
 
-    return texts.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, f"doc_id string, {QUADS}")
+    return texts.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, f"doc_id string, {QUADS}, error string")

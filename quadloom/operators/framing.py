@@ -52,7 +52,7 @@ def matching(nodes: DataFrame, pattern: Mapping | list, require_all: bool = Fals
     other keys are alternatives, except that `[]` demands absence.
     """
     pattern = check(pattern) if isinstance(pattern, list) else dict(pattern)
-    tests: list[tuple[str, Column]] = []  # how it counts, and an aggregate over the node's rows
+    tests: list[tuple[str, Column | None]] = []  # how it counts, and an aggregate over the node's rows; None for the next of `joins`
     joins: list[tuple[str, Mapping]] = []
     for key, raw in pattern.items():
         wanted = [raw] if isinstance(raw, dict) else aslist(raw)
@@ -85,18 +85,19 @@ def matching(nodes: DataFrame, pattern: Mapping | list, require_all: bool = Fals
                 tests.append(("or", _any(own & value_predicate(first))))
             elif isinstance(first, dict) and ("@id" in first or "@type" in first or any(not is_keyword(k) for k in first)):
                 joins.append((key, first))
-                tests.append(("or", _any(own & F.coalesce(F.col(f"_hit{len(joins) - 1}"), F.lit(False)))))
+                tests.append(("or", None))
             elif isinstance(first, dict) and "@default" in first:
                 tests.append(("neutral", _any(own)))
             else:
                 tests.append(("or", _any(own)))
-    rows = nodes
-    for n, (key, inner) in enumerate(joins):  # semi-joins on identifiers; the flag stays on the row of the reference
-        found = matching(nodes, inner, require_all).select("graph", F.col("subject").alias("value"), F.lit(True).alias(f"_hit{n}"))
-        rows = rows.join(found, ["graph", "value"], "left")
     if not tests:
         return nodes.select(_KEY).distinct()
-    held = rows.groupBy(_KEY).agg(*[t.alias(f"_t{i}") for i, (_, t) in enumerate(tests)])
+    held = nodes.groupBy(_KEY).agg(*[(F.lit(False) if t is None else t).alias(f"_t{i}") for i, (_, t) in enumerate(tests)])
+    for (key, inner), i in zip(joins, [i for i, (_, t) in enumerate(tests) if t is None], strict=True):
+        # only the references of this property are sent to the nodes they lead to; literals are not references, whatever their text
+        found = matching(nodes, inner, require_all).select("graph", F.col("subject").alias("value"))
+        hits = nodes.where((F.col("property") == key) & (F.col("kind") == "ref")).select(*_KEY, "value").join(found, ["graph", "value"], "left_semi").select(_KEY).distinct()
+        held = held.drop(f"_t{i}").join(hits.withColumn(f"_t{i}", F.lit(True)), _KEY, "left").withColumn(f"_t{i}", F.coalesce(f"_t{i}", F.lit(False)))
     flags = [(how, F.col(f"_t{i}")) for i, (how, _) in enumerate(tests)]
     if require_all:
         ok = reduce(lambda a, b: a & b, [f for how, f in flags if how != "neutral"], F.lit(True))
@@ -150,16 +151,20 @@ def tree(nodes: DataFrame, matches: DataFrame, shape: Mapping, prefix: str = "")
     """
     out = matches.select(_KEY)
     wanted = [spec if isinstance(spec, str) else spec[0] for spec in shape.values()]
-    rows = nodes.where(F.col("property").isin(wanted)).select(*_KEY, "property", "value")
+    rows = nodes.where(F.col("property").isin(wanted)).select(*_KEY, "property", "kind", "value")
     for name, spec in shape.items():
         prop, more = (spec, None) if isinstance(spec, str) else spec
-        own = rows.where(F.col("property") == prop).select(*_KEY, F.col("value").alias(name))
-        out = out.join(own, _KEY, "left")
-        if isinstance(more, Mapping):
-            below = tree(nodes, nodes.select(_KEY).distinct(), more).withColumnRenamed("subject", name)
-            out = out.join(below, ["graph", name], "left")
-        elif more is not None:
-            out = out.withColumn(name, F.coalesce(name, F.lit(more)))
+        own = rows.where(F.col("property") == prop)
+        if isinstance(more, Mapping):  # only nodes that are referred to are looked up; a literal stays a value
+            to = F.when(F.col("kind") == "ref", F.col("value"))
+            lead = own.select(*_KEY, F.col("value").alias(name), to.alias("_to"))
+            below = tree(nodes, lead.where("_to IS NOT NULL").select("graph", F.col("_to").alias("subject")).distinct(), more).withColumnRenamed("subject", "_to")
+            out = out.join(lead.join(below, ["graph", "_to"], "left").drop("_to"), _KEY, "left")
+            continue
+        out = out.join(own.select(*_KEY, F.col("value").alias(name)), _KEY, "left")
+        if more is None:
+            continue
+        out = out.withColumn(name, F.coalesce(name, F.lit(more)))
     return out
 
 

@@ -33,7 +33,8 @@ def grouped(nodes: DataFrame) -> DataFrame:
 
 def node_sizes(nodes: DataFrame) -> DataFrame:
     """graph, subject, and how many properties and distinct values each node has."""
-    return distinct_values(nodes).groupBy("graph", "subject").agg(F.count_distinct("property").alias("n_properties"), F.count("*").alias("n_values"))
+    each = distinct_values(nodes).groupBy("graph", "subject", "property").agg(F.count("*").alias("n"))
+    return each.groupBy("graph", "subject").agg(F.count("*").alias("n_properties"), F.sum("n").alias("n_values"))
 
 
 def reversed_(nodes: DataFrame, prop: str, as_property: str) -> DataFrame:
@@ -71,8 +72,8 @@ def merge_first_wins(*parts: DataFrame) -> DataFrame:
 
 
 def flatten(nodes: DataFrame) -> DataFrame:
-    """Nodes that say something: subjects of a property other than their own mention."""
-    return distinct_values(nodes).where("property IS NOT NULL")
+    """The nodes of all documents as one list, each once with its distinct values. A node that is only mentioned has no rows, and so is not in it."""
+    return distinct_values(nodes)
 
 
 def subjects(nodes: DataFrame) -> DataFrame:

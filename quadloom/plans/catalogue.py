@@ -267,7 +267,7 @@ def f11_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = F.struct(_id("nation", "n_nationkey").alias("@id"), F.col("n_name").alias("name"), region.alias("region"))
     json = F.struct(_id("customer", "c_custkey").alias("@id"), F.col("c_name").alias("name"), nation.alias("nation"))
     docs = joined.select(F.col("c_custkey").cast("string").alias("doc_id"), F.to_json(json).alias("json"))
-    rows = documents.to_nodes(docs, expandContext={"@vocab": EX}).drop("doc_id")
+    rows = documents.well_formed(documents.to_nodes(docs, expandContext={"@vocab": EX})).drop("doc_id")
     return nodes.flatten(rows).select("subject", "property", "value")
 
 

@@ -24,20 +24,22 @@ def _bare(name: Column) -> Column:
     return F.when(name.startswith("<"), F.substring(name, 2, 1 << 30).substr(F.lit(1), F.length(name) - 2)).otherwise(name)
 
 
+_TOKEN = r"""\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\[tbnrf"'\\]|[^\\]+|\\"""
+_CHARS = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+
+
 def _unescaped(text: Column) -> Column:
-    """The characters that a literal's escapes stand for."""
-    # a backslash that stands for itself is kept aside, so that it starts no other escape
-    out = F.replace(text, F.lit("\\\\"), F.lit("\x00"))
-    for code, char in {"\\n": "\n", "\\r": "\r", "\\t": "\t", "\\b": "\b", "\\f": "\f", '\\"': '"', "\\'": "'"}.items():
-        out = F.replace(out, F.lit(code), F.lit(char))
-    codes = F.array_distinct(F.regexp_extract_all(out, F.lit(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})"), F.lit(0)))
-
-    def put(held: Column, code: Column) -> Column:
-        number = F.conv(F.substring(code, 3, 8), 16, 10).cast("int")
-        return F.replace(held, code, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-
-    named = F.when(out.contains("\\"), F.aggregate(codes, out, put)).otherwise(out)
-    return F.when(text.contains("\\"), F.replace(named, F.lit("\x00"), F.lit("\\"))).otherwise(text)
+    """The characters that a literal's escapes stand for: the text is cut at its escapes, and each is read once."""
+
+    def char(token: Column) -> Column:
+        kind = F.substring(token, 2, 1)
+        number = F.conv(F.substring(token, 3, 8), 16, 10).cast("int")
+        out = F.when(~token.startswith("\\") | (F.length(token) == 1), token).when(kind.isin("u", "U"), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        for code, plain in _CHARS.items():
+            out = out.when(kind == code, plain)
+        return out
+
+    return F.when(text.contains("\\"), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), char), "")).otherwise(text)
 
 
 def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
