@@ -10,6 +10,7 @@ error's code, and nulls for the rest: `loading document failed` if it is no JSON
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Callable, Iterator
 
@@ -51,23 +52,18 @@ def loader_table(df: DataFrame, url: str = "url", document: str = "document", li
 
 #: Levels of objects and arrays in a document.
 MAX_DEPTH = 500
+#: Strings and brackets of JSON.
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]', re.S)
 
 
 def _loaded(raw: str) -> object:
     """The document of a JSON text whose brackets nest no deeper than MAX_DEPTH."""
-    depth, quoted, escaped = 0, False, False
     if raw.count("{") + raw.count("[") > MAX_DEPTH:
-        for c in raw:
-            if quoted:
-                quoted, escaped = c != '"' or escaped, c == "\\" and not escaped
-            elif c == '"':
-                quoted = True
-            elif c in "{[":
-                depth += 1
-                if depth > MAX_DEPTH:
-                    raise LinkedDataError(f"deeper than {MAX_DEPTH} levels", "ld.TooDeep")
-            elif c in "}]":
-                depth -= 1
+        depth = 0
+        for mark in _MARKS.finditer(raw):
+            depth += {"{": 1, "[": 1, "}": -1, "]": -1}.get(mark[0], 0)
+            if depth > MAX_DEPTH:
+                raise LinkedDataError(f"deeper than {MAX_DEPTH} levels", "ld.TooDeep")
     return json.loads(raw)
 
 

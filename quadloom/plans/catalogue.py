@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from quadloom.model.terms import RDF_LANG_STRING, XSD, XSD_STRING
 from quadloom.operators import canonize, documents, framing, nodes, rdf
 from quadloom.plans import table as P
 from quadloom.plans.views import EX, mapped, table, view
-from quadloom.schema import QUAD_COLUMNS
+from quadloom.schema import ITEM, QUAD_COLUMNS
 from quadloom.sources import nquads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,23 +193,52 @@ def k3_single_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.get_json_object("result", "$.suppliers").alias("suppliers"))
 
 
-@query("SELECT source, lower(lang) AS language, count(*) AS n_values, min(length(text)) AS shortest, max(length(text)) AS longest FROM documents WHERE text IS NOT NULL GROUP BY ALL")
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lower(lang) AS language, source AS value, 'rest' AS other FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
 def k11_language_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entries of each source's language map."""
-    rows = view(spark, sf_dir, "documents")
-    texts = rows.where(F.col("property") == EX + "text").select("subject", "value", "language")
-    sources = rows.where(F.col("property") == EX + "source").select("subject", F.col("value").alias("source"))
-    size = F.length("value").cast("long")
-    return texts.join(sources, "subject").groupBy("source", "language").agg(F.count("*").alias("n_values"), F.min(size).alias("shortest"), F.max(size).alias("longest"))
+    """Tagged values put back into a map by language."""
+    tagged = lambda v, tag: F.struct(v.alias("@value"), tag.alias("@language"))
+    json = F.struct(_id("doc", "doc_id").alias("@id"), F.array(tagged(F.col("source"), F.col("lang")), tagged(F.lit("rest"), F.lit("xx"))).alias(EX + "source"))
+    docs = table(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.lower("lang").alias("language"), F.to_json(json).alias("json"))
+    out = documents.apply(docs, "compact", context={"source": {"@id": EX + "source", "@container": "@language"}}).join(docs.select("doc_id", "language"), "doc_id")
+    held = F.from_json(F.get_json_object("result", "$.source"), "map<string,string>")
+    return out.select("doc_id", "language", held[F.col("language")].alias("value"), held["xx"].alias("other"))
 
 
-@query(f"SELECT 'urn:user:' || user_id AS subject, '{EX}event/' || event_type AS key, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT CAST(event_id AS VARCHAR) AS doc_id, event_type AS key, 'urn:event:' || event_id AS id FROM events")
 def k11_type_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entries of each user's map of events by type."""
-    rows = view(spark, sf_dir, "events")
-    types = rows.where("property = '@type'").select("subject", F.col("value").alias("key"))
-    users = rows.where(F.col("property") == EX + "user").select("subject", F.col("value").alias("user"))
-    return types.join(users, "subject").groupBy(F.col("user").alias("subject"), "key").agg(F.count("*").alias("n"))
+    """Nodes put back into a map by type."""
+    event = F.struct(_id("event", "event_id").alias("@id"), F.array(F.concat(F.lit(EX), F.col("event_type"))).alias("@type"), F.col("value").alias(EX + "n"))
+    json = F.struct(_id("user", "user_id").alias("@id"), F.array(event).alias(EX + "event"))
+    context = {"@vocab": EX, "event": {"@id": EX + "event", "@container": "@type"}}
+    out = documents.apply(_doc(spark, sf_dir, "events", F.col("event_id"), json), "compact", context=context)
+    held = F.from_json(F.get_json_object("result", "$.event"), "map<string,string>")
+    key = F.element_at(F.map_keys(held), 1)
+    return out.select("doc_id", key.alias("key"), F.get_json_object(held[key], "$['@id']").alias("id"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, CASE WHEN s_suppkey % 2 = 0 THEN 'words' ELSE 'http://example.org/words' END AS term FROM supplier".replace("http://example.org/words", EX + "words"))
+def k14_list_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A term for lists of a language takes a list of such words and a node, but not one with words of another language."""
+    word = F.struct(F.col("s_name").alias("@value"), F.when(F.col("s_suppkey") % 2 == 0, "en").otherwise("fr").alias("@language"))
+    items = F.array(F.to_json(F.struct(F.col("s_name").alias("@value"), F.lit("en").alias("@language"))), F.to_json(word), F.to_json(F.struct(_id("nation", "s_nationkey").alias("@id"))))
+    text = F.concat(F.lit('{"@id":"urn:s","' + EX + 'words":{"@list":['), F.array_join(items, ","), F.lit("]}}"))
+    docs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), text.alias("json"))
+    out = documents.apply(docs, "compact", context={"words": {"@id": EX + "words", "@container": "@list", "@language": "en"}})
+    keys = F.filter(F.json_object_keys("result"), lambda k: ~k.startswith("@"))
+    return out.select("doc_id", F.element_at(keys, 1).alias("term"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, ['date', 'english', 'aa', 'id_of'][1 + p_partkey % 4] AS term FROM part")
+def k15_select_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of many terms of one property the one whose type or language fits; of equal ones the shortest, then the least."""
+    iri = EX + "about"
+    context = {"date": {"@id": iri, "@type": XSD + "date"}, "english": {"@id": iri, "@language": "en"}, "aaa": iri, "ab": iri, "aa": iri, "id_of": {"@id": iri, "@type": "@id"}}
+    kinds = [F.struct(F.lit("2020-01-01").alias("@value"), F.lit(XSD + "date").alias("@type")), F.struct(F.col("p_name").alias("@value"), F.lit("en").alias("@language")), F.struct(F.col("p_name").alias("@value")), F.struct(F.lit("urn:x").alias("@id"))]
+    value = F.element_at(F.array(*map(F.to_json, kinds)), (1 + F.col("p_partkey") % 4).cast("int"))
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.concat(F.lit('{"@id":"urn:p","' + iri + '":'), value, F.lit("}")).alias("json"))
+    out = documents.apply(docs, "compact", context=context)
+    keys = F.filter(F.json_object_keys("result"), lambda k: ~k.startswith("@"))
+    return out.select("doc_id", F.element_at(keys, 1).alias("term"))
 
 
 PREFIXES = {"http://": "h", "https://": "s", "https://www.": "w", "https://blog.": "b", "http://blog.": "hb"}
@@ -404,10 +434,25 @@ def q21_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("subject").agg(F.count("*").alias("n_customers"), F.sum(key).alias("sum_keys"))
 
 
-@query("SELECT conv_id, '_:' || role AS name FROM conversations GROUP BY ALL HAVING count(*) = 1")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS doc_id, 'nation of ' || c_name AS name, c_custkey % 2 = 0 AS named FROM customer")
 def q24_prune_bnodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mentions = table(spark, sf_dir, "conversations").select("conv_id", F.concat(F.lit("_:"), "role").alias("name"))
-    return nodes.single_use(mentions, ["conv_id", "name"])
+    """Blank nodes of framed documents keep their identifiers only where these occur twice."""
+    lead = F.struct(F.lit("_:n").alias("@id"))
+    one = F.struct(_id("customer", "c_custkey").alias("@id"), F.lit("Customer").alias("@type"), lead.alias("nation"), F.when(F.col("c_custkey") % 2 == 0, lead).alias("other"))
+    two = F.struct(F.lit("_:n").alias("@id"), F.concat(F.lit("nation of "), F.col("c_name")).alias("name"))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.concat(F.lit('{"@graph":['), F.to_json(one), F.lit(","), F.to_json(two), F.lit("]}")).alias("json"))
+    out = documents.apply(docs, "frame", frame={"@context": {"@vocab": EX}, "@type": "Customer"}, expandContext={"@vocab": EX})
+    return out.select("doc_id", F.get_json_object("result", "$.nation.name").alias("name"), F.get_json_object("result", "$.nation['@id']").isNotNull().alias("named"))
+
+
+@query("SELECT 'urn:order:' || o_orderkey AS subject FROM orders WHERE o_orderkey % 2 = 0")
+def q11_literal_like_an_iri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that refer to a customer: those with the customer's identifier as a text do not."""
+    text = F.col("o_orderkey") % 2 == 1
+    link = F.struct(F.lit("@default").alias("graph"), _id("order", "o_orderkey").alias("subject"), F.lit(EX + "by").alias("property"), F.lit(0).alias("pos"), F.when(text, "value").otherwise("ref").alias("kind"), _id("customer", "o_custkey").alias("value"), F.when(text, XSD_STRING).alias("datatype"))
+    kind = F.struct(F.lit("@default").alias("graph"), _id("customer", "o_custkey").alias("subject"), F.lit("@type").alias("property"), F.lit(0).alias("pos"), F.lit("ref").alias("kind"), F.lit(EX + "Customer").alias("value"), F.lit(None).cast("string").alias("datatype"))
+    rows = table(spark, sf_dir, "orders").select(F.explode(F.array(link, kind)).alias("r")).select("r.*", F.lit(None).cast("string").alias("language"), F.lit(None).cast(f"array<{ITEM}>").alias("items"))
+    return framing.matching(rows, {EX + "by": {"@type": [EX + "Customer"]}}).select("subject")
 
 
 # RDF
@@ -502,7 +547,11 @@ def _detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(_id("order", "o_orderkey").alias("key"), F.explode(rows).alias("r")).select("key", "r.*")
 
 
-@query()
+#: The canonical text of a ring of three blank nodes, whatever their names.
+_RING = "".join(f"_:c14n{a} <{EX}next> _:c14n{b} .\n" for a, b in ((0, 2), (1, 0), (2, 1)))
+
+
+@query(f"SELECT 'urn:nation:' || n_nationkey AS key, t AS nquads, sha256(t) AS hash FROM nation, (SELECT '{_RING}' AS t)")
 def r15_canon_ndegree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each nation as a ring of three blank nodes, which only n-degree hashes can name."""
     blank = lambda i: F.concat(F.lit("_:n"), F.col("n_nationkey").cast("string"), F.lit(f"x{i % 3}"))
@@ -512,6 +561,31 @@ def r15_canon_ndegree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonize.canonize(quads, "key").select("key", "nquads", "hash")
 
 
+def _two_blanks(algorithm: str) -> str:
+    """The canonical text of two blank nodes with a status each, named in the order of their first-degree hashes."""
+    lines = [f'_:a <{EX}status> "{x}" .\n' for x in "FOPQRS"]
+    order = sorted(lines, key=lambda line: hashlib.new(algorithm, line.encode()).hexdigest())
+    return "".join(sorted(line.replace("_:a", f"_:c14n{i}") for i, line in enumerate(order)))
+
+
+@query(f"SELECT 'urn:nation:' || n_nationkey AS key, '{_two_blanks('sha256')}' AS sha256, '{_two_blanks('sha384')}' AS sha384 FROM nation")
+def r15_canon_algorithms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank nodes named by first-degree hashes of either algorithm, which order them differently."""
+    rows = F.array(*[F.struct(F.concat(F.lit("_:n"), F.col("n_nationkey").cast("string"), F.lit(x)).alias("subject"), F.lit(x).alias("object")) for x in "FOPQRS"])
+    quads = table(spark, sf_dir, "nation").select(_id("nation", "n_nationkey").alias("key"), F.explode(rows).alias("r"))
+    quads = quads.select("key", F.lit("").alias("graph"), "r.subject", F.lit(EX + "status").alias("predicate"), F.lit("literal").alias("kind"), "r.object", F.lit(XSD_STRING).alias("datatype"), F.lit(None).cast("string").alias("language"))
+    one, two = (canonize.canonize(quads, "key", a).select("key", F.col("nquads").alias(a)) for a in ("sha256", "sha384"))
+    return one.join(two, "key")
+
+
+@query(r"SELECT 'urn:doc:' || doc_id AS subject, 'A\u0041 ' || source || '\ A\n' AS object FROM documents WHERE source IS NOT NULL")
+def s10_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Escapes are read once: a backslash that one stands for begins no other."""
+    text = F.concat(F.lit(r'\u0041\u005Cu0041 '), F.col("source"), F.lit(r"\\ \U00000041\u005Cn"))
+    line = F.concat(F.lit("<"), _id("doc", "doc_id"), F.lit(f'> <{EX}text> "'), text, F.lit('" .'))
+    return nquads.parsed(table(spark, sf_dir, "documents").where("source IS NOT NULL").select(line.alias("value"))).select("subject", "object")
+
+
 @query(_as_quads(_CUSTOMER_NODES))
 def s10_nquads_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers to N-Quads lines and back."""
@@ -551,23 +625,18 @@ def u3_remove_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", *(L.relativized(BASE, i).alias(n) for n, i in iris.items()))
 
 
-@query("SELECT page_id, '/a/' || page_id || '/d/' AS path FROM pages")
+@query("SELECT doc_id, '/' || source || '/' || lang AS path, '/' || lang || '/' AS folder, '/' || lang AS above FROM documents")
 def u4_dot_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat(F.lit("/a/./b/../"), F.col("page_id").cast("string"), F.lit("/c/../d/e/.."))
-    return table(spark, sf_dir, "pages").select("page_id", L.dot_segments_removed(path).alias("path"))
+    docs, path = table(spark, sf_dir, "documents"), lambda *parts: L.dot_segments_removed(F.concat(*(F.col(p) if p.isalpha() else F.lit(p) for p in parts)))
+    return docs.select("doc_id", path("/", "source", "/./x/../", "lang").alias("path"), path("/./", "source", "/../", "lang", "/.").alias("folder"), path("/../", "source", "/../../", "lang").alias("above"))
 
 
-@query("SELECT page_id, true AS url, false AS path, false AS spaced FROM pages")
+@query("SELECT doc_id, doc_id % 3 = 0 AS absolute FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
 def u5_is_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", L.is_absolute(url).alias("url"), L.is_absolute(F.concat(F.lit("/"), F.substring_index(url, "/", -1))).alias("path"), L.is_absolute(F.concat(url, F.lit(" x"))).alias("spaced"))
-
-
-@query("SELECT p_brand AS brand, first(p_name ORDER BY length(p_name), p_name) AS name FROM part GROUP BY p_brand")
-def u14_shortest_least(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shortest and then least name of each brand, as terms are chosen."""
-    least = F.min(F.struct(F.length("p_name").alias("n"), F.col("p_name").alias("name")))
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(least.alias("m")).select("brand", "m.name")
+    """With a scheme; without one; and with white space."""
+    kinds = F.array(F.concat("lang", F.lit(":"), "source"), F.concat("source", F.lit("/"), "lang", F.lit(":x")), F.concat("lang", F.lit(": "), "source"))
+    docs = table(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
+    return docs.select("doc_id", L.is_absolute(F.element_at(kinds, (1 + F.col("doc_id") % 3).cast("int"))).alias("absolute"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {_sql_double('l_extendedprice')} AS price, {_sql_double('l_discount')} AS discount FROM lineitem")
@@ -731,4 +800,69 @@ def s2_remote_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long").alias("page_id"), F.col("subject").alias("id"))
 
 
+# contexts and failures
+
+
+@query(f"""SELECT CAST(p_partkey AS VARCHAR) AS doc_id, unnest(['{EX}partName', '{EX}brandName', '{EX}name']) AS property, unnest([p_name, p_brand, p_type]) AS value FROM part""")
+def c23_scoped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One term with three meanings: by the node's type, by the property it is under, and by neither, as a type's context does not reach nodes below."""
+    context = {"@vocab": EX, "Part": {"@id": EX + "Part", "@context": {"name": EX + "partName"}}, "maker": {"@id": EX + "maker", "@context": {"name": EX + "brandName"}}}
+    json = F.struct(_id("part", "p_partkey").alias("@id"), F.lit("Part").alias("@type"), F.col("p_name").alias("name"), F.struct(F.col("p_brand").alias("name")).alias("maker"), F.struct(F.col("p_type").alias("name")).alias("kind"))
+    rows = documents.to_nodes(_doc(spark, sf_dir, "part", F.col("p_partkey"), json), expandContext=context)
+    return rows.where("kind = 'value'").select("doc_id", "property", "value")
+
+
+@query(f"SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, unnest(['{EX}name', '{EX}label']) AS property, s_name AS value FROM supplier")
+def c7_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A context that does not propagate ends with its node."""
+    context = {"name": EX + "label", "of": EX + "of"}
+    json = F.concat(F.lit('{"@context":{"@propagate":false,"name":"' + EX + 'name"},"@id":"urn:s","name":'), F.to_json(F.array("s_name")), F.lit(',"of":{"name":'), F.to_json(F.array("s_name")), F.lit("}}"))
+    docs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), json.alias("json"))
+    return documents.to_nodes(docs, expandContext=context).where("kind = 'value'").select("doc_id", "property", "value")
+
+
+@query(f"SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, '{EX}imported' AS property, s_name AS value FROM supplier")
+def c8_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A context that imports another, and overrides one of its terms."""
+    remote = {"http://example.org/base-context": '{"@context": {"name": "' + EX + 'imported", "size": "http://example.org/no"}}'}
+    local = F.struct(F.lit(1.1).alias("@version"), F.lit("http://example.org/base-context").alias("@import"), F.lit(EX + "size").alias("size"))
+    json = F.struct(local.alias("@context"), _id("supplier", "s_suppkey").alias("@id"), F.col("s_name").alias("name"))
+    return documents.to_nodes(_doc(spark, sf_dir, "supplier", F.col("s_suppkey"), json), remote=remote).select("doc_id", "property", "value")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, CASE WHEN s_suppkey % 2 = 0 THEN 'protected term redefinition' END AS error FROM supplier")
+def c19_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A protected term may be defined again as it was, and not otherwise."""
+    context = {"name": {"@id": EX + "name", "@protected": True}}
+    again = F.when(F.col("s_suppkey") % 2 == 0, EX + "other").otherwise(EX + "name")
+    json = F.struct(F.struct(again.alias("name")).alias("@context"), _id("supplier", "s_suppkey").alias("@id"), F.col("s_name").alias("name"))
+    return documents.apply(_doc(spark, sf_dir, "supplier", F.col("s_suppkey"), json), "expand", expandContext=context).select("doc_id", "error")
+
+
+_BROKEN = ["'loading document failed'", "'invalid @id value'", "'ld.TooDeep'", "'invalid value object'", "NULL"]
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS doc_id, [{', '.join(_BROKEN)}][1 + p_partkey % 5] AS error FROM part")
+def x_bad_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are no JSON, break the rules, or are nested a thousand levels deep cost their own row only."""
+    texts = ["no JSON", '{"@id": 5}', '{"a":' * 1000 + "1" + "}" * 1000, '{"a": {"@value": 1, "x": 2}}', '{"@id": "urn:p", "a": 1}']
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.element_at(F.array(*map(F.lit, texts)), (1 + F.col("p_partkey") % 5).cast("int")).alias("json"))
+    return documents.to_nodes(docs, expandContext={"@vocab": EX}).select("doc_id", "error")
+
+
+_EVENTS = {
+    "reserved term": '{"@context": {"@odd": "urn:x"}, "@id": "urn:p", "urn:a": 1}', "relative @id reference": '{"@id": "relative", "urn:a": 1}', "relative @type reference": '{"@id": "urn:p", "@type": "relative"}',
+    "reserved @id value": '{"@id": "@odd", "urn:a": 1}', "free-floating scalar": '["scalar"]', "null @value value": '{"@id": "urn:p", "urn:a": [{"@value": null}, 1]}', "object with only @id": '{"@id": "urn:p"}',
+    "invalid property": '{"@id": "urn:p", "a": 1}', "invalid @language value": '{"@id": "urn:p", "urn:a": {"@value": "x", "@language": "a b"}}', "object with only @language": '{"@id": "urn:p", "urn:a": {"@language": "en"}}',
+}
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS doc_id, {list(_EVENTS)}[1 + p_partkey % {len(_EVENTS)}] AS code FROM part")
+def x_event_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event that each loss of data raises."""
+    texts = F.array(*map(F.lit, _EVENTS.values()))
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.element_at(texts, (1 + F.col("p_partkey") % len(_EVENTS)).cast("int")).alias("json"))
+    return documents.apply(docs, "expand").select("doc_id", F.element_at("events", 1).alias("code"))
+
+
 __all__ = ["oracle_sql", "queries"]

@@ -313,3 +313,11 @@ def test_random_documents_round_trip():
         ctx = {"@vocab": "http://e/"}
         assert P.expand(P.compact(doc, ctx)) == P.expand(doc)
         assert P.canonize(P.from_rdf(P.to_rdf(doc, format=NQUADS))) == P.canonize(doc)
+
+
+def test_a_list_of_a_language_may_hold_nodes():
+    """References do not change the language by which a list's term is chosen, unless one comes first."""
+    iri, context = "http://e/words", {"words": {"@id": "http://e/words", "@container": "@list", "@language": "en"}}
+    word, node = {"@value": "a", "@language": "en"}, {"@id": "http://n/1"}
+    for items, key in (([word, node], "words"), ([word, node, word], "words"), ([node, word], iri), ([word, {"@value": "b"}], iri)):
+        assert key in P.compact({"@id": "http://e/1", iri: {"@list": items}}, context), items

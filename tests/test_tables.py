@@ -174,3 +174,55 @@ def test_table_values(spark):
                 lit = model_rdf.literal({"@value": v})
                 want[f"urn:{k}", name] = (lit[1], lit[2].rpartition("#")[2])
     assert got == want
+
+
+def test_a_literal_is_no_reference(spark):
+    docs = {"@graph": [{"@id": "http://e/1", "@type": "http://e/A"}, {"@id": "http://e/2", "http://e/q": "http://e/1"}, {"@id": "http://e/3", "http://e/q": [{"@id": "http://e/1"}, "http://e/1"], "http://e/r": "x"}]}
+    rows = documents.well_formed(documents.to_nodes(spark.createDataFrame([("1", json.dumps(docs))], "doc_id string, json string"))).drop("doc_id")
+    found = framing.matching(rows, {"http://e/q": [{"@type": ["http://e/A"]}]})
+    assert [r.subject for r in found.collect()] == ["http://e/3"]
+    out = framing.tree(rows, rows.select("graph", "subject").distinct().where("subject <> 'http://e/1'"), {"q": ("http://e/q", {"type": "@type"}), "r": "http://e/r"})
+    assert sorted((r.subject, r.q, r.type, r.r) for r in out.select("subject", "q", "type", "r").fillna("").collect()) == [("http://e/2", "http://e/1", "", ""), ("http://e/3", "http://e/1", "", "x"), ("http://e/3", "http://e/1", "http://e/A", "x")]
+
+
+@pytest.mark.parametrize("algorithm", ["sha256", "sha384"])
+def test_hash_algorithms_equal_the_model(spark, algorithm):
+    texts = {str(n): "".join(f'_:x{i} <http://p> "{i * n}" .\n' for i in range(5)) + "_:r <http://q> _:s .\n_:s <http://q> _:r .\n" * (n % 2) for n in range(1, 4)}
+    quads = documents.parse_quads(spark.createDataFrame(list(texts.items()), "doc_id string, nquads string")).drop("error")
+    got = {r.doc_id: r.nquads for r in canonize.canonize(quads, "doc_id", algorithm).collect()}
+    assert got == {k: Processor().canonize(t, inputFormat=NQUADS, canonizeOptions={"messageDigestAlgorithm": algorithm}) for k, t in texts.items()}
+    with pytest.raises(Exception, match="unknown hash algorithm"):
+        canonize.canonize(quads, "doc_id", "md5")
+
+
+def test_escapes_are_read_once_and_written_back(spark):
+    lines = [r'<a:a> <b:b> "\\u005Cu0041 \\u0041 x\\u0000y \\\\u0041 \\\\n \\u005C\\u005C" .'.replace("\\\\", "\\")]
+    got = nquads.parsed(spark.createDataFrame([(x,) for x in lines], "value string"))
+    want = [o[1] for _, _, o, _ in model_rdf.parse_nquads("\n".join(lines))]
+    assert [r.object for r in got.collect()] == want and "\0" in want[0]
+    back = [r.nquad for r in nquads.lines(got).collect()]
+    assert [o[1] for _, _, o, _ in model_rdf.parse_nquads("\n".join(back))] == want and "\0" not in back[0]
+
+
+def test_bad_documents_cost_their_own_row(spark):
+    deep = '{"http://e/a":' * 1000 + "1" + "}" * 1000
+    docs = spark.createDataFrame([("good", '{"@id": "http://e/1", "http://e/a": "{[{["}'), ("bad", '{"@id": 5}'), ("text", "no"), ("deep", deep), ("brackets", "[" * 200_000), (None, None)], "doc_id string, json string")
+    want = {"good": None, "bad": "invalid @id value", "text": "loading document failed", "deep": "ld.TooDeep", "brackets": "ld.TooDeep"}
+    assert {r.doc_id: r.error for r in documents.to_nodes(docs).collect()} == want
+    for verb in ("expand", "to_rdf"):
+        assert {r.doc_id: r.error for r in documents.apply(docs, verb).where("doc_id IS NOT NULL").collect()} == want
+    level = '{"http://e/a":' * 400 + "1" + "}" * 400
+    one = spark.createDataFrame([("x", level)], "doc_id string, json string")
+    assert documents.apply(one, "flatten").first().error is None and documents.to_nodes(one).count() == 400
+    quads = documents.parse_quads(spark.createDataFrame([("a", "<a:a> <b:b> <c:c> ."), ("b", "no quad")], "doc_id string, nquads string")).collect()
+    assert sorted((r.doc_id, r.object, r.error is None) for r in quads) == [("a", "c:c", True), ("b", None, False)]
+
+
+@pytest.mark.parametrize("base", ["http://a/b/c/d?q", "http://a", "http://a/", "http://a/b/c/", "urn:x"])
+def test_relative_references_equal_the_model(spark, base):
+    from quadloom.functions.iris import relativized
+    from quadloom.model import iri as I
+
+    iris = [f"http://a{p}{t}" for p in ("", "/", "/b", "/b/", "/b/c", "/b/c/", "/b/c/d", "/b/c/d/e", "/b/../x", "//y") for t in ("", "?q", "#f", "?q#f")] + ["http://z/b", "https://a/b/c/d", "urn:x:y", "no", ""]
+    rows = spark.createDataFrame([(i,) for i in iris], "i string")
+    assert [(r.i, r.r) for r in rows.select("i", relativized(base, F.col("i")).alias("r")).collect()] == [(i, I.relativize(base, i)) for i in iris]
