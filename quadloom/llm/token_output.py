@@ -26,6 +26,7 @@ an empty file set; extra columns are not read.
 from __future__ import annotations
 
 import itertools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -75,8 +76,20 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+# The rules of a tokenizer for which words can be encoded one by one, and its special tokens.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+SPECIAL = {"<|startoftext|>", "<|endoftext|>"}
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizer in a file."""
+    """Ids of whole texts by the tokenizer in a file: word by word if its rules are those above, else text by text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -84,6 +97,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
+        held = json.loads(self.tokenizer.to_str())
+        self.by_words = (held["normalizer"], held["pre_tokenizer"], held["post_processor"]) == (NORMALIZER, PRE_TOKENIZER, None) and {t["content"] for t in held["added_tokens"]} <= SPECIAL
         self._forget()
 
     def _forget(self) -> None:
@@ -122,6 +137,11 @@ class Encoder:
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For pieces of the texts: all their ids, and how many each text has."""
         for a, b in V.pieces(texts, 2 * V.PIECE):
+            if not self.by_words:
+                found = [x.ids for x in self.tokenizer.encode_batch([t or "" for t in texts.slice(a, b - a).to_pylist()], add_special_tokens=False)]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                yield np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+                continue
             data, offsets = V.text_bytes(texts.slice(a, b - a))
             words = V.split_words(data, offsets, V.SOLID, borders(data) if len(data) else None)
             if len(self.known) > CACHE_WORDS or self.used > CACHE_IDS:

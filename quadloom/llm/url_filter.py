@@ -42,7 +42,7 @@ def split(url: str | None) -> tuple[str, str]:
 
 
 class Trie:
-    """Nodes are dicts of labels; under the key None hangs the host's path trie, whose nodes hold their rules' last, open segments under None."""
+    """Nodes are dicts of labels; under the key None hangs the host's path trie, whose nodes hold under None the lengths, longest first, and the rules of their last, open segments."""
 
     def __init__(self, rules: Iterable[tuple[str, str]], default: str = DEFAULT):
         self.root: dict = {}
@@ -59,9 +59,16 @@ class Trie:
             *whole, last = (slash + rest).split("/")
             for segment in whole:
                 node = node.setdefault(segment, {})
-            ends = node.setdefault(None, {})
+            _, ends = node.setdefault(None, ([], {}))
             if ends.get(last, ("", ""))[0] != "block":
                 ends[last] = (verdict, host + slash + rest)
+        todo = [self.root]
+        while todo:
+            for child in todo.pop().values():
+                if isinstance(child, tuple):
+                    child[0][:] = sorted({len(last) for last in child[1]}, reverse=True)
+                else:
+                    todo.append(child)
 
     def judge(self, host: str, path: str) -> tuple[str | None, str]:
         """(rule, verdict)."""
@@ -79,10 +86,8 @@ class Trie:
     def _under(node: dict, path: str) -> tuple[str, str] | None:
         best, rest = None, path
         while True:
-            for last in sorted(node.get(None, ()), key=len, reverse=True):
-                if rest.startswith(last):
-                    best = node[None][last]
-                    break
+            lengths, ends = node.get(None, ((), {}))
+            best = next((ends[rest[:n]] for n in lengths if rest[:n] in ends), best)
             segment, slash, rest = rest.partition("/")
             node = node.get(segment) if slash else None
             if node is None:

@@ -262,3 +262,16 @@ def test_mixing_takes_odd_rows(spark):
 def test_mixing_stays_in_the_jvm(spark, sf_dir):
     plan = mixing.query(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_a_host_of_many_path_rules():
+    rng = random.Random(4)
+    rules = [("block" if i % 2 else "allow", f"h.com/{'/'.join(prose(rng, 1 + i % 3))}") for i in range(3000)]
+    trie = url_filter.Trie(rules)
+    for _ in range(400):
+        _, rule = rng.choice(rules)
+        path = rule[5:] + rng.choice(["", "x", "/y", "/"])
+        fits = [(len(r), v, r) for v, r in rules if path.startswith(r[5:])]
+        longest = max(f[0] for f in fits)
+        want = "block" if ("block" in {v for n, v, _ in fits if n == longest}) else "allow"
+        assert trie.judge("www.h.com", path) == (next(r for n, _, r in fits if n == longest), want)

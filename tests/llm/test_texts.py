@@ -499,6 +499,16 @@ def test_token_files(spark, encoder):
         at += len(want)
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+
+    other = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = pa.array(["Some  Text, it's HERE", None, "", " Ünïcode\n\n12 34"])
+    got = [ids[a:b].tolist() for ids, sizes in other.encode(texts) for a, b in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True)]
+    assert not other.by_words and got == [other.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+    assert token_output.Encoder(token_output.vocabulary_path()).by_words
+
+
 def test_token_output_takes_odd_rows(spark):
     df = odd(spark, ("start", "n_tokens", "ids_crc32"))
     rows = sorted(token_output.query(df).collect(), key=lambda r: r.start)
