@@ -152,7 +152,7 @@ class Index:
                     yield a + int(d), self.ids[n], similarity, start, words
 
     def _leaks(self, hashes: np.ndarray, at: np.ndarray, kinds: np.ndarray) -> dict[int, tuple[float, int, int]]:
-        """The best window of each item. at: places of shingles that items have; kinds: the sizes of those items."""
+        """The first of the most similar windows of each item. at: places of shingles that items have; kinds: the sizes of those items."""
         best: dict[int, tuple[float, int, int]] = {}
         every = int(np.bitwise_or.reduce(kinds))
         for size in self.sizes[self.sizes * SIMILARITY <= len(hashes) + 1e-9].tolist():
@@ -176,7 +176,7 @@ class Index:
                     end = min(int(part[i]) + reach, len(hashes) - window)
                     searched[item] = end + 1
                     found = self._exact(item, hashes, begin, end, window) if begin <= end else None
-                    if found and found > best.get(item, (0.0, 0, 0)):
+                    if found and (item not in best or (-found[0], found[1]) < (-best[item][0], best[item][1])):
                         best[item] = found
         return best
 

@@ -226,6 +226,13 @@ def test_an_index_of_many_items_is_compact():
     assert [(r, i, s) for r, i, s, *_ in index.find(pa.array([None, text]))] == [(1, 17, 1.0)]
 
 
+def test_of_equal_leaks_the_first_counts():
+    rng = random.Random(15)
+    item = " ".join(prose(rng, 25))
+    text = " ".join([*prose(rng, 10), item, *prose(rng, 300), item, *prose(rng, 2000), item])
+    assert list(decontaminate.Index([(1, item)]).find(pa.array([text]))) == [(0, 1, 1.0, 10, 25)]
+
+
 def test_recall_of_leaks_near_the_threshold():
     """Leaks with as many changed words, at random places, as the threshold allows."""
     rng = random.Random(12)
