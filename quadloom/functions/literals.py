@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,8 +25,9 @@ def _double(x: float) -> str:
 
 @F.pandas_udf(StringType())
 def _canonical_double(values: pd.Series) -> pd.Series:
-    known: dict[float, str] = {v: _double(float(v)) for v in values.dropna().unique()}
-    return values.map(known).where(values.notna(), None)
+    known: dict[float, str] = {v: _double(float(v)) for v in (values.dropna() + 0.0).unique()}  # -0.0 + 0.0 is 0.0: zeros of either sign are one key
+    out = values.map(known).where(values.notna(), None)
+    return out.where((values != 0) | ~np.signbit(values), _double(-0.0))
 
 
 def canonical_double(x: Column) -> Column:

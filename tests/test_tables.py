@@ -226,3 +226,17 @@ def test_relative_references_equal_the_model(spark, base):
     iris = [f"http://a{p}{t}" for p in ("", "/", "/b", "/b/", "/b/c", "/b/c/", "/b/c/d", "/b/c/d/e", "/b/../x", "//y") for t in ("", "?q", "#f", "?q#f")] + ["http://z/b", "https://a/b/c/d", "urn:x:y", "no", ""]
     rows = spark.createDataFrame([(i,) for i in iris], "i string")
     assert [(r.i, r.r) for r in rows.select("i", relativized(base, F.col("i")).alias("r")).collect()] == [(i, I.relativize(base, i)) for i in iris]
+
+
+@pytest.mark.parametrize("name", ["r15_canon_ground", "r3_tordf_customer", "r3_tordf_star", "r9_fromrdf", "s10_nquads_roundtrip"])
+def test_balances_of_either_zero(spark, sf_dir, tmp_path, name):
+    """Zeros of both signs in one batch: their texts differ, as in SQL."""
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT * REPLACE (CASE c_custkey % 4 WHEN 1 THEN '-0.0'::DOUBLE WHEN 2 THEN 0 ELSE c_acctbal END AS c_acctbal) FROM '{sf_dir}/customer.parquet') TO '{tmp_path}/customer.parquet'")
+    for t in ("nation", "region"):
+        c.sql(f"COPY (FROM '{sf_dir}/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+    for t in ("customer", "nation", "region"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = catalogue.queries()[name](spark, str(tmp_path))
+    rel = c.sql(catalogue.oracle_sql()[name])
+    assert _rows(df.columns, df.collect()) == _rows(rel.columns, rel.fetchall())
