@@ -40,8 +40,16 @@ class Events:
         self.safe, self.handler = safe, handler
 
     def emit(self, code: str, message: str = "", level: str = "warning", **details: object) -> None:
-        event = {"type": ["JsonLdEvent"], "code": code, "level": level, "message": message or code, "details": details}
+        self._send({"type": ["JsonLdEvent"], "code": code, "level": level, "message": message or code, "details": details})
+
+    def resend(self, log: list[dict]) -> None:
+        """Emit the events of another log."""
+        for event in log:
+            self._send({**event, "type": [*event["type"]], "details": {**event["details"]}})
+
+    def _send(self, event: dict) -> None:
         self.log.append(event)
+        code = event["code"]
         if self.safe and code in UNSAFE:
             raise LinkedDataError(f"safe mode: {code}", "ld.ValidationError", event=event)
         if self.handler is not None:

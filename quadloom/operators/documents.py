@@ -1,8 +1,8 @@
 """The verbs of the processor over a column of JSON documents, one document a row.
 
 Contexts, frames and remote documents are given when the plan is built: they are
-resolved on the driver (they are few) and travel with the function. Each batch
-is mapped without a shuffle; a document that fails keeps its row, with the
+resolved on the driver (they are few) and travel with the function. Documents are
+first dealt to all cores (see `_dealt`); a document that fails keeps its row, with the
 error's code, and nulls for the rest: `loading document failed` if it is no JSON, and
 `ld.TooDeep` if it is nested deeper than `MAX_DEPTH`, or too deep for a verb.
 """
@@ -83,6 +83,24 @@ def _attempt(run: Callable[[], object]) -> tuple[object, str | None]:
         sys.setrecursionlimit(limit)
 
 
+#: Tasks for each core among which documents are dealt.
+TASKS_PER_CORE = 4
+
+
+def _dealt(docs: DataFrame) -> DataFrame:
+    """The documents over all cores, by a hash of identifier and text.
+
+    Small tables come as one file, often as one row group, which one task reads; a
+    document takes hundreds of times as long to map as to read, so that task would take all
+    the time. Only a document repeated with its identifier meets itself again. Streams stay as they come.
+    """
+    if docs.isStreaming:
+        return docs
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return docs.repartition(tasks, *docs.columns)
+
+
 def apply(docs: DataFrame, verb: str, *, doc_id: str = "doc_id", text: str = "json", remote: dict[str, str] | None = None, **options: object) -> DataFrame:
     """doc_id, result (JSON or N-Quads text), event codes and error code of each document under a verb."""
     run_verb = VERBS[verb]
@@ -103,7 +121,7 @@ def apply(docs: DataFrame, verb: str, *, doc_id: str = "doc_id", text: str = "js
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.list_(pa.string()), pa.string()), strict=True)], names=["doc_id", "result", "events", "error"])
 
-    return docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, RESULT)
+    return _dealt(docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string"))).mapInArrow(run, RESULT)
 
 
 def to_nodes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "json", remote: dict[str, str] | None = None, **options: object) -> DataFrame:
@@ -123,7 +141,7 @@ def to_nodes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "json", rem
                     out += [{"doc_id": name, "error": error}] if error else rows
             yield pa.RecordBatch.from_pylist(out, schema=_NODE_ARROW)
 
-    return docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, f"doc_id string, {NODES}, error string")
+    return _dealt(docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string"))).mapInArrow(run, f"doc_id string, {NODES}, error string")
 
 
 def well_formed(rows: DataFrame) -> DataFrame:
@@ -184,4 +202,4 @@ def parse_quads(texts: DataFrame, *, doc_id: str = "doc_id", text: str = "nquads
                 out += [{"doc_id": name, "error": error}] if error else rows
             yield pa.RecordBatch.from_pylist(out, schema=kind)
 
-    return texts.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, f"doc_id string, {QUADS}, error string")
+    return _dealt(texts.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string"))).mapInArrow(run, f"doc_id string, {QUADS}, error string")

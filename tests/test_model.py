@@ -321,3 +321,41 @@ def test_a_list_of_a_language_may_hold_nodes():
     word, node = {"@value": "a", "@language": "en"}, {"@id": "http://n/1"}
     for items, key in (([word, node], "words"), ([word, node, word], "words"), ([node, word], iri), ([word, {"@value": "b"}], iri)):
         assert key in P.compact({"@id": "http://e/1", iri: {"@list": items}}, context), items
+
+
+def test_contexts_and_frames_are_read_once_for_all_documents(monkeypatch):
+    from quadloom.model import context, expand
+
+    runs, frames = [], []
+    define, element = context._Definition.run, expand._Expander.element
+    monkeypatch.setattr(context._Definition, "run", lambda self: (runs.append(1), define(self))[1])
+    monkeypatch.setattr(expand._Expander, "element", lambda self, *a, **k: (self.o.is_frame and frames.append(1), element(self, *a, **k))[1])
+    p, outer = Processor(), {"@vocab": "http://e/", "T": {"@id": "http://e/T", "@context": {"name": "http://e/tName"}}, "of": {"@id": "http://e/of", "@context": {"name": "http://e/ofName"}}}
+    seen = []
+    for i in range(20):
+        got = p.frame({"@id": f"urn:{i}", "@type": "T", "name": "x", "of": {"name": str(i)}}, {"@context": {"@vocab": "http://e/"}, "@type": "T"}, expandContext=outer)
+        assert (got["@id"], got["tName"], got["of"]["ofName"]) == (f"urn:{i}", "x", str(i))
+        seen.append((len(runs), len(frames)))
+    assert seen[0] == seen[-1]
+
+
+def test_remembered_contexts_raise_their_events_each_time():
+    p, ctx = Processor(), {"@language": "not a tag", "name": "http://e/name"}
+    for _ in range(3):
+        events = []
+        p.compact({"http://e/name": "x"}, ctx, eventHandler=lambda event, go: events.append(event["code"]))
+        assert events == ["invalid @language value"]
+        with pytest.raises(LinkedDataError):
+            p.compact({"http://e/name": "x"}, ctx, safe=True)
+
+
+def test_a_changed_context_is_another_context():
+    p, ctx = Processor(), {"name": "http://e/a"}
+    assert p.compact({"http://e/a": "x"}, ctx)["name"] == "x"
+    ctx["name"] = "http://e/b"
+    assert "name" not in p.compact({"http://e/a": "x"}, ctx)
+
+
+def test_terms_defined_later_are_seen_by_scoped_contexts():
+    ctx = {"A": {"@id": "http://e/A", "@context": {"@vocab": "x:y"}}, "x": "http://x/"}
+    assert Processor().expand({"@type": "A", "x:y": 1}, expandContext=ctx)[0]["http://x/y"] == [{"@value": 1}]

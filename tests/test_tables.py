@@ -240,3 +240,10 @@ def test_balances_of_either_zero(spark, sf_dir, tmp_path, name):
     df = catalogue.queries()[name](spark, str(tmp_path))
     rel = c.sql(catalogue.oracle_sql()[name])
     assert _rows(df.columns, df.collect()) == _rows(rel.columns, rel.fetchall())
+
+
+def test_documents_of_one_task_are_dealt_to_all_cores(spark):
+    docs = spark.range(200).coalesce(1).select(F.col("id").cast("string").alias("doc_id"), F.format_string('{"@id": "urn:%d", "http://e/p": 1}', "id").alias("json"))
+    for out in (documents.apply(docs, "expand"), documents.to_nodes(docs)):
+        sizes = out.groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) > 4 and sum(r["count"] for r in sizes) == 200
