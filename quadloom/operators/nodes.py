@@ -31,10 +31,34 @@ def grouped(nodes: DataFrame) -> DataFrame:
     return each.groupBy("graph", "subject").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property", "values")))).alias("properties"))
 
 
+def _sized(column: str) -> Column:
+    """A text after its length, or a sign for null: texts one after the other are equal only if each is."""
+    return F.coalesce(F.concat(F.length(column).cast("string"), F.lit(":"), F.col(column)), F.lit("-"))
+
+
+_LIST = "4:list"
+
+
 def node_sizes(nodes: DataFrame) -> DataFrame:
-    """graph, subject, and how many properties and distinct values each node has."""
-    each = distinct_values(nodes).groupBy("graph", "subject", "property").agg(F.count("*").alias("n"))
-    return each.groupBy("graph", "subject").agg(F.count("*").alias("n_properties"), F.sum("n").alias("n_values"))
+    """graph, subject, and how many properties and distinct values each node has; each list is a value of its own.
+
+    Rows go to their node's task once, whole, and are counted there in order: a sort spills where an
+    aggregate on either side of a shuffle would hold all rows that it has seen.
+    """
+    # two columns are shuffled: what is alike in most rows is one run of text, which compresses well
+    row = F.concat(*map(_sized, ("graph", "property", "kind", "datatype", "language", "value"))).alias("_row")
+    shown = F.concat(_sized("graph"), _sized("property"))
+    rows = nodes.select("subject", row, F.length(shown).alias("_n")).repartition("subject")
+    # the hash only makes the sort fast; the subject itself decides
+    rows = rows.withColumns({"_h": F.xxhash64("subject"), "_p": F.substr("_row", F.lit(1), F.col("_n"))})
+    before = Window.partitionBy("_h", "subject").orderBy("_row")
+    rows = rows.withColumns({"_p0": F.lag("_p").over(before), "_row0": F.lag("_row").over(before)})
+    fresh = ~F.col("_p0").eqNullSafe(F.col("_p"))
+    listed = F.substr("_row", F.col("_n") + 1, F.lit(len(_LIST))) == _LIST
+    size = F.regexp_extract("_row", "^([0-9]+):", 1).cast("int")
+    graph = F.substr("_row", F.length(size.cast("string")) + 2, size).alias("graph")
+    each = rows.select("_h", graph, "subject", fresh.alias("p"), (listed | ~F.col("_row0").eqNullSafe(F.col("_row"))).alias("v"))
+    return each.groupBy("_h", "graph", "subject").agg(F.count_if("p").alias("n_properties"), F.count_if("v").alias("n_values")).drop("_h")
 
 
 def reversed_(nodes: DataFrame, prop: str, as_property: str) -> DataFrame:
@@ -44,9 +68,14 @@ def reversed_(nodes: DataFrame, prop: str, as_property: str) -> DataFrame:
     return swapped.select(NODE_COLUMNS)
 
 
+def in_one_graph(nodes: DataFrame) -> DataFrame:
+    """The nodes of all graphs as one graph, in which values may occur more than once."""
+    return nodes.withColumn("graph", F.lit("@merged"))
+
+
 def merged_graphs(nodes: DataFrame) -> DataFrame:
     """The nodes of all graphs as one graph."""
-    return distinct_values(nodes.withColumn("graph", F.lit("@merged")))
+    return distinct_values(in_one_graph(nodes))
 
 
 def isolated(nodes: DataFrame, source: Column) -> DataFrame:

@@ -282,7 +282,7 @@ def f10_merge_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_status = P.nodes(orders, P.replaced(mapped("orders"), graph=F.concat(F.lit("urn:graph:"), F.col("o_orderstatus"))))
     again = P.nodes(orders.where("o_orderstatus = 'F'"), P.replaced(mapped("orders"), graph=F.lit("urn:graph:copy")))
     notes = P.nodes(orders.where("o_orderstatus = 'F'").withColumn("note", F.lit("copied")), P.Mapped({"note": EX + "note"}, _id("order", "o_orderkey"), columns={"note": "note"}, graph=F.lit("urn:graph:notes")))
-    return nodes.node_sizes(nodes.merged_graphs(nodes.union(by_status, again, notes))).select("subject", "n_properties", "n_values")
+    return nodes.node_sizes(nodes.in_one_graph(nodes.union(by_status, again, notes))).select("subject", "n_properties", "n_values")
 
 
 @query(f"""SELECT DISTINCT subject, property, value FROM (SELECT 'urn:customer:' || c_custkey AS subject, '{EX}name' AS property, c_name AS value FROM customer

@@ -247,3 +247,17 @@ def test_documents_of_one_task_are_dealt_to_all_cores(spark):
     for out in (documents.apply(docs, "expand"), documents.to_nodes(docs)):
         sizes = out.groupBy(F.spark_partition_id()).count().collect()
         assert len(sizes) > 4 and sum(r["count"] for r in sizes) == 200
+
+
+def test_node_sizes_by_one_shuffle(spark):
+    """Distinct values are told apart by every part, nulls included, and lists are never equal; the rows are shuffled once."""
+    row = lambda g, s, p, k, v, d=None, lang=None: (g, s, p, 0, k, v, d, lang, None)
+    rows = [
+        row("@default", "s", "a", "value", "1", "x"), row("@default", "s", "a", "value", "1", "x"), row("@default", "s", "a", "value", "1", "y"), row("@default", "s", "a", "ref", "1"),
+        row("@default", "s", "a", "value", "1", "x", "en"), row("@default", "s", "b", "value", "-"), row("@default", "s", "b", "value", ""), row("@default", "s", "b", "value", None),
+        row("@default", "s", "l", "list", None), row("@default", "s", "l", "list", None), row("g:1", "s", "a", "value", "1", "x"), row("@default", "t", "1:a", "value", "4:list"), row("@default", "t", "1:a", "value", "4:list"),
+    ]
+    out = nodes.node_sizes(spark.createDataFrame(rows, NODES).repartition(3))
+    assert {(r.graph, r.subject): (r.n_properties, r.n_values) for r in out.collect()} == {("@default", "s"): (3, 9), ("g:1", "s"): (1, 1), ("@default", "t"): (1, 1)}
+    plan = nodes.node_sizes(spark.range(9).select(F.lit("@default").alias("graph"), F.col("id").cast("string").alias("subject"), *(F.lit("x").alias(c) for c in ("property", "kind", "value", "datatype", "language"))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
