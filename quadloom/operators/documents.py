@@ -24,7 +24,7 @@ from quadloom.model.errors import Events, LinkedDataError
 from quadloom.model.nodes import node_map
 from quadloom.model.terms import aslist, is_keyword, ordered
 from quadloom.schema import NODES, QUADS
-from quadloom.scratch import bounded_batches
+from quadloom.scratch import bounded_batches, many_tasks
 from quadloom.sources import loaders
 
 RESULT = "doc_id string, result string, events array<string>, error string"
@@ -83,10 +83,6 @@ def _attempt(run: Callable[[], object]) -> tuple[object, str | None]:
         sys.setrecursionlimit(limit)
 
 
-#: Tasks for each core among which documents are dealt.
-TASKS_PER_CORE = 4
-
-
 def _dealt(docs: DataFrame) -> DataFrame:
     """The documents over all cores, by a hash of identifier and text.
 
@@ -96,9 +92,7 @@ def _dealt(docs: DataFrame) -> DataFrame:
     """
     if docs.isStreaming:
         return docs
-    spark = docs.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
-    return docs.repartition(tasks, *docs.columns)
+    return docs.repartition(many_tasks(docs.sparkSession), *docs.columns)
 
 
 def apply(docs: DataFrame, verb: str, *, doc_id: str = "doc_id", text: str = "json", remote: dict[str, str] | None = None, **options: object) -> DataFrame:

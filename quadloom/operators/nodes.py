@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quadloom.schema import DEFAULT, NODE_COLUMNS
+from quadloom.scratch import many_tasks
 
 _VALUE = ["graph", "subject", "property", "kind", "value", "datatype", "language"]
 
@@ -48,7 +49,7 @@ def node_sizes(nodes: DataFrame) -> DataFrame:
     # two columns are shuffled: what is alike in most rows is one run of text, which compresses well
     row = F.concat(*map(_sized, ("graph", "property", "kind", "datatype", "language", "value"))).alias("_row")
     shown = F.concat(_sized("graph"), _sized("property"))
-    rows = nodes.select("subject", row, F.length(shown).alias("_n")).repartition("subject")
+    rows = nodes.select("subject", row, F.length(shown).alias("_n")).repartition(many_tasks(nodes.sparkSession), "subject")
     # the hash only makes the sort fast; the subject itself decides
     rows = rows.withColumns({"_h": F.xxhash64("subject"), "_p": F.substr("_row", F.lit(1), F.col("_n"))})
     before = Window.partitionBy("_h", "subject").orderBy("_row")

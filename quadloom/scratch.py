@@ -33,6 +33,14 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Tasks for each core where rows are dealt out by a number of tasks, which Spark does not lower.
+TASKS_PER_CORE = 4
+
+
+def many_tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
 class Scratch:
     """A folder of intermediate Parquet tables. A task that is lost is computed again from them.
 
