@@ -1,6 +1,7 @@
 """The document model: behaviour cases, laws and errors."""
 
 import copy
+import gc
 import random
 
 import pytest
@@ -359,3 +360,35 @@ def test_a_changed_context_is_another_context():
 def test_terms_defined_later_are_seen_by_scoped_contexts():
     ctx = {"A": {"@id": "http://e/A", "@context": {"@vocab": "x:y"}}, "x": "http://x/"}
     assert Processor().expand({"@type": "A", "x:y": 1}, expandContext=ctx)[0]["http://x/y"] == [{"@value": 1}]
+
+
+NESTED = {"@id": "urn:1", "@type": "T", "of": {"@id": "urn:2", "of": {"@id": "urn:1"}}, "@graph": [{"@id": "urn:3", "name": "x"}]}
+
+
+def test_framing_leaves_no_cycles_to_collect():
+    p = Processor()
+    for frame in ({"@type": "T"}, {"@type": "T", "@graph": {}}):
+        p.frame(NESTED, {"@context": {"@vocab": "http://e/"}, **frame}, expandContext={"@vocab": "http://e/"})
+        gc.collect()
+        gc.disable()
+        try:
+            out = p.frame(NESTED, {"@context": {"@vocab": "http://e/"}, **frame}, expandContext={"@vocab": "http://e/"})
+            assert out["@id"] == "urn:1" and gc.collect() == 0, frame
+        finally:
+            gc.enable()
+
+
+def test_contexts_are_copied_when_first_read_and_not_shared(monkeypatch):
+    copies = []
+    copied = context.copied
+    monkeypatch.setattr(context, "copied", lambda x: (copies.append(1), copied(x))[1])
+    p, inner = Processor(), {"name": "http://e/a"}
+    outer = {"of": {"@id": "http://e/of", "@context": inner}}
+    of = lambda: p.expand({"of": {"name": "x"}}, expandContext=outer)[0]["http://e/of"][0]
+    assert "http://e/a" in of()
+    first = len(copies)
+    assert "http://e/a" in of() and len(copies) == first > 0
+    inner["name"] = "http://e/b"
+    assert "http://e/b" in of()
+    inner["name"] = "http://e/a"
+    assert "http://e/a" in of()
