@@ -12,7 +12,9 @@ from __future__ import annotations
 import json
 import re
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
+from functools import partial
+from types import GeneratorType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,13 +35,14 @@ VERBS: dict[str, Callable[[Processor, object, dict], object]] = {
     "expand": lambda p, d, o: p.expand(d, **o),
     "compact": lambda p, d, o: p.compact(d, o.pop("context"), **o),
     "flatten": lambda p, d, o: p.flatten(d, o.pop("context", None), **o),
-    "frame": lambda p, d, o: p.frame(d, o.pop("frame"), **o),
+    "frame": lambda p, d, o: p.frame_steps(d, o.pop("frame"), **o),
     "to_rdf": lambda p, d, o: p.to_rdf(d, **{"format": NQUADS, **o}),
     "from_rdf": lambda p, d, o: p.from_rdf(d, **o),
     "canonize": lambda p, d, o: p.canonize(d, **o),
     "node_map": lambda p, d, o: p.create_node_map(d, **o),
 }
 _TEXT_IN, _TEXT_OUT = {"from_rdf"}, {"to_rdf", "canonize"}
+_as_json = json.JSONEncoder(ensure_ascii=False).encode
 
 
 def loader_table(df: DataFrame, url: str = "url", document: str = "document", limit: int = 10_000) -> dict[str, str]:
@@ -83,6 +86,50 @@ def _attempt(run: Callable[[], object]) -> tuple[object, str | None]:
         sys.setrecursionlimit(limit)
 
 
+#: Documents, and characters of their texts, that go through the stages of a verb together. A longer text goes alone.
+TOGETHER, TOGETHER_CHARS = 64, 1 << 18
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[list[tuple[str, str | None]]]:
+    """The (identifier, text) of a batch in its order, in such groups."""
+    group: list = []
+    chars = 0
+    for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        size = len(raw or "")
+        if group and (len(group) == TOGETHER or chars + size > TOGETHER_CHARS):
+            yield group
+            group, chars = [], 0
+        group.append((name, raw))
+        chars += size
+    if group:
+        yield group
+
+
+def _resumed(steps: Generator) -> object:
+    """The steps where there are more of them, else their result."""
+    try:
+        next(steps)
+    except StopIteration as end:
+        return end.value
+    return steps
+
+
+def _together(runs: list[Callable[[], object]]) -> list[tuple[object, str | None]]:
+    """Each result, or None and the error's code. Where a run gives steps, all take one before any takes the next.
+
+    The stages of a verb are much code; one that runs for many small documents in turn stays in
+    the core's cache, which makes framing faster by a quarter.
+    """
+    done = [_attempt(run) for run in runs]
+    going = [i for i, (got, _) in enumerate(done) if isinstance(got, GeneratorType)]
+    while going:
+        for i in going:
+            steps = done[i][0]
+            done[i] = _attempt(lambda: _resumed(steps))  # noqa: B023
+        going = [i for i in going if isinstance(done[i][0], GeneratorType)]
+    return done
+
+
 def _dealt(docs: DataFrame) -> DataFrame:
     """The documents over all cores, by a hash of identifier and text.
 
@@ -100,18 +147,19 @@ def apply(docs: DataFrame, verb: str, *, doc_id: str = "doc_id", text: str = "js
     run_verb = VERBS[verb]
     bounded_batches(docs.sparkSession)
 
+    def one(processor: Processor, raw: str | None, events: Events) -> object:
+        return None if raw is None else run_verb(processor, raw if verb in _TEXT_IN else _loaded(raw), {**options, "_events": events})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = Processor(loaders.table((remote or {}).items()))
         for batch in batches:
             rows = []
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                events = Events(options.get("safe", verb == "canonize"))
-                if raw is None:
-                    rows.append((name, None, [], None))
-                    continue
-                got, error = _attempt(lambda: run_verb(processor, raw if verb in _TEXT_IN else _loaded(raw), {**options, "_events": events}))  # noqa: B023
-                text_out = got if error or verb in _TEXT_OUT else json.dumps(got, ensure_ascii=False)
-                rows.append((name, text_out, events.codes, error))
+            for group in _groups(batch):
+                events = [Events(options.get("safe", verb == "canonize")) for _ in group]
+                runs = [partial(one, processor, raw, own) for (_, raw), own in zip(group, events, strict=True)]
+                for (name, raw), own, (got, error) in zip(group, events, _together(runs), strict=True):
+                    text_out = got if error or raw is None or verb in _TEXT_OUT else _as_json(got)
+                    rows.append((name, text_out, own.codes, error))
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.list_(pa.string()), pa.string()), strict=True)], names=["doc_id", "result", "events", "error"])
 
@@ -125,13 +173,18 @@ def to_nodes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "json", rem
     """
     bounded_batches(docs.sparkSession)
 
+    def steps(processor: Processor, name: str, raw: str) -> Generator[None, None, list[dict]]:
+        expanded = processor.expand(_loaded(raw), **options)
+        yield
+        return list(_rows(name, expanded))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = Processor(loaders.table((remote or {}).items()))
         for batch in batches:
             out = []
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if raw is not None:
-                    rows, error = _attempt(lambda: list(_rows(name, processor.expand(_loaded(raw), **options))))  # noqa: B023
+            for group in _groups(batch):
+                group = [(name, raw) for name, raw in group if raw is not None]
+                for (name, _), (rows, error) in zip(group, _together([partial(steps, processor, name, raw) for name, raw in group]), strict=True):
                     out += [{"doc_id": name, "error": error}] if error else rows
             yield pa.RecordBatch.from_pylist(out, schema=_NODE_ARROW)
 

@@ -3,12 +3,14 @@
 import json
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quadloom.api import NQUADS, Processor
 from quadloom.model import iri as I
 from quadloom.model import rdf as model_rdf
+from quadloom.model.errors import LinkedDataError
 from quadloom.operators import canonize, documents, framing, nodes, rdf
 from quadloom.plans import catalogue, table
 from quadloom.schema import NODES
@@ -261,3 +263,39 @@ def test_node_sizes_by_one_shuffle(spark):
     assert {(r.graph, r.subject): (r.n_properties, r.n_values) for r in out.collect()} == {("@default", "s"): (3, 9), ("g:1", "s"): (1, 1), ("@default", "t"): (1, 1)}
     plan = nodes.node_sizes(spark.range(9).select(F.lit("@default").alias("graph"), F.col("id").cast("string").alias("subject"), *(F.lit("x").alias(c) for c in ("property", "kind", "value", "datatype", "language"))))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_documents_go_through_stages_in_groups():
+    said = []
+
+    def steps(name):
+        said.append(f"{name}1")
+        yield
+        if name == "b":
+            raise LinkedDataError("no", code="bad")
+        said.append(f"{name}2")
+        yield
+        return name.upper()
+
+    runs = [lambda: steps("a"), lambda: steps("b"), lambda: "at once", lambda: steps("c")]
+    assert documents._together(runs) == [("A", None), (None, "bad"), ("at once", None), ("C", None)]
+    assert said == ["a1", "b1", "c1", "a2", "c2"]
+    texts = ["x"] * 130 + [None, "y" * (documents.TOGETHER_CHARS + 1), "z", "y" * documents.TOGETHER_CHARS]
+    batch = pa.record_batch({"doc_id": [str(i) for i in range(len(texts))], "json": pa.array(texts, pa.string())})
+    groups = list(documents._groups(batch))
+    assert [x for g in groups for x in g] == [(str(i), t) for i, t in enumerate(texts)]
+    assert [len(g) for g in groups] == [64, 64, 3, 1, 1, 1]
+
+
+def test_framed_groups_equal_framed_documents(spark):
+    """Those that fail at any stage keep their own row, whatever is framed with them."""
+    frame = {"@context": {"@vocab": "http://e/"}, "@type": "T", "of": {}}
+    texts = {str(i): json.dumps({"@graph": [{"@id": f"urn:{i}", "@type": "T", "of": {"@id": "_:b", "n": i}}, {"@id": "urn:x", "n": 1}]}) for i in range(150)}
+    texts |= {"none": None, "text": "no", "id": '{"@id": 5}', "index": '{"@graph": [{"@id": "urn:1", "@index": "a"}, {"@id": "urn:1", "@index": "b"}]}'}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, json string").repartition(1)
+    out = {r.doc_id: r for r in documents.apply(docs, "frame", frame=frame, expandContext={"@vocab": "http://e/"}).collect()}
+    assert {n: r.error for n, r in out.items() if r.error} == {"text": "loading document failed", "id": "invalid @id value", "index": "conflicting indexes"}
+    assert out.keys() == texts.keys() and out["none"].result is None
+    p = Processor()
+    for i in range(150):
+        assert json.loads(out[str(i)].result) == p.frame(json.loads(texts[str(i)]), frame, expandContext={"@vocab": "http://e/"}), i
