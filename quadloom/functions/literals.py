@@ -15,24 +15,20 @@ from quadloom.model import terms as T
 _ECHAR = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 
 
-def _double(x: float) -> str:
-    if x == 0 or x != x or abs(x) == float("inf") or f"{x:.16e}".partition("e")[0][-1] == "5":
-        return T.canonical_double(x)  # no digits, or a tie may be near: exact decimals
-    mantissa, _, exponent = f"{x:.15e}".partition("e")
-    mantissa = mantissa.rstrip("0")
-    return f"{mantissa}{'0' if mantissa[-1] == '.' else ''}E{int(exponent)}"
+_double = T.canonical_double
 
 
 @F.pandas_udf(StringType())
 def _canonical_double(values: pd.Series) -> pd.Series:
     known: dict[float, str] = {v: _double(float(v)) for v in (values.dropna() + 0.0).unique()}  # -0.0 + 0.0 is 0.0: zeros of either sign are one key
-    out = values.map(known).where(values.notna(), None)
+    out = values.map(known).astype(object).where(values.notna(), None)  # also if all are null, which pandas maps to floats
     return out.where((values != 0) | ~np.signbit(values), _double(-0.0))
 
 
 def canonical_double(x: Column) -> Column:
     """The canonical xsd:double text: exact to 16 digits, which the JVM's formatting is not."""
-    return _canonical_double(x.cast("double"))
+    number = x.cast("double")
+    return F.when(F.isnan(number), _double(float("nan"))).otherwise(_canonical_double(number))  # pandas takes NaN for null
 
 
 @F.pandas_udf(StringType())

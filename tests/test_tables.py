@@ -12,7 +12,7 @@ from quadloom.model import iri as I
 from quadloom.model import rdf as model_rdf
 from quadloom.model.errors import LinkedDataError
 from quadloom.operators import canonize, documents, framing, nodes, rdf
-from quadloom.plans import catalogue, table
+from quadloom.plans import catalogue, table, views
 from quadloom.schema import NODES
 from quadloom.sources import nquads
 from quadloom.streaming import documents_of, table_quads
@@ -244,6 +244,27 @@ def test_balances_of_either_zero(spark, sf_dir, tmp_path, name):
     assert _rows(df.columns, df.collect()) == _rows(rel.columns, rel.fetchall())
 
 
+@pytest.mark.parametrize("name", ["r3_tordf_customer"])
+def test_balances_between_two_texts(spark, sf_dir, tmp_path, name):
+    """A balance exactly between two texts of 16 digits takes the even one, as in SQL, on either side of zero."""
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT * REPLACE ((CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE -1 END) * (1024 + c_custkey + (2 * c_custkey + 1) / 8192) AS c_acctbal) FROM '{sf_dir}/customer.parquet') TO '{tmp_path}/customer.parquet'")
+    for t in ("nation", "region"):
+        c.sql(f"COPY (FROM '{sf_dir}/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+    for t in ("customer", "nation", "region"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = catalogue.queries()[name](spark, str(tmp_path))
+    rel = c.sql(catalogue.oracle_sql()[name])
+    assert _rows(df.columns, df.collect()) == _rows(rel.columns, rel.fetchall())
+
+
+def test_balances_that_are_no_numbers_are_kept(spark):
+    df = spark.createDataFrame([(1, float("nan")), (2, None), (3, 1.5), (4, float("-inf"))], "c_custkey long, c_acctbal double")
+    rows = df.selectExpr("c_custkey", "'x' AS c_name", "1 AS c_nationkey", "c_acctbal", "'y' AS c_mktsegment")
+    out = table.nodes(rows, views.mapped("customer")).where(F.col("property") == views.EX + "balance").select("subject", "value")
+    assert sorted(map(tuple, out.collect())) == [("urn:customer:1", "NaN"), ("urn:customer:3", "1.5E0"), ("urn:customer:4", "-Infinity")]
+
+
 def test_documents_of_one_task_are_dealt_to_all_cores(spark):
     docs = spark.range(200).coalesce(1).select(F.col("id").cast("string").alias("doc_id"), F.format_string('{"@id": "urn:%d", "http://e/p": 1}', "id").alias("json"))
     for out in (documents.apply(docs, "expand"), documents.to_nodes(docs)):
