@@ -244,7 +244,7 @@ def test_balances_of_either_zero(spark, sf_dir, tmp_path, name):
     assert _rows(df.columns, df.collect()) == _rows(rel.columns, rel.fetchall())
 
 
-@pytest.mark.parametrize("name", ["r3_tordf_customer", "r3_tordf_star"])
+@pytest.mark.parametrize("name", ["r3_tordf_customer", "r3_tordf_star", "r9_fromrdf"])
 def test_balances_between_two_texts(spark, sf_dir, tmp_path, name):
     """A balance exactly between two texts of 16 digits takes the even one, as in SQL, on either side of zero."""
     c = duckdb.connect()
